@@ -10,7 +10,7 @@ from civicspark.functions.urls import basename, path_of
 # One attribute that is not href, then the href value with or without quotes.
 _OTHER_ATTRIBUTE = r"""\s+(?!href\s*=)[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 _ANCHOR_HREF = rf"""(?i)<a(?:{_OTHER_ATTRIBUTE})*\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_HIDDEN = r"(?is)<(?:!--.*?--|script\b.*?</script\s*|style\b.*?</style\s*)>"
 
 # Character references decoded in attribute values and titles.
 # The ampersand comes last, so that "&amp;lt;" gives "&lt;".
@@ -25,19 +25,20 @@ def decode_references(text: Column) -> Column:
     decoded = text
     for reference, char in CHARACTER_REFERENCES:
         decoded = F.replace(decoded, F.lit(reference), F.lit(char))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    return decoded
 
 
 def hrefs(html: Column) -> Column:
     """``href`` values of all anchors outside comments, scripts and styles, in page order."""
     visible = F.regexp_replace(html, _HIDDEN, "")
-    return F.regexp_extract_all(visible, F.lit(_ANCHOR_HREF), F.lit(1))
+    return F.transform(F.regexp_extract_all(visible, F.lit(_ANCHOR_HREF), F.lit(1)), _href_value)
 
 
-def href_value(raw: Column) -> Column:
-    """A raw value of :func:`hrefs` without quotes and with references decoded."""
+def _href_value(raw: Column) -> Column:
+    """Without quotes and with character references decoded."""
     quoted = raw.startswith('"') | raw.startswith("'")
-    return decode_references(F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
+    bare = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.when(raw.contains("&"), decode_references(bare)).otherwise(bare)
 
 
 def page_title(html: Column) -> Column:

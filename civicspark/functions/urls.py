@@ -201,13 +201,30 @@ def _resolve(base: UrlParts, href: UrlParts, raw_href: Column) -> Column:
     )
 
 
+def _join(base: Column, base_parts: Column, href: Column) -> Column:
+    joined = let(split_url(href).as_struct(), lambda h: _resolve(parts_of(base_parts), parts_of(h), href))
+    return F.when(base == "", href).when(href == "", base).otherwise(joined)
+
+
 def url_join(base: Column, href: Column) -> Column:
     """Absolute URL of the reference ``href`` found on the page ``base``."""
-    joined = let(
+    return let(split_url(base).as_struct(), lambda b: _join(base, b, href))
+
+
+def resolve_links(base: Column, hrefs: Column) -> Column:
+    """``array<struct<href, absolute, url>>``: the references ``hrefs`` of a page made absolute and canonical.
+
+    Meant for ``inline``: the page address is split once, and a filter on the
+    result is not pushed into the computation, which would repeat it.
+    """
+
+    def link(href: Column, absolute: Column) -> Column:
+        return F.struct(href.alias("href"), absolute.alias("absolute"), normalize_url(absolute).alias("url"))
+
+    return let(
         split_url(base).as_struct(),
-        lambda b: let(split_url(href).as_struct(), lambda h: _resolve(parts_of(b), parts_of(h), href)),
+        lambda b: F.transform(hrefs, lambda h: let(_join(base, b, h), lambda a: link(h, a))),
     )
-    return F.when(base == "", href).when(href == "", base).otherwise(joined)
 
 
 def url_hash(url: Column) -> Column:

@@ -23,28 +23,28 @@ def html_only(pages: DataFrame) -> DataFrame:
 
 
 def page_hrefs(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """``keep`` and one row per anchor with its ``href``."""
-    raw = pages.select(*keep, F.explode(H.hrefs(F.col("html"))).alias("_raw"))
-    return raw.select(*keep, H.href_value(F.col("_raw")).alias("href"))
+    """``keep`` and each different ``href`` of each page."""
+    return pages.select(*keep, F.explode(F.array_distinct(H.hrefs(F.col("html")))).alias("href"))
 
 
 def absolute_links(hrefs: DataFrame, base: str = "base_url") -> DataFrame:
     """Add ``absolute`` and its canonical ``url`` to references found on the page ``base``."""
-    joined = hrefs.withColumn("absolute", U.url_join(F.col(base), F.col("href")))
-    return joined.withColumn("url", U.normalize_url(F.col("absolute")))
+    kept = [c for c in hrefs.columns if c != "href"]
+    return hrefs.select(*kept, F.inline(U.resolve_links(F.col(base), F.array("href"))))
 
 
 def extract_links(pages: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """``keep, base_url, href, absolute, url``: every link of every page, repeats included."""
-    hrefs = page_hrefs(pages.withColumn("base_url", F.col("url")), [*keep, "base_url"])
-    return absolute_links(hrefs)
+    links = U.resolve_links(F.col("url"), H.hrefs(F.col("html")))
+    return pages.select(*keep, F.col("url").alias("base_url"), F.inline(links))
 
 
 def links_by_suffix(pages: DataFrame, suffix: str = ".xlsx", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Absolute links, not normalised, of the references that end with ``suffix``."""
-    hrefs = page_hrefs(pages.withColumn("base_url", F.col("url")), [*keep, "base_url"])
-    matching = hrefs.filter(F.col("href").endswith(suffix))
-    return matching.withColumn("absolute", U.url_join(F.col("base_url"), F.col("href")))
+    matching = F.filter(H.hrefs(F.col("html")), lambda href: href.endswith(suffix))
+    return pages.select(*keep, F.col("url").alias("base_url"), F.explode(matching).alias("href")).withColumn(
+        "absolute", U.url_join(F.col("base_url"), F.col("href"))
+    )
 
 
 def with_hash(links: DataFrame, url: str = "url") -> DataFrame:
@@ -130,7 +130,8 @@ def crawl_totals(crawled: DataFrame, visited: DataFrame, downloaded: DataFrame)
     pages = crawled.agg(F.count(F.lit(1)).alias("pages_crawled"))
     links = visited.agg(F.count_distinct("url_hash").alias("visited_links"))
     files = downloaded.agg(F.count_distinct("target").alias("downloaded_files"))
-    return pages.join(links).join(files)
+    rows = pages.unionByName(links, allowMissingColumns=True).unionByName(files, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def crawl_eta(log: DataFrame, queued: int | Column, total: int = 0, ts: str = "ts") -> DataFrame:

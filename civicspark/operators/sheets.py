@@ -99,28 +99,39 @@ def unique_names(names: Column) -> Column:
     """Names made unique in order: a name already taken gets ``_1``, ``_2`` ... , the first one free."""
     # Numbering the repeats of each name is right whenever its result has no
     # repeats itself; only names like "a", "a_1", "a" need the step by step form.
-    return let(
+    numbered = let(
         _numbered(names),
         lambda done: F.when(F.size(F.array_distinct(done)) == F.size(done), done).otherwise(_taken_in_turn(names)),
     )
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(numbered)
 
 
 def _numbered(names: Column) -> Column:
-    placed = F.sort_array(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("place"))))
+    """Every repeat of a name with its number: two sorts and a few linear passes."""
+    by_name = F.sort_array(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("place"))))
+
+    def starts(pairs: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(pairs) - 1)
+        return F.filter(places, lambda i: (i == 0) | (F.get(pairs, i)["name"] != F.get(pairs, i - 1)["name"]))
 
-    def number(pair: Column, position: Column, ordered: Column) -> Column:
-        repeat = position + 1 - F.array_position(ordered, pair["name"])
-        name = F.when(repeat > 0, F.concat(pair["name"], F.lit("_"), repeat)).otherwise(pair["name"])
+    def repeats(pairs: Column, begins: Column) -> Column:
+        end = F.size(pairs)
+        return F.flatten(F.transform(
+            begins, lambda s, i: F.sequence(F.lit(0), F.coalesce(F.get(begins, i + 1), end) - s - 1)
+        ))
+
+    def named(pair: Column, repeat: Column) -> Column:
+        name = F.when(repeat == 0, pair["name"]).otherwise(F.concat(pair["name"], F.lit("_"), repeat))
         return F.struct(pair["place"].alias("place"), name.alias("name"))
 
-    numbered = let(
-        placed,
+    by_place = let(
+        by_name,
         lambda pairs: let(
-            F.transform(pairs, lambda p: p["name"]),
-            lambda ordered: F.transform(pairs, lambda p, i: number(p, i, ordered)),
+            let(starts(pairs), lambda begins: repeats(pairs, begins)),
+            lambda counts: F.transform(pairs, lambda p, i: named(p, F.get(counts, i))),
         ),
     )
-    return F.transform(F.sort_array(numbered), lambda p: p["name"])
+    return F.transform(F.sort_array(by_place), lambda p: p["name"])
 
 
 def _taken_in_turn(names: Column) -> Column:

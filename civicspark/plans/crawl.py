@@ -49,7 +49,7 @@ def crawl_reach(
     known = stored.groupBy("page_hash").agg(F.max(is_html).alias("html_page"))
     known.write.parquet(f"{home}/known")
     known = spark.read.parquet(f"{home}/known")
-    L.page_hrefs(stored.filter(is_html), ["page_hash"]).distinct().write.parquet(f"{home}/anchors")
+    L.page_hrefs(stored.filter(is_html), ["page_hash"]).write.parquet(f"{home}/anchors")
     anchors = spark.read.parquet(f"{home}/anchors")
 
     frontier = L.with_hash(L.seed_urls(seeds))

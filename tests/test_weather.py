@@ -1,0 +1,181 @@
+import json
+import math
+
+import pytest
+from pyspark.sql import Row
+
+from civicspark import schemas
+from civicspark.functions.dates import http_date, iso_text, iso_utc
+from civicspark.operators import weather as M
+from civicspark.sources import weather as source
+
+
+def _observation(dt_iso, temp=None, rain=None, **other):
+    base = {
+        "dt": 1, "dt_iso": dt_iso, "timezone": 0,
+        "main": {"temp": temp, "temp_min": 0.0, "temp_max": 1.0, "feels_like": 2.0,
+                 "pressure": 1, "humidity": 2, "dew_point": 3.0},
+        "clouds": {"all": 1},
+        "weather": [{"id": 1, "main": "m", "description": "d", "icon": "i"}],
+        "rain": rain, "wind": {"speed": 1.0, "deg": 2}, "lat": 1.0, "lon": 2.0, "city_name": "c",
+    }
+    return {**base, **other}
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    home = tmp_path_factory.mktemp("weather")
+    north = [
+        _observation("2024-01-01T00:00:00.000Z", 10.0, {"1h": 0.5}),
+        _observation("2024-01-02T00:00:00.000Z", 20.0, {"1h": 0.0}),
+        _observation("2024-01-02T12:00:00.000Z", None),
+        _observation("2024-01-03T00:00:00.000Z", 30.0, dt=2**31),
+    ]
+    south = [_observation("2024-01-01T00:00:00.000Z", 5.0), _observation("2024-01-02T00:00:00.000Z", -5.0)]
+    (home / "North.json").write_text(json.dumps(north))
+    (home / "South Bay.json").write_text(json.dumps(south))
+    (home / "Other.json").write_text(json.dumps(south))
+    (home / "cities.list").write_text(json.dumps({"locations": [
+        {"name": n, "country": "XX"} for n in ("North", "South Bay", "Absent")
+    ]}))
+    return home
+
+
+@pytest.fixture(scope="module")
+def weather(spark, folder):
+    return source.read_weather(spark, str(folder))
+
+
+def test_iso_text():
+    assert iso_utc("2024-01-05") == "2024-01-05T00:00:00.000Z"
+    assert iso_utc("2024-01-05T01:02:03.4567+02:00") == "2024-01-04T23:02:03.456Z"
+    with pytest.raises(ValueError):
+        iso_utc("yesterday")
+
+
+def test_column_dates(spark):
+    frame = spark.sql("SELECT TIMESTAMP'2024-01-05 01:02:03.4567' AS t, 'Sat, 01 Jan 2022 00:00:00 GMT' AS h, 'x' AS b")
+    row = frame.select(
+        iso_text(frame.t).alias("iso"), http_date(frame.h).cast("string").alias("day"), http_date(frame.b).alias("none")
+    ).first()
+    assert tuple(row) == ("2024-01-05T01:02:03.456Z", "2022-01-01 00:00:00", None)
+
+
+def test_read_cities_and_files(spark, folder, rows_of, caplog):
+    cities = source.read_cities(spark, str(folder / "cities.list"))
+    assert rows_of(cities, "name") == [("Absent",), ("North",), ("South Bay",)]
+    assert rows_of(source.missing_cities(spark, str(folder), cities), "name") == [("Absent",)]
+    with caplog.at_level("WARNING"):
+        listed = source.read_weather(spark, str(folder), cities)
+    assert "Absent" in caplog.text
+    assert rows_of(M.all_cities(listed)) == [("North",), ("South Bay",)]
+    assert rows_of(M.all_cities(source.read_weather(spark, str(folder)))) == [("North",), ("Other",), ("South Bay",)]
+
+
+def test_append_keeps_duplicates_and_prunes(spark, weather, tmp_path, capsys):
+    table = str(tmp_path / "table")
+    source.append_weather(weather, table)
+    source.append_weather(weather, table)
+    stored = source.read_weather_table(spark, table)
+    assert stored.count() == 2 * weather.count()
+    mean = M.average_temperature(stored, "South Bay", "2024-01-01", "2024-01-01")
+    assert tuple(mean.first()) == (5.0, 2)
+    mean.explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(city" in plan
+    assert "GreaterThanOrEqual(dt_iso" in plan
+    assert "main:struct<temp:double>" in plan.replace("ReadSchema: struct<", "")
+
+
+@pytest.mark.parametrize("start, end, count", [
+    ("2024-01-01", "2024-01-02", 2),
+    ("2024-01-02", "2024-01-01", 0),
+    ("2024-01-02", None, 3),
+    (None, "2024-01-02", 2),
+    ("", "2024-01-02", 2),
+    (None, None, 0),
+    ("", "", 0),
+])
+def test_date_filter(weather, start, end, count):
+    assert M.of_city(weather, "North", start, end).count() == count
+
+
+def test_no_dates_all(weather):
+    assert M.of_city(weather, "North", no_dates="all").count() == 4
+    assert M.of_city(weather, "north", no_dates="all").count() == 0
+    with pytest.raises(ValueError):
+        M.in_dates(no_dates="some")
+
+
+def test_average_counts_missing_values(weather):
+    assert tuple(M.average_temperature(weather, "North", "2024-01-01").first()) == (20.0, 4)
+    assert tuple(M.average_feels_like(weather, "North", "2024-01-01").first()) == (2.0, 4)
+    plain = M.average(M.of_city(weather, "North", "2024-01-01"), "main.temp")
+    assert plain.columns == ["temp", "count"]
+
+
+@pytest.mark.parametrize("city, start, end", [
+    ("Nowhere", "2024-01-01", None),            # no rows
+    ("South Bay", "2024-01-01", None),          # mean of exactly 0
+    ("North", "2024-01-02T10:00:00", "2024-01-02T13:00:00"),  # all values missing
+])
+def test_average_guard(weather, city, start, end):
+    assert tuple(M.average_temperature(weather, city, start, end).first()) == (0.0, 0)
+
+
+def test_average_of_nan_is_guarded(spark):
+    rows = spark.createDataFrame([("n", "2024-01-01T00:00:00.000Z", Row(temp=math.nan))],
+                                 "city string, dt_iso string, main struct<temp: double>")
+    assert tuple(M.average_temperature(rows, "n", "2023-01-01").first()) == (0.0, 0)
+
+
+def test_rain_is_renamed_when_it_fell(weather, rows_of):
+    rain = M.with_rain_duration(M.of_city(weather, "North", "2024-01-01")).select("dt_iso", "rain.duration_1h", "rain")
+    assert [(r.duration_1h, r.rain is None) for r in rain.orderBy("dt_iso").collect()] == [
+        (0.5, False), (None, True), (None, True), (None, True)
+    ]
+
+
+def test_page_skips_before_it_limits(weather):
+    def times(**kw):
+        return [r.dt_iso[8:13] for r in M.get_weather(weather, "North", "2024-01-01", **kw).collect()]
+
+    assert times(limit=2, skip=1) == ["02T00", "02T12"]
+    assert len(times(limit=0)) == 4 and len(times(limit=None, skip=None)) == 4
+    assert times(skip=9) == []
+    with pytest.raises(ValueError):
+        times(limit=-1)
+
+
+def test_default_page_size(spark):
+    many = spark.range(30).selectExpr("printf('2024-01-%02d', id % 28 + 1) AS dt_iso", "id")
+    assert M.page(many).count() == 10
+
+
+@pytest.mark.parametrize("skip", [0, 7, 120, 499, 860, 998, 1000, 5000])
+def test_deep_page_equals_plain_page(spark, skip):
+    # A third of the rows shares one time.
+    rows = spark.range(1000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN '2024-02-02T05:00:00.000Z' "
+        "ELSE date_format(timestamp_seconds(1700000000 + id * 3571), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\") END AS dt_iso", "id"
+    )
+    plain = M.page(rows, 5, skip, ["id"]).collect()
+    assert M.page(rows, 5, skip, ["id"], deep_from=6).collect() == plain
+    assert len(plain) == max(0, min(5, 1000 - skip))
+
+
+def test_selected_fields_keep_their_nesting(weather, capsys):
+    cut = M.get_weather(weather, "North", "2024-01-01", fields=["dt", "main.temp", "main.humidity", "weather.id", "rain"])
+    assert cut.schema.simpleString() == (
+        "struct<dt:bigint,main:struct<temp:double,humidity:int>,weather:array<struct<id:int>>,"
+        "rain:struct<duration_1h:double>>"
+    )
+
+
+def test_required_fields(spark, weather):
+    found = {r.field: r.violations for r in M.required_violations(weather).collect()}
+    assert found["dt"] == 1 and found["main.temp"] == 1
+    assert sum(found.values()) == 2
+    bare = spark.createDataFrame([(None,) * len(schemas.WEATHER)], schemas.WEATHER)
+    found = {r.field: r.violations for r in M.required_violations(bare).collect()}
+    assert found["main"] == 1 and found["main.temp"] == 0 and found["weather"] == 1
