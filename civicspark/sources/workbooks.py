@@ -14,9 +14,10 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from civicspark import schemas
 
@@ -61,7 +62,7 @@ def decode_workbooks(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataF
     Decode once: write the result to a table before deriving several others.
     """
     small = files.filter(F.col("length") <= max_bytes).select("path", "content")
-    decoded = small.mapInPandas(_decode_batches, schemas.WORKBOOK_PARTS)
+    decoded = small.mapInArrow(_decode_batches, schemas.WORKBOOK_PARTS)
     large = files.filter(F.col("length") > max_bytes).select(
         F.col("path").alias("file_path"),
         F.lit("error").alias("part"),
@@ -109,25 +110,20 @@ def workbook_cells(rows: DataFrame) -> DataFrame:
 
 # -- inside the tasks ---------------------------------------------------------
 
-_COLUMNS = schemas.WORKBOOK_PARTS.fieldNames()
+_PARTS = to_arrow_schema(schemas.WORKBOOK_PARTS)
 
 
-def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            for record in _decode_file(path, content):
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            for record in _decode_file(path.as_py(), content.as_py()):
                 held.append(record)
                 if len(held) >= _ROWS_PER_BATCH:
-                    yield _frame(held)
+                    yield pa.RecordBatch.from_pylist(held, schema=_PARTS)
                     held = []
     if held:
-        yield _frame(held)
-
-
-def _frame(records: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame.from_records(records, columns=_COLUMNS)
-    return frame.astype({"sheet_index": "Int32", "row": "Int64", "n_rows": "Int64", "n_cols": "Int32"})
+        yield pa.RecordBatch.from_pylist(held, schema=_PARTS)
 
 
 def _decode_file(path: str, content: bytes) -> Iterator[dict]:
