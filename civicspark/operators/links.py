@@ -104,25 +104,39 @@ def robots_filter(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     ``rules``: ``host, agent, prefix, allow``. Rules for a named agent come
     before those for ``*``; the longest matching path prefix decides, and
     "allow" wins a tie. Without a match the URL is allowed, but a host
-    without any rules is denied. The rules of a host meet its URLs as one
-    array, so URLs are not multiplied.
+    without any rules is denied.
+
+    A path is not compared with every rule of its host. It is cut at the
+    prefix lengths that occur for the host, and the pieces are looked up, an
+    equi-join on host and prefix. Neither the rules nor the URLs of a host
+    are collected.
     """
     named = (F.col("agent") != "*") & F.lit(agent.lower()).contains(F.lower("agent"))
-    hosts = rules.groupBy("host").agg(
-        F.collect_list(F.when(named, F.struct("prefix", "allow"))).alias("_named"),
-        F.collect_list(F.when(F.col("agent") == "*", F.struct("prefix", "allow"))).alias("_any"),
-    ).select("host", F.when(F.size("_named") > 0, F.col("_named")).otherwise(F.col("_any")).alias("_rules"))
+    relevant = rules.select("host", "prefix", "allow", named.alias("_named"), (F.col("agent") == "*").alias("_any"))
+    hosts = relevant.groupBy("host").agg(F.max("_named").alias("_has_named"))
+    binding = (
+        relevant.join(hosts, "host")
+        .filter(F.when(F.col("_has_named"), F.col("_named")).otherwise(F.col("_any")) & (F.col("prefix") != ""))
+        .groupBy("host", "prefix").agg(F.max("allow").alias("allow"))
+    )
+    # At most as many entries as the longest prefix has characters.
+    lengths = binding.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+
     target = F.regexp_extract(F.col("url"), r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^#]*)", 1)
-    placed = urls.withColumn("_host", U.netloc_of(F.col("url"))).withColumn(
-        "_path", F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
+    path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
+    placed = urls.withColumn("host", U.netloc_of(F.col("url"))).withColumn("_path", path)
+    pieces = (
+        placed.select("host", "_path").distinct().join(lengths, "host")
+        .select("host", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_length"))
+        .withColumn("prefix", F.substr("_path", F.lit(1), F.col("_length")))
     )
-    matches = F.transform(
-        F.filter("_rules", lambda r: (r["prefix"] != "") & F.startswith(F.col("_path"), r["prefix"])),
-        lambda r: F.struct(F.length(r["prefix"]).alias("length"), r["allow"].alias("allow")),
+    denied = (
+        pieces.join(binding, ["host", "prefix"])
+        .groupBy("host", "_path").agg(F.max_by("allow", "_length").alias("allow"))
+        .filter(~F.col("allow"))
     )
-    allowed = F.coalesce(F.array_max(matches)["allow"], F.lit(True))
-    joined = placed.join(hosts.withColumnRenamed("host", "_host"), "_host")
-    return joined.filter(allowed).select(*urls.columns)
+    known = placed.join(hosts, "host", "left_semi")
+    return known.join(denied, ["host", "_path"], "left_anti").select(*urls.columns)
 
 
 def crawl_totals(crawled: DataFrame, visited: DataFrame, downloaded: DataFrame) -> DataFrame:

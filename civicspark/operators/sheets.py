@@ -18,6 +18,7 @@ from civicspark.functions.binding import let
 # Places of the parts of a sheet.
 HEADER_ROW = 4
 FIRST_RECORD_ROW = 6
+HEADING = ["header", "metadata", "table_info", "copyright"]
 SKIPPED_SHEET = "Contents"
 MISSING_NAME = "nan"
 
@@ -75,24 +76,21 @@ def _cell(values: Column, col: int) -> Column:
 def sheet_metadata(rows: DataFrame, sheets: DataFrame) -> DataFrame:
     """``header, metadata, table_info, copyright`` of each of ``sheets``.
 
-    Only the rows that can hold one of them leave the scan's task.
+    If ``sheets`` carries them as ``heading`` (decoded workbooks do) this is a
+    projection; otherwise one pass over ``rows``, reduced in each task.
     """
-    values = F.col("values")
-    head = rows.filter(F.col("row") <= 2).select(
-        *SHEET, "row", _cell(values, 0).alias("first"), _cell(values, 1).alias("second")
-    )
-    top = head.groupBy(*SHEET).agg(
-        F.max(F.when(F.col("row") == 0, F.col("second"))).alias("header"),
-        F.max(F.when(F.col("row") == 1, F.col("first"))).alias("metadata"),
-        F.max(F.when(F.col("row") == 2, F.col("first"))).alias("table_info"),
-    )
-    last = rows.groupBy(*SHEET).agg(
-        F.max(F.when(_width(values) > 0, F.struct("row", _cell(values, 0).alias("text")))).alias("_end")
-    )
-    return (
-        sheets.select(*SHEET).join(top, SHEET, "left").join(last, SHEET, "left")
-        .select(*SHEET, "header", "metadata", "table_info", F.col("_end.text").alias("copyright"))
+    if "heading" in sheets.columns:
+        return sheets.select(*SHEET, *[F.get("heading", i).alias(n) for i, n in enumerate(HEADING)])
+    values, row = F.col("values"), F.col("row")
+    first, second = _cell(values, 0), _cell(values, 1)
+    cells = rows.select(*SHEET, "row", first.alias("first"), second.alias("second"), (_width(values) > 0).alias("filled"))
+    found = cells.groupBy(*SHEET).agg(
+        F.max(F.when(row == 0, F.col("second"))).alias("header"),
+        F.max(F.when(row == 1, F.col("first"))).alias("metadata"),
+        F.max(F.when(row == 2, F.col("first"))).alias("table_info"),
+        F.max(F.when(F.col("filled"), F.struct("row", "first")))["first"].alias("copyright"),
     )
+    return sheets.select(*SHEET).join(found, SHEET, "left")
 
 
 def unique_names(names: Column) -> Column:
@@ -144,17 +142,19 @@ def _taken_in_turn(names: Column) -> Column:
 
 
 def header_names(rows: DataFrame, sheets: DataFrame) -> DataFrame:
-    """``names``: the unique column names of each of ``sheets``, as many as it has columns.
+    """``n_rows, names``: the unique column names of each of ``sheets``, as many as it has columns.
 
-    The names come from row 4; a missing name is ``nan``.
+    The names come from row 4 (from ``header`` where ``sheets`` carries it); a
+    missing name is ``nan``.
     """
-    header = rows.filter(F.col("row") == HEADER_ROW).select(*SHEET, "values")
+    wide = sheets.filter("n_cols > 0")
+    if "header" not in sheets.columns:
+        header = rows.filter(F.col("row") == HEADER_ROW).select(*SHEET, F.col("values").alias("header"))
+        wide = wide.join(header, SHEET, "left")
     padded = F.transform(
-        F.sequence(F.lit(1), F.col("n_cols")),
-        lambda i: F.coalesce(F.get(F.col("values"), i - 1), F.lit(MISSING_NAME)),
+        F.sequence(F.lit(0), F.col("n_cols") - 1), lambda i: F.coalesce(F.get("header", i), F.lit(MISSING_NAME))
     )
-    wide = sheets.filter("n_cols > 0").join(header, SHEET, "left").select(*SHEET, padded.alias("names"))
-    return wide.withColumn("names", unique_names(F.col("names")))
+    return wide.select(*SHEET, "n_rows", padded.alias("names")).withColumn("names", unique_names(F.col("names")))
 
 
 def sheet_records(rows: DataFrame, sheets: DataFrame, drop_footer: bool = False) -> DataFrame:
@@ -165,7 +165,7 @@ def sheet_records(rows: DataFrame, sheets: DataFrame, drop_footer: bool = False)
     like the key wins. The last row (the copyright line) is a record too,
     unless ``drop_footer``.
     """
-    names = header_names(rows, sheets).join(sheets.select(*SHEET, "n_rows"), SHEET)
+    names = header_names(rows, sheets)
     data = rows.filter(F.col("row") >= FIRST_RECORD_ROW)
     end = F.col("n_rows") - (1 if drop_footer else 0)
     joined = data.join(names, SHEET).filter(F.col("row") < end)

@@ -22,9 +22,9 @@ def sheet_documents(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, extents = X.sheet_rows(parts), X.sheet_extents(parts)
     broken = X.workbook_rejects(parts)
     accepted = S.accepted_sheets(extents, broken)
-    metadata = F.struct("header", "metadata", "table_info", "copyright").alias("metadata")
+    metadata = F.struct(*[F.get("heading", i).alias(n) for i, n in enumerate(S.HEADING)]).alias("metadata")
     count = F.greatest(F.col("n_rows") - S.FIRST_RECORD_ROW, F.lit(0)).alias("records")
-    sheets = S.sheet_metadata(rows, accepted).join(accepted, S.SHEET).select(*S.SHEET, metadata, count)
+    sheets = accepted.select(*S.SHEET, metadata, count)
     records = S.sheet_records(rows, accepted)
     return sheets, records, broken.unionByName(S.sheet_rejects(extents))
 
@@ -106,6 +106,7 @@ def write_records_json(rows: DataFrame, folder: str, file: str = "file") -> None
     fields = [F.col(c).alias(titles.get(c, c)) for c in kept]
     (
         rows.select(name.alias("workbook"), *fields)
+        .hint("rebalance", "workbook")
         .write.mode("overwrite").partitionBy("workbook")
         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").option("ignoreNullFields", False)
         .json(folder)

@@ -53,8 +53,9 @@ BINARY_FILES = T.StructType([
     T.StructField("content", T.BinaryType()),
 ])
 
-# One record per sheet row (arrays end at the last cell that holds a value),
-# per sheet (its extent), per document property and per file that fails to open.
+# One record per sheet row (arrays end at the last cell that holds a value), per
+# sheet (its extent, the four cells of its heading and, as values, its header
+# row), per document property and per file that fails to open.
 WORKBOOK_PARTS = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("part", T.StringType()),
@@ -65,6 +66,7 @@ WORKBOOK_PARTS = T.StructType([
     T.StructField("dtypes", T.ArrayType(T.StringType())),
     T.StructField("n_rows", T.LongType()),
     T.StructField("n_cols", T.IntegerType()),
+    T.StructField("heading", T.ArrayType(T.StringType())),
     T.StructField("name", T.StringType()),
     T.StructField("text", T.StringType()),
 ])

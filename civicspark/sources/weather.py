@@ -53,8 +53,12 @@ def missing_cities(spark: SparkSession, folder: str, cities: DataFrame) -> DataF
 
 
 def append_weather(rows: DataFrame, path: str) -> None:
-    """Append without a key, one folder per city; rows of a city may be spread over many files."""
-    rows.write.mode("append").partitionBy("city").parquet(path)
+    """Append without a key, one folder per city.
+
+    The rows are rebalanced, so that small cities share a task and give one
+    file each, while a large one is split over as many tasks as it needs.
+    """
+    rows.hint("rebalance", "city").write.mode("append").partitionBy("city").parquet(path)
 
 
 def read_weather_table(spark: SparkSession, path: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from civicspark import schemas
+from civicspark.operators.sheets import HEADER_ROW
 
 MAX_FILE_BYTES = 1 << 30
 _ROWS_PER_BATCH = 4096
@@ -78,9 +79,15 @@ def sheet_rows(parts: DataFrame) -> DataFrame:
 
 
 def sheet_extents(parts: DataFrame) -> DataFrame:
-    """``file_path, sheet_index, sheet_name, n_rows, n_cols`` of every sheet, empty ones included."""
+    """``file_path, sheet_index, sheet_name, n_rows, n_cols, heading, header`` of every sheet, empty ones included.
+
+    ``heading`` and ``header`` are the cells that name a sheet and its
+    columns. With them no operator has to look for these cells among the rows.
+    """
     sheets = parts.filter(F.col("part") == "sheet")
-    return sheets.select("file_path", "sheet_index", "sheet_name", "n_rows", "n_cols")
+    return sheets.select(
+        "file_path", "sheet_index", "sheet_name", "n_rows", "n_cols", "heading", F.col("values").alias("header")
+    )
 
 
 def workbook_rejects(parts: DataFrame) -> DataFrame:
@@ -178,15 +185,28 @@ def _decode_book(path: str, book: zipfile.ZipFile) -> Iterator[dict]:
         target = next(v for k, v in sheet.attrib.items() if _local(k) == "id")
         base = {"file_path": path, "sheet_index": index, "sheet_name": sheet.get("name")}
         n_rows = n_cols = 0
+        top: dict[int, list] = {}
+        last: list = []
         with book.open(links[target]) as stream:
             for number, values, dtypes in _rows(stream, strings, dates, epoch):
                 if not values:
                     continue
+                last = values
+                if number <= HEADER_ROW:
+                    top[number] = values
                 for blank in range(n_rows, number):
                     yield {**base, "part": "row", "row": blank, "values": [], "dtypes": []}
                 yield {**base, "part": "row", "row": number, "values": values, "dtypes": dtypes}
                 n_rows, n_cols = number + 1, max(n_cols, len(values))
-        yield {**base, "part": "sheet", "n_rows": n_rows, "n_cols": n_cols}
+        heading = [_at(top.get(0), 1), _at(top.get(1), 0), _at(top.get(2), 0), _at(last, 0)]
+        yield {
+            **base, "part": "sheet", "n_rows": n_rows, "n_cols": n_cols,
+            "heading": heading, "values": top.get(HEADER_ROW, []),
+        }
+
+
+def _at(values: list | None, col: int) -> str | None:
+    return values[col] if values and col < len(values) else None
 
 
 def _shared_strings(book: zipfile.ZipFile, name: str) -> list[str]:
