@@ -101,17 +101,14 @@ def cooldown(
     )
 
 
-def _runs(batch: pd.DataFrame, columns: list[str]) -> Iterator[tuple[int, int]]:
-    """Start and end of each run of equal ``columns`` in a sorted batch."""
+def _runs(batch: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
+    """Key and block, start and end of each run of equal ones in a sorted batch."""
     if batch.empty:
         return
-    changed = np.zeros(len(batch), dtype=bool)
-    for column in columns:
-        values = batch[column].to_numpy()
-        changed[1:] |= values[1:] != values[:-1]
-    starts = np.flatnonzero(changed)
-    edges = [0, *starts.tolist(), len(batch)]
-    yield from zip(edges[:-1], edges[1:])
+    keys, blocks = batch["key"].to_numpy(), batch["block"].to_numpy()
+    changed = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+    starts = [0, *changed.tolist()]
+    yield from zip(zip(keys[starts].tolist(), blocks[starts].tolist()), starts, [*starts[1:], len(batch)])
 
 
 class _Outcome:
@@ -123,16 +120,16 @@ class _Outcome:
         self.open = True
         self.live: deque[tuple[int, list[int]]] = deque()  # (accepts from, entry times that lead here)
 
-    def add(self, at: np.ndarray) -> None:
-        i = 0
-        while self.open and i < len(at):
-            self._visit(int(at[i]), True)
+    def add(self, at: list[int], start: int, end: int) -> None:
+        i = start
+        while self.open and i < end:
+            self._visit(at[i], True)
             self.open = at[i] < self.horizon
             i += 1
-        while i < len(at) and self.live:
-            i += int(np.searchsorted(at[i:], self.live[0][0]))
-            if i < len(at):
-                self._visit(int(at[i]), False)
+        while i < end:
+            i = bisect_left(at, self.live[0][0], i, end)
+            if i < end:
+                self._visit(at[i], False)
 
     def _visit(self, time: int, entering: bool) -> None:
         led: list[int] = []
@@ -146,28 +143,33 @@ class _Outcome:
             self.live.append((time + self.step, led))
 
     def table(self) -> tuple[list[int], list[int]]:
+        if len(self.live) == 1:
+            leave, led = self.live[0]
+            return [max(led)], [leave]
         pairs = sorted((upto, leave) for leave, led in self.live for upto in led)
         kept = [p for p, n in zip(pairs, [*pairs[1:], (0, None)]) if p[1] != n[1]]
         return [p[0] for p in kept], [p[1] for p in kept]
 
 
+_OUTCOME = ["key", "block", "upto", "leave"]
+
+
 def _outcomes(step: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, state = None, None
         for batch in batches:
             done = []
-            at = batch["at"].to_numpy()
-            for start, end in _runs(batch, ["key", "block"]):
-                here = (batch["key"].iat[start], batch["block"].iat[start])
+            at = batch["at"].tolist()
+            for here, start, end in _runs(batch):
                 if here != place:
                     if state is not None:
                         done.append((*place, *state.table()))
-                    place, state = here, _Outcome(step, int(at[start]))
-                state.add(at[start:end])
+                    place, state = here, _Outcome(step, at[start])
+                state.add(at, start, end)
             if done:
-                yield pd.DataFrame(done, columns=["key", "block", "upto", "leave"])
+                yield pd.DataFrame(done, columns=_OUTCOME)
         if state is not None:
-            yield pd.DataFrame([(*place, *state.table())], columns=["key", "block", "upto", "leave"])
+            yield pd.DataFrame([(*place, *state.table())], columns=_OUTCOME)
 
     return run
 
@@ -176,7 +178,7 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, entry = None, _NEVER
     for batch in batches:
         entries = []
-        for own, upto, leave in zip(batch["key"], batch["upto"], batch["leave"]):
+        for own, upto, leave in zip(batch["key"].tolist(), batch["upto"], batch["leave"]):
             if own != key:
                 key, entry = own, _NEVER
             entries.append(entry)
@@ -190,18 +192,17 @@ def _accept(step: int, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, threshold = None, _NEVER
         for batch in batches:
-            at = batch["at"].to_numpy()
+            at = batch["at"].tolist()
             picked: list[int] = []
-            for start, end in _runs(batch, ["key", "block"]):
-                here = (batch["key"].iat[start], batch["block"].iat[start])
+            for here, start, end in _runs(batch):
                 if here != place:
-                    place, threshold = here, int(at[start])
+                    place, threshold = here, at[start]
                     start += 1
-                i = start + int(np.searchsorted(at[start:end], threshold))
+                i = bisect_left(at, threshold, start, end)
                 while i < end:
                     picked.append(i)
-                    threshold = int(at[i]) + step
-                    i += int(np.searchsorted(at[i:end], threshold))
+                    threshold = at[i] + step
+                    i = bisect_left(at, threshold, i + 1, end)
             yield batch.iloc[picked][columns]
 
     return run
