@@ -451,12 +451,21 @@ def _sql_normal(url: str, decode: bool = True) -> str:
     return f"lower(rtrim({head} || CASE WHEN {query} = '' THEN '' ELSE '?' || {ordered} END, '/'))"
 
 
-_HREFS = r"""
-hrefs AS (
-  SELECT page_id, url AS base_url, replace(unnest(regexp_extract_all(
+def _sql_decoded(text: str) -> str:
+    """Character references of HTML replaced by their characters."""
+    for reference, char in H.CHARACTER_REFERENCES:
+        quoted = char.replace("'", "''")
+        text = f"replace({text}, '{reference}', '{quoted}')"
+    return text
+
+
+_HREFS = rf"""
+raw_hrefs AS (
+  SELECT page_id, url AS base_url, unnest(regexp_extract_all(
            regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs'),
-           '(?i)<a\s+href="([^"]*)"', 1)), '&amp;', '&') AS href
-  FROM pages)"""
+           '(?i)<a\s+href="([^"]*)"', 1)) AS raw
+  FROM pages),
+hrefs AS (SELECT page_id, base_url, {_sql_decoded("raw")} AS href FROM raw_hrefs)"""
 
 # All references of the given pages begin with one slash.
 _LINKS = f"""{_HREFS},
@@ -639,7 +648,7 @@ SELECT page_id, url FROM urls WHERE contains(url, '.xlsx') OR contains(url, '.zi
     "content_md5": "SELECT page_id, md5(html) AS md5 FROM pages",
     "page_title_slug": rf"""
 WITH titled AS (
-  SELECT page_id, url, replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&') AS title
+  SELECT page_id, url, {_sql_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title
   FROM pages)
 SELECT page_id,
        array_to_string(list_slice(string_split_regex(trim(title), '\s+'), 1, 50), '_') || '_' ||

@@ -47,16 +47,22 @@ def page_title(html: Column) -> Column:
     return decode_references(F.get(found, F.lit(0)))
 
 
-def page_title_slug(html: Column, url: Column, words: int = 50) -> Column:
-    """First ``words`` words of the title and the URL base name, joined by ``_``."""
+def page_title_slug(html: Column, url: Column, words: int = 50, stamp: Column | None = None) -> Column:
+    """First ``words`` words of the title and the URL base name, joined by ``_``.
+
+    With the timestamp ``stamp`` it is a file name: the time follows, then ``.html``.
+    """
     title = F.coalesce(page_title(html), F.lit("webpage"))
     tokens = F.split(F.regexp_replace(title, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
     base = basename(path_of(url))
-    return F.concat_ws(
+    slug = F.concat_ws(
         "_",
         F.array_join(F.slice(tokens, 1, words), "_"),
         F.when(base == "", "index").otherwise(base),
     )
+    if stamp is None:
+        return slug
+    return F.concat(slug, F.lit("_"), F.date_format(stamp, "yyyyMMddHHmmss"), F.lit(".html"))
 
 
 def mime_type(content_type: Column) -> Column:

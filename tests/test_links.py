@@ -43,6 +43,12 @@ def test_title_slug(spark, html, url, slug):
     assert frame.select(H.page_title_slug(F.col("html"), F.col("url"))).first()[0] == slug
 
 
+def test_title_file_name(spark):
+    frame = spark.sql("SELECT '<title>A b</title>' AS html, 'https://a.net/z' AS url, TIMESTAMP'2024-01-02 03:04:05' AS t")
+    name = frame.select(H.page_title_slug(F.col("html"), F.col("url"), stamp=F.col("t"))).first()[0]
+    assert name == "A_b_z_20240102030405.html"
+
+
 @pytest.fixture
 def pages(spark):
     html = '<a href="../up"></a><a href="?b=2&amp;a=1#f"></a><a href="//B.org/x/"></a><a href="book.xlsx"></a><a href="../up"></a>'
