@@ -62,9 +62,14 @@ _EMPTY_PARAMS = (
     rf"(?s)^(?!(?!{_one_of(SCHEMES_WITH_PARAMS)}){_SCHEME})((?:{_SCHEME})?+(?://[^/]*+)?+(?:.*/)?[^/;]*);$"
 )
 _IDLE_AUTHORITY = rf"^((?!{_one_of(SCHEMES_WITH_NETLOC)}){_SCHEME})?//(?=/(?!/)|$)"
+_PLAIN_PATH = r"^/(?!/)[^?#;\t\r\n]*\z"
 _MISSING_AUTHORITY = rf"^({_one_of(SCHEMES_WITH_NETLOC)})(?=/(?!/)|$)"
 
 
+def _is_one_of(scheme: Column, schemes: Iterable[str]) -> Column:
+    return scheme.rlike(rf"^(?:{'|'.join(re.escape(s) for s in schemes if s)})?$")
+
+
 def _lit(value: str) -> Column:
     return F.lit(value)
 
@@ -126,7 +131,7 @@ def unsplit_url(parts: UrlParts) -> Column:
     rooted = F.when((local == "") | local.startswith("/"), local).otherwise(F.concat(_lit("/"), local))
     bare_authority = (
         (parts.scheme != "")
-        & parts.scheme.isin(SCHEMES_WITH_NETLOC)
+        & _is_one_of(parts.scheme, SCHEMES_WITH_NETLOC)
         & ((local == "") | local.startswith("/"))
     )
     with_netloc = (
@@ -154,11 +159,12 @@ def normalize_url(url: Column, decode: bool = True) -> Column:
     ``decode=False`` leaves percent escapes alone.
     """
     text = _clean(percent_decode(url) if decode else url)
-    head = F.regexp_extract(text, r"(?s)^([^?#]*)", 1)
-    head = F.regexp_replace(head, _EMPTY_PARAMS, "$1")
+    local = F.substring_index(text, "#", 1)
+    start = F.substring_index(local, "?", 1)
+    query = F.substr(local, F.length(start) + 2)
+    head = F.regexp_replace(start, _EMPTY_PARAMS, "$1")
     head = F.regexp_replace(head, _IDLE_AUTHORITY, "$1")
     head = F.regexp_replace(head, _MISSING_AUTHORITY, "$1//")
-    query = F.regexp_extract(text, r"(?s)^[^?#]*\?([^#]*)", 1)
     ordered = F.array_join(F.sort_array(F.split(query, "&")), "&")
     marked = F.regexp_replace(F.concat(_lit("?"), ordered), r"^\?$", "")
     return F.lower(F.rtrim(F.concat(head, marked), _lit("/")))
@@ -179,7 +185,7 @@ def _resolve_dots(path: Column) -> Column:
 
 def _resolve(base: UrlParts, href: UrlParts, raw_href: Column) -> Column:
     scheme = F.when(href.scheme == "", base.scheme).otherwise(href.scheme)
-    networked = scheme.isin(SCHEMES_WITH_NETLOC)
+    networked = _is_one_of(scheme, SCHEMES_WITH_NETLOC)
     netloc = F.when(networked, base.netloc).otherwise(href.netloc)
     folder = F.when(base.path == "", _lit("/")).otherwise(F.regexp_replace(base.path, r"[^/]*$", ""))
     merged = F.regexp_replace(F.concat(folder, href.path), "/+", "/")
@@ -194,7 +200,7 @@ def _resolve(base: UrlParts, href: UrlParts, raw_href: Column) -> Column:
         return unsplit_url(UrlParts(scheme, netloc, path, href.params, href.query, href.fragment))
 
     return (
-        F.when((scheme != base.scheme) | ~scheme.isin(SCHEMES_RELATIVE), raw_href)
+        F.when((scheme != base.scheme) | ~_is_one_of(scheme, SCHEMES_RELATIVE), raw_href)
         .when((href.netloc != "") & networked, unsplit_url(absolute))
         .when((href.path == "") & (href.params == ""), unsplit_url(same_document))
         .otherwise(let(_resolve_dots(unwalked), relative))
@@ -203,7 +209,10 @@ def _resolve(base: UrlParts, href: UrlParts, raw_href: Column) -> Column:
 
 def _join(base: Column, base_parts: Column, href: Column) -> Column:
     joined = let(split_url(href).as_struct(), lambda h: _resolve(parts_of(base_parts), parts_of(h), href))
-    return F.when(base == "", href).when(href == "", base).otherwise(joined)
+    # Most links are plain paths from the root of their site; they need no splitting.
+    rooted = href.rlike(_PLAIN_PATH) & ~href.contains("/.") & (base_parts["netloc"] != "") & base_parts["scheme"].isin("http", "https")
+    site = F.concat(base_parts["scheme"], _lit("://"), base_parts["netloc"])
+    return F.when(base == "", href).when(href == "", base).when(rooted, F.concat(site, href)).otherwise(joined)
 
 
 def url_join(base: Column, href: Column) -> Column:

@@ -35,8 +35,8 @@ def crawl_reach(
 
     Anchors are extracted once and written, and so is every hop, below the
     shared folder of the session: later hops read files instead of a growing
-    plan, and a lost executor costs one stage. Only the count of a hop comes
-    to the driver.
+    plan, and a lost executor costs one stage. Only whether a hop is empty
+    comes to the driver. The result reads these files, so they stay there.
     """
     spark = seeds.sparkSession
     home = storage.run_dir(spark, "reach")

@@ -26,7 +26,8 @@ def sheet_documents(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     count = F.greatest(F.col("n_rows") - S.FIRST_RECORD_ROW, F.lit(0)).alias("records")
     sheets = accepted.select(*S.SHEET, metadata, count)
     records = S.sheet_records(rows, accepted)
-    return sheets, records, broken.unionByName(S.sheet_rejects(extents))
+    small = S.sheet_rejects(extents.join(broken, "file_path", "left_anti"))
+    return sheets, records, broken.unionByName(small)
 
 
 def ingest_workbooks(files: DataFrame, store: str, batch_id: int) -> None:
