@@ -47,7 +47,7 @@ def test_hot_groups_are_cut(spark):
     name = F.concat(F.lit("n"), F.col("id") % 2)
     kv = spark.range(10).select(
         name.alias("file"), (F.col("id") % 3).alias("sheet_index"), name.alias("sheet"), F.col("id").alias("row"),
-        F.col("id").cast("string").alias("key"), F.lit("v").alias("value"),
+        F.when(F.col("id") > 2, "k").alias("key"), F.when(F.col("id") > 3, "v").alias("value"),
     )
     looks = spark.range(10).select(name.alias("path"), F.timestamp_seconds("id").alias("ts"), F.lit("x").alias("sha256"))
     for frame in (K.merge_split_values(kv), W.stable_files(looks)):
