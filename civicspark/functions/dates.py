@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column
@@ -9,8 +10,14 @@ from pyspark.sql import functions as F
 
 
 def iso_utc(text: str) -> str:
-    """``text`` as ``yyyy-MM-ddTHH:mm:ss.SSSZ``; a date or time without a zone counts as UTC."""
-    moment = datetime.fromisoformat(text.strip())
+    """``text`` as ``yyyy-MM-ddTHH:mm:ss.SSSZ``; a date or time without a zone counts as UTC.
+
+    A year or a month alone means its first day.
+    """
+    text = text.strip()
+    if re.fullmatch(r"\d{4}(-\d{2})?", text):
+        text += "-01-01"[len(text) - 4:]
+    moment = datetime.fromisoformat(text)
     moment = moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment.astimezone(timezone.utc)
     return moment.strftime("%Y-%m-%dT%H:%M:%S.") + f"{moment.microsecond // 1000:03d}Z"
 

@@ -11,9 +11,10 @@ from civicspark import storage
 from civicspark.functions import html as H
 from civicspark.functions import urls as U
 from civicspark.operators import links as L
+from civicspark.sources.web import load_state, save_state
 
 
-def crawl_reach(
+def crawl(
     seeds: DataFrame,
     pages: DataFrame,
     visited: DataFrame | None = None,
@@ -23,13 +24,17 @@ def crawl_reach(
     directories: Sequence[str] = U.DEFAULT_EXCLUDED_DIRECTORIES,
     prefixes: Sequence[str] = U.DEFAULT_PATH_PREFIXES,
     max_hops: int | None = None,
-) -> DataFrame:
-    """``url, url_hash, hop, allowed, crawled`` of every URL met from ``seeds(url)``.
+    hosts: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Reach from ``seeds(url)`` and the URLs left over when ``max_hops`` ends the crawl.
+
+    The reach is ``url, url_hash, hop, allowed, crawled`` of every URL met,
+    the rest is ``url, url_hash``.
 
     Every URL met is visited once, at its first hop. One that passes the
     policy (and, if ``rules`` are given, the robots rules) is looked up in
     ``pages(url, html[, content_type])``; an HTML page adds its links to the
-    next hop as far as they are on the host of a seed. ``crawled`` marks URLs
+    next hop as far as they are on the host of a seed (of ``hosts(url)`` if given). ``crawled`` marks URLs
     that were fetched: HTML pages, and pages that are missing from the store.
     ``visited(url_hash)`` of an earlier crawl is left out.
 
@@ -40,7 +45,7 @@ def crawl_reach(
     """
     spark = seeds.sparkSession
     home = storage.run_dir(spark, "reach")
-    hosts = seeds.select(U.netloc_of(F.col("url")).alias("netloc")).distinct()
+    hosts = (seeds if hosts is None else hosts).select(U.netloc_of(F.col("url")).alias("netloc")).distinct()
 
     stored = pages.withColumn("page_hash", U.url_hash(U.normalize_url(F.col("url"))))
     is_html = F.lit(True)
@@ -74,8 +79,6 @@ def crawl_reach(
         )
         met.write.mode("overwrite").parquet(f"{home}/met/hop={hop}")
         seen = spark.read.parquet(f"{home}/met")
-        if (max_hops is not None and hop >= max_hops) or seen.filter(F.col("hop") == hop).isEmpty():
-            break
         latest = seen.filter((F.col("hop") == hop) & F.col("expands"))
         # Equal links of one hop are dropped before and after the shuffle; a
         # page that very many others link to arrives once per task.
@@ -88,5 +91,31 @@ def crawl_reach(
         frontier = L.unvisited(L.with_hash(found), seen)
         if visited is not None:
             frontier = L.unvisited(frontier, visited)
+        if (max_hops is not None and hop >= max_hops) or seen.filter(F.col("hop") == hop).isEmpty():
+            break
         hop += 1
-    return seen.select("url", "url_hash", F.col("hop").cast("int").alias("hop"), "allowed", "crawled")
+    reach = seen.select("url", "url_hash", F.col("hop").cast("int").alias("hop"), "allowed", "crawled")
+    return reach, frontier
+
+
+def crawl_reach(seeds: DataFrame, pages: DataFrame, **options) -> DataFrame:
+    """The reach of :func:`crawl`, which takes the same ``options``."""
+    return crawl(seeds, pages, **options)[0]
+
+
+def resume_crawl(
+    seeds: DataFrame, pages: DataFrame, state: str, max_hops: int | None = None, **options
+) -> DataFrame:
+    """Go on from the latest snapshot at ``state`` and write the next one; gives the new part of the reach.
+
+    URLs visited before are skipped, those pending are taken up. Without a
+    snapshot that verifies the crawl begins anew.
+    """
+    saved = load_state(seeds.sparkSession, state)
+    before = saved[0] if saved else None
+    start = seeds.select("url").union(saved[1].select("url")).distinct() if saved else seeds
+    hosts = options.pop("hosts", seeds)
+    reach, left = crawl(start, pages, visited=before, max_hops=max_hops, hosts=hosts, **options)
+    visited = reach.select("url_hash")
+    save_state(visited.union(before.select("url_hash")) if before is not None else visited, left.select("url"), state)
+    return reach

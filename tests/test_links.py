@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civicspark.functions import html as H
 from civicspark.operators import links as L
 from civicspark.operators import quality as Q
-from civicspark.plans.crawl import crawl_reach
+from civicspark.plans.crawl import crawl_reach, resume_crawl
 from civicspark.sources import web
 
 
@@ -223,3 +223,19 @@ def test_reach_equals_breadth_first_search(spark, rows_of):
         ((f"https://s.net/{n}", h, n.startswith("census")) for n, h in hops.items()), key=repr
     )
     assert {urlparse(r.url).netloc for r in reach.collect()} == {"s.net"}
+
+
+def test_a_crawl_in_parts_reaches_the_same(spark, rows_of, tmp_path):
+    names = [f"census/n{i}" for i in range(8)]
+    pages = spark.createDataFrame(
+        [_page(f"https://s.net/{n}", *[f"/{t}" for t in names[i + 1:i + 3]]) for i, n in enumerate(names)],
+        "url string, html string, content_type string",
+    )
+    seeds = spark.createDataFrame([("https://s.net/census/n0",)], "url string")
+    whole = rows_of(crawl_reach(seeds, pages), "url")
+    state, parts = str(tmp_path / "state"), []
+    for _ in range(4):
+        parts.extend(rows_of(resume_crawl(seeds, pages, state, max_hops=1), "url"))
+    assert sorted(parts, key=repr) == whole
+    visited, pending = web.load_state(spark, state)
+    assert visited.count() == len(whole) and pending.count() == 0

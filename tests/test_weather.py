@@ -49,6 +49,8 @@ def weather(spark, folder):
 def test_iso_text():
     assert iso_utc("2024-01-05") == "2024-01-05T00:00:00.000Z"
     assert iso_utc("2024-01-05T01:02:03.4567+02:00") == "2024-01-04T23:02:03.456Z"
+    assert iso_utc("2024") == "2024-01-01T00:00:00.000Z"
+    assert iso_utc("2024-03") == "2024-03-01T00:00:00.000Z"
     with pytest.raises(ValueError):
         iso_utc("yesterday")
 
