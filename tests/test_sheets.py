@@ -74,14 +74,14 @@ def test_one_small_sheet_rejects_the_file(spark, rows_of):
 
 
 def _unique(names):
-    taken = []
+    taken = {}
     for name in names:
         candidate, number = name, 0
         while candidate in taken:
             number += 1
             candidate = f"{name}_{number}"
-        taken.append(candidate)
-    return taken
+        taken[candidate] = True
+    return list(taken)
 
 
 def test_unique_names(spark):
