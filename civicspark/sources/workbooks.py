@@ -149,12 +149,14 @@ def _root(book: zipfile.ZipFile, name: str):
     return ElementTree.fromstring(book.read(name))
 
 
-def _relations(book: zipfile.ZipFile, name: str) -> dict[str, str]:
+def _relations(book: zipfile.ZipFile, name: str) -> dict[str, tuple[str, str]]:
+    """Kind and file of each part that ``name`` refers to, by id."""
     folder, file = posixpath.split(name)
     links = {}
     for rel in _root(book, f"{folder}/_rels/{file}.rels".lstrip("/")):
         target = rel.get("Target", "")
-        links[rel.get("Id")] = target[1:] if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
+        place = target[1:] if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
+        links[rel.get("Id")] = (rel.get("Type", "").rsplit("/", 1)[-1], place)
     return links
 
 
@@ -165,10 +167,10 @@ def _decode_book(path: str, book: zipfile.ZipFile) -> Iterator[dict]:
             entry = rel.get("Target", entry).lstrip("/")
     workbook = _root(book, entry)
     names = set(book.namelist())
-    folder = posixpath.dirname(entry)
     links = _relations(book, entry)
-    strings = _shared_strings(book, f"{folder}/sharedStrings.xml") if f"{folder}/sharedStrings.xml" in names else []
-    dates = _date_styles(book, f"{folder}/styles.xml") if f"{folder}/styles.xml" in names else []
+    kinds = {kind: place for kind, place in links.values() if place in names}
+    strings = _shared_strings(book, kinds["sharedStrings"]) if "sharedStrings" in kinds else []
+    dates = _date_styles(book, kinds["styles"]) if "styles" in kinds else []
     epoch = datetime(1899, 12, 30)
     for element in workbook.iter():
         if _local(element.tag) == "workbookPr" and element.get("date1904") in ("1", "true"):
@@ -180,14 +182,18 @@ def _decode_book(path: str, book: zipfile.ZipFile) -> Iterator[dict]:
     for name, source in PROPERTIES:
         yield {"file_path": path, "part": "property", "name": name, "text": core.get(source)}
 
-    sheets = [e for e in workbook.iter() if _local(e.tag) == "sheet"]
-    for index, sheet in enumerate(sheets):
-        target = next(v for k, v in sheet.attrib.items() if _local(k) == "id")
-        base = {"file_path": path, "sheet_index": index, "sheet_name": sheet.get("name")}
+    sheets = [
+        (element.get("name"), *links[next(v for k, v in element.attrib.items() if _local(k) == "id")])
+        for element in workbook.iter() if _local(element.tag) == "sheet"
+    ]
+    # Chart sheets have no cells and are left out.
+    cells = [(name, place) for name, kind, place in sheets if kind == "worksheet"]
+    for index, (name, place) in enumerate(cells):
+        base = {"file_path": path, "sheet_index": index, "sheet_name": name}
         n_rows = n_cols = 0
         top: dict[int, list] = {}
         last: list = []
-        with book.open(links[target]) as stream:
+        with book.open(place) as stream:
             for number, values, dtypes in _rows(stream, strings, dates, epoch):
                 if not values:
                     continue

@@ -77,6 +77,12 @@ def test_decoded_rows(spark, folder):
     assert cells.filter("row = 2 AND col = 2").first().value == "z"
 
 
+def test_chart_sheets_are_left_out(spark, tmp_path):
+    write_workbook(tmp_path / "chart.xlsx", {"Table 1": TABLE}, chart="Chart 1")
+    extents = X.sheet_extents(_parts(spark, tmp_path))
+    assert [tuple(r) for r in extents.select("sheet_index", "sheet_name").collect()] == [(0, "Table 1")]
+
+
 def test_rejects_and_properties(spark, folder, rows_of):
     parts = _parts(spark, folder)
     broken = X.workbook_rejects(parts)

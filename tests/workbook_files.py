@@ -30,8 +30,8 @@ def _name(col: int) -> str:
     return out
 
 
-def write_workbook(path, sheets: dict, properties: dict | None = None) -> str:
-    """``sheets``: name to rows of cells (None, str, bool, int, float, Date, Error)."""
+def write_workbook(path, sheets: dict, properties: dict | None = None, chart: str = "") -> str:
+    """``sheets``: name to rows of cells (None, str, bool, int, float, Date, Error); ``chart`` names a chart sheet."""
     strings: list[str] = []
 
     def cell(value, row, col):
@@ -66,6 +66,11 @@ def write_workbook(path, sheets: dict, properties: dict | None = None) -> str:
         f'<Relationship Id="rId{i + 1}" Type="{_DOCUMENT}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>'
         for i in range(len(sheets))
     )
+    links += f'<Relationship Id="s1" Type="{_DOCUMENT}/sharedStrings" Target="/xl/sharedStrings.xml"/>'
+    links += f'<Relationship Id="s2" Type="{_DOCUMENT}/styles" Target="styles.xml"/>'
+    if chart:
+        names = f'<sheet name="{chart}" sheetId="99" r:id="c1"/>' + names
+        links += f'<Relationship Id="c1" Type="{_DOCUMENT}/chartsheet" Target="chartsheets/sheet1.xml"/>'
     parts["_rels/.rels"] = (
         f'<Relationships xmlns="{_PACKAGE}"><Relationship Id="r1" Type="{_DOCUMENT}/officeDocument" '
         'Target="xl/workbook.xml"/></Relationships>'
