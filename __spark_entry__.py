@@ -23,6 +23,13 @@ from civicspark.operators import weather as M  # noqa: E402
 from civicspark.plans import table_views as V  # noqa: E402
 from civicspark.plans.crawl import crawl_reach  # noqa: E402
 
+try:  # the corpus operators can be left out
+    import corpus_pipeline
+    from civicspark.llm import queries as corpus_queries
+    from civicspark.llm import sql as corpus_sql
+except ImportError:
+    corpus_pipeline = corpus_queries = corpus_sql = None
+
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 LANGUAGES = ["en", "fr", "es", "de"]
 COOLDOWN_HOURS = 6
@@ -406,7 +413,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    if corpus_queries is None:
+        return dict(QUERIES)
+    return QUERIES | corpus_queries.queries() | {"pipeline": corpus_pipeline.run}
 
 
 # -- the same in SQL ----------------------------------------------------------
@@ -817,4 +826,7 @@ SELECT l.path, l.modified FROM listing l ANTI JOIN processed p ON l.path = p.pat
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    if corpus_sql is None:
+        return dict(ORACLE_SQL)
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLE_SQL | corpus_sql.oracle_sql() | whole

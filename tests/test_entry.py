@@ -27,11 +27,11 @@ def database():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_equals_sql(spark, database, name):
     frame = entry.queries()[name](spark, str(FOLDER))
     columns = sorted(frame.columns)
-    answer = database.execute(entry.oracle_sql()[name])
+    answer = database.execute(entry.ORACLE_SQL[name])
     theirs = [c[0] for c in answer.description]
     assert sorted(theirs) == columns
     places = [theirs.index(c) for c in columns]
@@ -45,4 +45,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLE_SQL)
+    assert set(entry.QUERIES) <= set(entry.queries())
