@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm import language_id, line_dedup, quality_classifier, quality_rules, url_filters, warc
+from civicspark.llm import jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, url_filters, warc
 from civicspark.llm.tables import in_share, table
 from civicspark.storage import run_dir
 
@@ -47,6 +47,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_index(spark, path)
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join_alike(table(spark, folder, "documents"), n=4, percent=85)
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select(
         "doc_id", "text", F.size("removed_lines").alias("n_removed")
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filters": op2_url_filters,
         "op4_language_id": op4_language_id,
         "op5_warc": op5_warc,
+        "op6_jaccard_join": op6_jaccard_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
