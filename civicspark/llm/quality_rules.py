@@ -179,11 +179,8 @@ def fit(
     much as a bad row kept, each as a share of its kind.
     """
     named = labels.groupBy(F.col("doc_id").alias(doc_id)).agg(F.max("quality").alias("_quality"))
-    labelled = written(
-        with_statistics(documents.join(named.select(doc_id), doc_id, "left_semi"), doc_id, text)
-        .filter(~base_failed()).join(named, doc_id),
-        "rule-statistics",
-    )
+    # Statistics first: they are short, the texts would be shuffled.
+    labelled = written(with_statistics(documents, doc_id, text).filter(~base_failed()).join(named, doc_id), "rule-statistics")
     good = bounded_sample(labelled.filter("_quality = 1"), doc_id, fit_rows, "features")
     if not good:
         return Rules(None, 2.0)
