@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm import jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, url_filters, warc
+from civicspark.llm import (
+    decontamination, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, url_filters,
+    warc,
+)
 from civicspark.llm.tables import in_share, table
 from civicspark.storage import run_dir
 
+PIECES = "piece_bpe_32k.model"
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
@@ -32,6 +36,11 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_copies(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     held_out = in_share(F.col("doc_id"), 4, 2)
@@ -51,6 +60,10 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join_alike(table(spark, folder, "documents"), n=4, percent=85)
 
 
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(table(spark, folder, "documents"), PIECES)
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select(
         "doc_id", "text", F.size("removed_lines").alias("n_removed")
@@ -68,9 +81,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_url_filters": op2_url_filters,
+        "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
     }

@@ -89,8 +89,9 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         low = high
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~_SPACE[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> Words:
+    """``apart``: of each byte, does it separate words?"""
+    inside = ~apart[data]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = inside[:-1]
     after = np.zeros(len(data), dtype=bool)

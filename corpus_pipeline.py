@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm import line_dedup, quality_rules
+from civicspark.llm import decontamination, jaccard_join, line_dedup, quality_rules, sentencepiece_codec
 from civicspark.llm.tables import table, written
 
 
@@ -25,9 +25,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ])
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share four fifths of their five-word n-grams, the one of least id stays."""
+    return jaccard_join.keep_first(docs, n=5, percent=80)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a test item go."""
+    return decontamination.drop_copies(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the texts, counted and digested, and the digest of what they decode to."""
+    return sentencepiece_codec.encode_documents(docs, "piece_bpe_32k.model")
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("SentencePiece encoding and decoding", token_stage),
 ]
 
 #: SQL cannot grow the forest of the first stage.
