@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.llm import (
-    decontamination, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, url_filters,
-    warc,
+    decontamination, jaccard_join, language_id, line_dedup, ppm, quality_classifier, quality_rules, sentencepiece_codec,
+    url_filters, warc,
 )
 from civicspark.llm.tables import in_share, table
 from civicspark.storage import run_dir
@@ -60,6 +60,12 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join_alike(table(spark, folder, "documents"), n=4, percent=85)
 
 
+def op7_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held_out = in_share(F.col("doc_id"), 10, 0)
+    return ppm.score_texts(documents, documents.filter(~held_out)).withColumn("held_out", held_out)
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, folder, "documents"), PIECES)
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_ppm": op7_ppm,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
