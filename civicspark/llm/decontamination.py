@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from civicspark.llm.tables import spare_name
 from civicspark.llm.words import Words, chunks, find_words, shingles
 
 N = 4
@@ -119,6 +120,8 @@ def _found(benchmark: Benchmark, n: int, similarity: float, words: Words, hashes
         return
     at = np.minimum(np.searchsorted(benchmark.seeds, made), len(benchmark.seeds) - 1)
     hits = np.flatnonzero(benchmark.seeds[at] == made)
+    if not len(hits):
+        return
     document = np.searchsorted(begin, hits, side="right") - 1
     word = hits - begin[document] + words.first[document]
     first, size = benchmark.cuts[at[hits]], np.diff(benchmark.cuts)[at[hits]]
@@ -237,7 +240,7 @@ def drop_copies(
 
         return kept
 
-    places = [F.col(f"`{c}`") for c in documents.columns]
+    places, spare = [F.col(f"`{c}`") for c in documents.columns], spare_name(documents, "text")
     for block in _prepared(documents, benchmark, text, item_id, item_text, n, least_words, chance):
-        out = out.select(*places, F.col(text).cast("string").alias("_text")).mapInArrow(filtered(block), documents.schema)
+        out = out.select(*places, F.col(text).cast("string").alias(spare)).mapInArrow(filtered(block), documents.schema)
     return out

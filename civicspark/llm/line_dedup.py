@@ -8,7 +8,8 @@ with at least ``min_words`` words are deleted; shorter ones stay. A line deleted
 first copy of every line stays.
 
 Defined results: a null or empty text stays as it is; order is by document id (null first), then line; rows that repeat
-both id and text are one document and are treated alike; other columns pass through. Everything is DataFrame code.
+both id and text are one document and are treated alike; a column named ``removed_lines`` is
+replaced, other columns pass through. Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.llm.tables import written
+from civicspark.llm.tables import spare_name, written
 
 MIN_WORDS = 20
 #: A word is a run of other characters than these.
@@ -109,12 +110,13 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, doc_id: str
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with ``text`` less the repeated lines, and ``removed_lines`` (their places, empty where none)."""
-    doomed = repeated_lines(documents, min_words, doc_id, text).select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines"))
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, k: ~F.array_contains(F.col("_lines"), k)), "\n")
+    key, doc, lines = (spare_name(documents, c) for c in ("key", "doc", "lines"))
+    doomed = repeated_lines(documents, min_words, doc_id, text).select(F.col("doc").alias(doc), F.col("lines").alias(lines))
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, k: ~F.array_contains(F.col(lines), k)), "\n")
     return (
-        documents.drop("removed_lines", "_doc", "_lines").withColumn("_key", document_key(doc_id, text))
-        .join(doomed, F.col("_key") == F.col("_doc"), "left")
-        .withColumn(text, F.when(F.col("_lines").isNull(), F.col(text)).otherwise(left))
-        .withColumn("removed_lines", F.coalesce(F.col("_lines"), F.array().cast("array<int>")))
-        .drop("_doc", "_lines", "_key")
+        documents.drop("removed_lines").withColumn(key, document_key(doc_id, text))
+        .join(doomed, F.col(key) == F.col(doc), "left")
+        .withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(left))
+        .withColumn("removed_lines", F.coalesce(F.col(lines), F.array().cast("array<int>")))
+        .drop(key, doc, lines)
     )

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.tables import bounded_sample, written
+from civicspark.llm.tables import bounded_sample, spare_name, written
 from civicspark.llm.words import Words, chunks, find_words, mixed, repeated_in_document, span_hashes, sums
 
 #: Labelled good rows that the forest is grown from, at most.
@@ -235,4 +235,4 @@ def keep_good(documents: DataFrame, rules: Rules, text: str = "text") -> DataFra
             yield batch.filter(pa.array(kept)).select(range(batch.num_columns - 1))
 
     places = [F.col(f"`{n}`") for n in names]
-    return documents.select(*places, F.col(text).cast("string").alias("_text")).mapInArrow(filtered, documents.schema)
+    return documents.select(*places, F.col(text).cast("string").alias(spare_name(documents, "text"))).mapInArrow(filtered, documents.schema)

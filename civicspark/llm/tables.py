@@ -28,3 +28,11 @@ def in_share(doc_id: Column, parts: int, rest: int) -> Column:
 def bounded_sample(frame: DataFrame, doc_id: str, most: int, *columns: str) -> list:
     """At most ``most`` rows, chosen by a hash of the id so that every run takes the same ones."""
     return frame.orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id)).limit(most).select(*columns).collect()
+
+
+def spare_name(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``frame`` has no such column."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

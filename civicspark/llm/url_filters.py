@@ -60,7 +60,7 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
         )
         for h, p, verdict in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     ]
-    return F.coalesce(*fitting)
+    return F.coalesce(*fitting, F.lit(None).cast("struct<rule: string, verdict: string>"))
 
 
 def prior_strength(groups: DataFrame) -> float:

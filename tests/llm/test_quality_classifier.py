@@ -1,0 +1,41 @@
+import numpy as np
+import pyarrow as pa
+
+from civicspark.llm import quality_classifier as Q
+
+
+def test_scores_equal_brute_force():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["the", "of", "cat", "dog", "THE!!", "|", "###"], 30)) for _ in range(80)]
+    counts = np.vstack([c for _, c in Q._blocks(pa.array(texts))])
+    labels = np.array([float("THE!!" not in t.split()[:12]) for t in texts])
+    model = Q.fit_model(counts[:60], labels[:60])
+    asked = model.latent(counts[60:]).astype(float)
+    for vector, score in zip(asked, model.scores(counts[60:]), strict=True):
+        cosine = model.vectors.astype(float) @ vector
+        near = np.argsort(-cosine)[: Q.NEIGHBOURS]
+        weight = np.maximum(cosine[near], 0) ** Q.SHARPNESS
+        assert abs(score - (weight * labels[near]).sum() / weight.sum()) < 1e-3
+
+
+def test_held_out_accuracy(spark, tables):
+    folder = tables.replace("0.001", "0.01")
+    given, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = Q.fit(given.filter("crc32(string(doc_id)) % 5 <> 0"), labels)
+    found = Q.classify(given.filter("crc32(string(doc_id)) % 5 = 0"), model).join(labels, "doc_id").collect()
+    right = np.mean([(r.score >= 0.3) == (r.quality == 1) for r in found])
+    good = np.mean([r.score >= 0.3 for r in found if r.quality == 1])
+    assert len(found) > 50 and right > 0.9 and good > 0.97
+
+
+def test_odd_rows(spark, documents):
+    given = documents([(1, None), (2, ""), (2, ""), (None, "ab"), (4, "word " * 50_000), (5, "plain words here")])
+    nothing = Q.fit(given, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert {r.score for r in Q.classify(given, nothing).collect()} == {0.5}
+    labels = spark.createDataFrame([(5, 1, None), (5, 0, None), (4, None, 1), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    model = Q.fit(given, labels)
+    assert model.labels.tolist() == [1.0]
+    scores = Q.classify(given, model).collect()
+    assert len(scores) == 6 and all(0 <= r.score <= 1 for r in scores)
+    assert {r.score for r in scores if r.doc_id in (1, 2)} == {1.0}
+    assert Q.classify(documents([]), model).count() == 0

@@ -1,0 +1,65 @@
+import base64
+import hashlib
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from civicspark.llm import warc
+
+ROWS = [(3, "http://a/x", "<p>é</p>"), (1, "http://b/", "<p>é</p>"), (2, None, None), (5, "http://c/\r\nX: y", ""), (7, "u", "z" * 2_000_000),
+        (1, "http://b/", "<p>é</p>"), (None, "n", "only"), (9, "http://d", "tail\r\n\r\nHTTP/1.1 no\r\nContent-Length: 7")]
+
+
+@pytest.fixture
+def pages(spark):
+    return spark.createDataFrame([(*r, "x") for r in ROWS], "page_id long, url string, html string, payload string")
+
+
+def digest(text):
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def test_index(spark, pages, tmp_path):
+    warc.write_archive(pages, f"{tmp_path}/a")
+    found = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_index(spark, f"{tmp_path}/a").collect()), key=repr)
+    first = {}
+    for page, _, html in ROWS:
+        first[html or ""] = min([x for x in (page, first.get(html or "")) if x is not None], default=None)
+    expected = [
+        (page, len((html or "").encode()), digest(html), *(("response", None) if page == first[html or ""] else ("revisit", first[html or ""])))
+        for page, _, html in ROWS
+    ]
+    assert found == sorted(expected, key=repr)
+    assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == len(first)
+
+
+def test_records_come_back_whole(spark, pages, tmp_path):
+    warc.write_archive(pages, f"{tmp_path}/a", min_bytes=1)
+    seen = 0
+    for r in warc.read_records(spark, f"{tmp_path}/a").collect():
+        record, html = bytes(r.record), next(h or "" for p, _, h in ROWS if p == r.page_id).encode()
+        head, rest = record.split(b"\r\n\r\n", 1)
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        block, closing = rest[: int(fields[b"Content-Length"])], rest[int(fields[b"Content-Length"]):]
+        assert head.startswith(b"WARC/1.1\r\n") and closing == b"\r\n\r\n"
+        http, payload = block.split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK")
+        assert fields[b"WARC-Payload-Digest"] == b"sha1:" + digest(html.decode()).encode()
+        assert payload == (html if fields[b"WARC-Type"] == b"response" else b"")
+        seen += fields[b"WARC-Type"] == b"response" and html == b""
+    assert seen == 2  # below the least size nothing is a revisit
+
+
+def test_damage_is_noticed(spark, pages, tmp_path):
+    warc.write_archive(pages, f"{tmp_path}/a")
+    damaged = spark.read.parquet(f"{tmp_path}/a/payloads").withColumn("payload", F.concat("payload", F.lit(b"!")))
+    damaged.write.parquet(f"{tmp_path}/b/payloads")
+    spark.read.parquet(f"{tmp_path}/a/headers").write.parquet(f"{tmp_path}/b/headers")
+    with pytest.raises(PySparkException, match="damaged payload"):
+        warc.read_index(spark, f"{tmp_path}/b").collect()
+
+
+def test_empty_table(spark, pages, tmp_path):
+    warc.write_archive(pages.limit(0), f"{tmp_path}/a")
+    assert warc.read_index(spark, f"{tmp_path}/a").count() == 0 and warc.read_records(spark, f"{tmp_path}/a").count() == 0
