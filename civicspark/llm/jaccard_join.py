@@ -30,7 +30,7 @@ from civicspark.llm.tables import written
 from civicspark.llm.words import chunks, find_words, shingles
 
 #: N-grams that one task holds of a cluster; a cluster with more is split into blocks.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 17
 #: Sets to be compared that are sent to all executors, 40 bytes each; more are joined by a shuffle.
 BROADCAST_SETS = 200_000
 

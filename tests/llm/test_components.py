@@ -1,9 +1,14 @@
 import random
 
-from civicspark.llm.components import components
+import pytest
 
+from civicspark.llm import components as C
 
-def test_components_equal_a_walk(spark):
+
+@pytest.mark.parametrize("part", [0, 1 << 20])
+def test_components_equal_a_walk(spark, part, monkeypatch):
+    monkeypatch.setattr(C, "PART_EDGES", part)
+    components = C.components
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(3, 3), (None, 4)]
     frame = spark.createDataFrame(edges, "a long, b long")
