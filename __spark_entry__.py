@@ -37,7 +37,7 @@ COOLDOWN_HOURS = 6
 
 def entry(spark: SparkSession) -> DataFrame:
     """Average temperature of one city in a date range."""
-    return weather_avg_temp(spark, SMOKE_FOLDER)
+    return _in_utc(weather_avg_temp)(spark, SMOKE_FOLDER)
 
 
 # -- weather ------------------------------------------------------------------
@@ -69,11 +69,15 @@ def weather_range_none(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weather_page(spark: SparkSession, folder: str) -> DataFrame:
-    paged = M.get_weather(
-        V.weather(spark, folder), "click", "2024-01-03", limit=25, skip=40, tie_keys=["event_id"],
-        fields=["event_id", "dt_iso", "main.temp", "main.humidity", "weather.id", "rain"],
-    )
-    return paged.select(
+    """A page near the start and one further on."""
+    pages = [
+        M.get_weather(
+            V.weather(spark, folder), "click", "2024-01-03", limit=25, skip=skip, tie_keys=["event_id"],
+            fields=["event_id", "dt_iso", "main.temp", "main.humidity", "weather.id", "rain"],
+        )
+        for skip in (40, 150)
+    ]
+    return pages[0].union(pages[1]).select(
         "event_id", "dt_iso", "main.temp", "main.humidity",
         F.col("weather")[0]["id"].alias("weather_id"), "rain.duration_1h",
     )
@@ -202,6 +206,26 @@ def links_by_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return L.links_by_suffix(V.pages(spark, folder), ".").select("page_id", "href", "absolute")
 
 
+def links_by_suffix_robots(spark: SparkSession, folder: str) -> DataFrame:
+    rules = V.robots_rules(spark, folder)
+    return L.links_by_suffix(V.pages(spark, folder), ".", rules=rules).select("page_id", "href", "absolute")
+
+
+def pages_ok(spark: SparkSession, folder: str) -> DataFrame:
+    return L.ok_only(V.crawled_pages(spark, folder)).select("page_id")
+
+
+def pages_html(spark: SparkSession, folder: str) -> DataFrame:
+    return L.html_only(V.crawled_pages(spark, folder)).select("page_id")
+
+
+def crawl_downloads(spark: SparkSession, folder: str) -> DataFrame:
+    pages = V.crawled_pages(spark, folder)
+    reach = pages.select("url", (F.col("page_id") % 11 != 0).alias("crawled"))
+    listing, manifest = V.listing(spark, folder), V.manifest(spark, folder)
+    return W.files_to_fetch(reach, pages, listing, manifest, markers=[".html", "?"])
+
+
 def links_same_domain(spark: SparkSession, folder: str) -> DataFrame:
     seeds = V.pages(spark, folder).filter(F.col("url").startswith("https:")).select("url")
     return L.same_domain(V.links(spark, folder), seeds).select("page_id", "url")
@@ -340,7 +364,8 @@ def dq_missing_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_stable(spark: SparkSession, folder: str) -> DataFrame:
-    stable = W.stable_files(V.observations(spark, folder), block_seconds=86_400)
+    looks = V.observations(spark, folder).withColumn("ts", F.date_trunc("day", "ts"))  # many of one time
+    stable = W.stable_files(looks, block_seconds=7 * 86_400, tie="event_id")
     return stable.select("path", "event_id", "sha256")
 
 
@@ -383,6 +408,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "links_extract": links_extract,
     "links_absolute": links_absolute,
     "links_by_suffix": links_by_suffix,
+    "links_by_suffix_robots": links_by_suffix_robots,
+    "pages_ok": pages_ok,
+    "pages_html": pages_html,
+    "crawl_downloads": crawl_downloads,
     "links_same_domain": links_same_domain,
     "links_unvisited": links_unvisited,
     "frontier_union": frontier_union,
@@ -412,10 +441,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _in_utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Times are read and written in UTC, as in the SQL."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, folder)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = {name: _in_utc(query) for name, query in QUERIES.items()}
     if corpus_queries is None:
-        return dict(QUERIES)
-    return QUERIES | corpus_queries.queries() | {"pipeline": corpus_pipeline.run}
+        return own
+    return own | corpus_queries.queries() | {"pipeline": corpus_pipeline.run}
 
 
 # -- the same in SQL ----------------------------------------------------------
@@ -462,9 +502,11 @@ def _sql_normal(url: str, decode: bool = True) -> str:
 
 def _sql_decoded(text: str) -> str:
     """Character references of HTML replaced by their characters."""
-    for reference, char in H.CHARACTER_REFERENCES:
-        quoted = char.replace("'", "''")
-        text = f"replace({text}, '{reference}', '{quoted}')"
+    # The references that the given pages may hold; the ampersand comes last.
+    for reference, char in [
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&amp;", "&"),
+    ]:
+        text = f"replace({text}, '{reference}', '{char}')"
     return text
 
 
@@ -585,12 +627,46 @@ def _sql_path_starts(url: str, prefixes: list[str]) -> str:
     return "(" + " OR ".join([f"{path} = ''", *[f"starts_with({path}, '{p}')" for p in prefixes]]) + ")"
 
 
-_EXTENSIONS = ", ".join(f"'{e}'" for e in U.DEFAULT_EXCLUDED_EXTENSIONS)
+# The extensions denied by default.
+_EXTENSIONS = ", ".join(f"'{e}'" for e in [
+    ".zip", ".pdf", ".doc", ".docx", ".ppt", ".pptx", ".png", ".jpg", ".jpeg",
+    ".gif", ".csv", ".xml", ".json", ".txt",
+])
 _EXT_OK = f"{_sql_ext('url')} NOT IN ({_EXTENSIONS})"
 _PATH_OK = _sql_path_starts("url", ["en", "fr"])
 _DIR_OK = "NOT (contains(url, 'Score') OR contains(url, 'blog') OR contains(url, 'full'))"
 _ISO_DAY = "strftime(DATE '2022-01-01' + CAST({} % 400 AS INTEGER), '%a, %d %b %Y') || ' 06:00:00 GMT'"
 
+_ROBOTS = f"""
+WITH asked AS ({{source}}),
+hosts AS (SELECT DISTINCT {_sql_netloc('url')} AS host FROM pages WHERE page_id % 4 <> 0),
+rules AS (
+  SELECT host, prefix, allow FROM hosts,
+  (VALUES ('/fr', false), ('/fr/5', true), ('/en/4', false)) AS r(prefix, allow)),
+placed AS (
+  SELECT *, {_sql_netloc('url')} AS host, '/' || ltrim({_sql_path('url')}, '/') AS path FROM asked),
+verdicts AS (
+  SELECT p.host, p.path, coalesce(arg_max(r.allow, length(r.prefix)) FILTER (starts_with(p.path, r.prefix)), true) AS allow
+  FROM (SELECT DISTINCT host, path FROM placed) p JOIN rules r ON p.host = r.host GROUP BY p.host, p.path),
+allowed AS (SELECT p.* FROM placed p JOIN verdicts v ON p.host = v.host AND p.path = v.path WHERE v.allow)"""
+
+_STALE = f"""
+listing AS (
+  SELECT url, CASE WHEN page_id % 5 <> 0 THEN {_ISO_DAY.format('page_id')} END AS last_modified,
+         CASE WHEN page_id % 5 <> 0
+              THEN DATE '2022-01-01' + CAST(page_id % 400 AS INTEGER) + INTERVAL 6 HOUR END AS server_time
+  FROM pages),
+manifest AS (
+  SELECT url, sha256(html) AS sha,
+         CASE page_id % 3 WHEN 0 THEN sha256(html) WHEN 1 THEN sha256(url) END AS stored_sha,
+         DATE '2022-01-01' + CAST((page_id * 7) % 400 AS INTEGER) AS mtime
+  FROM pages WHERE page_id % 2 = 0),
+decided AS (
+  SELECT l.url, l.last_modified,
+         CASE WHEN m.url IS NULL THEN 'absent' WHEN coalesce(m.sha = m.stored_sha, false) THEN NULL
+              WHEN l.server_time > m.mtime THEN 'newer' END AS reason
+  FROM listing l LEFT JOIN manifest m ON l.url = m.url)"""
+
 ORACLE_SQL: dict[str, str] = {
     "weather_range_both": _sql_found(
         "city = 'click' AND dt_iso BETWEEN '2024-01-05T00:00:00.000Z' AND '2024-01-12T00:00:00.000Z'"
@@ -601,10 +677,12 @@ ORACLE_SQL: dict[str, str] = {
 SELECT 'empty' AS no_dates, count(*) FILTER (false) AS matches FROM events
 UNION ALL SELECT 'all', count(*) FROM events""",
     "weather_page": f"""
-WITH {_WEATHER}
+WITH {_WEATHER},
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY dt_iso, event_id) AS n
+  FROM weather WHERE city = 'click' AND dt_iso >= '2024-01-03T00:00:00.000Z')
 SELECT event_id, dt_iso, temp, k AS humidity, k AS weather_id, nullif(rain_1h, 0) AS duration_1h
-FROM weather WHERE city = 'click' AND dt_iso >= '2024-01-03T00:00:00.000Z'
-ORDER BY dt_iso, event_id LIMIT 25 OFFSET 40""",
+FROM placed WHERE n BETWEEN 41 AND 65 OR n BETWEEN 151 AND 175""",
     "weather_rain": f"""
 WITH {_WEATHER}
 SELECT event_id, nullif(rain_1h, 0) AS duration_1h, nullif(rain_1h, 0) IS NULL AS no_rain FROM weather""",
@@ -682,15 +760,13 @@ frontier AS (
   UNION SELECT url FROM links)
 SELECT url, sha256(url) AS url_hash FROM frontier""",
     "robots_allowed": f"""
-WITH hosts AS (SELECT DISTINCT {_sql_netloc('url')} AS host FROM pages WHERE page_id % 4 <> 0),
-rules AS (
-  SELECT host, prefix, allow FROM hosts,
-  (VALUES ('/fr', false), ('/fr/5', true), ('/en/4', false)) AS r(prefix, allow)),
-placed AS (
-  SELECT page_id, url, {_sql_netloc('url')} AS host, '/' || ltrim({_sql_path('url')}, '/') AS path FROM pages)
-SELECT p.page_id, p.url FROM placed p JOIN rules r ON p.host = r.host
-GROUP BY p.page_id, p.url
-HAVING coalesce(arg_max(r.allow, length(r.prefix)) FILTER (starts_with(p.path, r.prefix)), true)""",
+{_ROBOTS.format(source="SELECT page_id, url FROM pages")}
+SELECT page_id, url FROM allowed""",
+    "links_by_suffix_robots": f"""
+{_ROBOTS.format(source="SELECT page_id, href, absolute AS url FROM links WHERE ends_with(href, '.')").replace("WITH ", f"WITH {_LINKS}, ", 1)}
+SELECT page_id, href, url AS absolute FROM allowed""",
+    "pages_ok": "SELECT page_id FROM pages WHERE page_id % 7 <> 0",
+    "pages_html": "SELECT page_id FROM pages WHERE page_id % 5 IN (0, 1)",
     "crawl_totals": f"""
 WITH {_LINKS}
 SELECT (SELECT count(*) FROM pages) AS pages_crawled,
@@ -725,23 +801,13 @@ SELECT 'links' AS state, count(*) = count(DISTINCT url_hash) AS valid,
        count(*) AS entries, count(DISTINCT url_hash) AS distinct_entries FROM links
 UNION ALL
 SELECT 'distinct links', true, 'ok', count(DISTINCT url_hash), count(DISTINCT url_hash) FROM links""",
-    "stale_files": f"""
-WITH listing AS (
-  SELECT url, CASE WHEN page_id % 5 <> 0 THEN {_ISO_DAY.format('page_id')} END AS last_modified,
-         CASE WHEN page_id % 5 <> 0
-              THEN DATE '2022-01-01' + CAST(page_id % 400 AS INTEGER) + INTERVAL 6 HOUR END AS server_time
-  FROM pages),
-manifest AS (
-  SELECT url, sha256(html) AS sha,
-         CASE page_id % 3 WHEN 0 THEN sha256(html) WHEN 1 THEN sha256(url) END AS stored_sha,
-         DATE '2022-01-01' + CAST((page_id * 7) % 400 AS INTEGER) AS mtime
-  FROM pages WHERE page_id % 2 = 0),
-decided AS (
-  SELECT l.url, l.last_modified,
-         CASE WHEN m.url IS NULL THEN 'absent' WHEN coalesce(m.sha = m.stored_sha, false) THEN NULL
-              WHEN l.server_time > m.mtime THEN 'newer' END AS reason
-  FROM listing l LEFT JOIN manifest m ON l.url = m.url)
-SELECT * FROM decided WHERE reason IS NOT NULL""",
+    "stale_files": f"WITH {_STALE} SELECT * FROM decided WHERE reason IS NOT NULL",
+    "crawl_downloads": f"""
+WITH {_STALE},
+asked AS (
+  SELECT DISTINCT url FROM pages
+  WHERE page_id % 11 <> 0 AND page_id % 7 <> 0 AND (contains(url, '.html') OR contains(url, '?')))
+SELECT * FROM decided WHERE reason IS NOT NULL AND url IN (SELECT url FROM asked)""",
     "sheet_metadata": f"""
 WITH {_SHEETS}
 SELECT s.file_path, s.sheet_index, s.sheet_name,
@@ -803,7 +869,7 @@ FROM documents JOIN keys ON (doc_id + i) % 4 = 0 GROUP BY doc_id""",
     "file_stable": """
 WITH looked AS (
   SELECT user_id AS path, event_id, sha256(event_type) AS sha256,
-         lag(sha256(event_type)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
+         lag(sha256(event_type)) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts), event_id) AS before FROM events)
 SELECT path, event_id, sha256 FROM looked WHERE sha256 = before""",
     "event_cooldown": f"""
 WITH RECURSIVE ordered AS (

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from civicspark.functions.binding import let
 from civicspark.functions.urls import basename, path_of
 
 # One attribute that is not href, then the href value with or without quotes.
@@ -12,20 +16,72 @@ _OTHER_ATTRIBUTE = r"""\s+(?!href\s*=)[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^
 _ANCHOR_HREF = rf"""(?i)<a(?:{_OTHER_ATTRIBUTE})*\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _HIDDEN = r"(?is)<(?:!--.*?--|script\b.*?</script\s*|style\b.*?</style\s*)>"
 
-# Character references decoded in attribute values and titles.
-# The ampersand comes last, so that "&amp;lt;" gives "&lt;".
-CHARACTER_REFERENCES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#38;", "&"), ("&amp;", "&"),
-]
+# A numbered reference, or up to 32 characters that may begin with a name, or text between references.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_TOKENS = rf"(?s){_REFERENCE}|[^&]+|&"
+
+
+def _names() -> Column:
+    """Text of every reference name of HTML 5, as one constant map."""
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+def _old_codes() -> Column:
+    """Numbers 128 to 159 stand for the characters of the Windows code page, where it has one."""
+    old = {}
+    for code in range(0x80, 0xA0):
+        try:
+            old[f"{code:X}"] = bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:
+            old[f"{code:X}"] = chr(code)
+    return F.from_json(F.lit(json.dumps(old)), "map<string,string>")
+
+
+def _numbered(token: Column) -> Column:
+    """Character of ``&#...``: U+FFFD for zero, surrogates and numbers beyond Unicode, nothing for codes that are no characters."""
+    digits = F.regexp_extract(token, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    is_hex = F.lower(F.substr(token, F.lit(3), F.lit(1))) == "x"
+    # Longer numbers than eight digits are beyond Unicode whatever they are.
+    code = F.when(F.length(digits) > 8, F.lit(1 << 32)).when(digits == "", F.lit(0).cast("long")).otherwise(
+        F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+    )
+
+    def char(c: Column) -> Column:
+        none = c.between(1, 8) | (c == 11) | c.between(14, 31) | (c == 127) | c.between(0xFDD0, 0xFDEF)
+        return (
+            F.when((c == 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF), "�")
+            .when(c.between(0x80, 0x9F), F.try_element_at(_old_codes(), F.hex(c)))
+            .when(none | (c.bitwiseAND(0xFFFE) == 0xFFFE), "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+        )
+
+    return let(code, char)
+
+
+def _named(token: Column) -> Column:
+    """Text of ``&name``: of the whole name, else of the longest name that it begins with."""
+    names = _names()
+
+    def found(name: Column) -> Column:
+        lengths = F.filter(
+            F.sequence(F.length(name) - 1, F.lit(2), F.lit(-1)), lambda n: F.map_contains_key(names, F.substr(name, F.lit(1), n))
+        )
+        part = let(F.get(lengths, F.lit(0)), lambda n: F.concat(
+            F.try_element_at(names, F.substr(name, F.lit(1), n)), F.substr(name, n + 1)
+        ))
+        return F.coalesce(F.try_element_at(names, name), F.when(F.length(name) > 2, part))
+
+    return F.coalesce(let(F.substr(token, F.lit(2)), found), token)
 
 
 def decode_references(text: Column) -> Column:
-    """Decode the common character references."""
-    decoded = text
-    for reference, char in CHARACTER_REFERENCES:
-        decoded = F.replace(decoded, F.lit(reference), F.lit(char))
-    return decoded
+    """Decode every character reference once, from left to right, as HTML 5 says."""
+    numbered = r"^&#([0-9]|[xX][0-9a-fA-F])"
+    pieces = F.transform(
+        F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)),
+        lambda t: F.when(~t.startswith("&") | (t == "&"), t).when(t.rlike(numbered), _numbered(t)).otherwise(_named(t)),
+    )
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def hrefs(html: Column) -> Column:
@@ -38,7 +94,7 @@ def _href_value(raw: Column) -> Column:
     """Without quotes and with character references decoded."""
     quoted = raw.startswith('"') | raw.startswith("'")
     bare = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw.contains("&"), decode_references(bare)).otherwise(bare)
+    return decode_references(bare)
 
 
 def page_title(html: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicspark.functions.dates import http_date
+from civicspark.functions.urls import DOWNLOAD_MARKERS, downloadable
 from civicspark.operators.blocks import neighbour
 
 COOLDOWN_SECONDS = 300  # fixed value
@@ -27,13 +28,14 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def stable_files(observations: DataFrame, block_seconds: int = 3600) -> DataFrame:
+def stable_files(observations: DataFrame, block_seconds: int = 3600, tie: str | None = None) -> DataFrame:
     """Observations whose content hash equals that of the observation before, per path.
 
+    Observations of one time come in the order of ``tie``; without it, in that of their hashes.
     A path is cut into blocks of time, so that one busy path is shared by many tasks.
     """
     block = F.floor(_micros("ts") / (block_seconds * 1_000_000))
-    near = neighbour(observations, ["path"], ["ts"], block, F.struct("sha256"), "_before", -1)
+    near = neighbour(observations, ["path"], ["ts", tie or "sha256"], block, F.struct("sha256"), "_before", -1)
     same = F.col("_before").isNotNull() & F.col("_before.sha256").eqNullSafe(F.col("sha256"))
     return near.filter(same).drop("_before")
 
@@ -229,6 +231,20 @@ def stale_files(listing: DataFrame, manifest: DataFrame, force: bool = False) ->
     return joined.select(*listing.columns, reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
+def files_to_fetch(
+    reach: DataFrame, pages: DataFrame, listing: DataFrame, manifest: DataFrame, markers: Sequence[str] = DOWNLOAD_MARKERS,
+    force: bool = False,
+) -> DataFrame:
+    """What a crawl downloads, with the reason: crawled URLs that hold a marker, answered 200, and are stale.
+
+    ``reach``: ``url, crawled``; ``pages``: ``url, status``; ``listing`` and ``manifest`` as in :func:`stale_files`.
+    """
+    asked = reach.filter(F.col("crawled") & downloadable(F.col("url"), markers)).select("url")
+    found = pages.filter(F.col("status") == 200).select("url")
+    wanted = asked.join(found, "url", "left_semi")
+    return stale_files(listing.join(wanted, "url", "left_semi"), manifest, force)
+
+
 def changed_files(listing: DataFrame, processed: DataFrame) -> DataFrame:
     """Listed files that are new or were modified since they were processed."""
     return listing.join(processed, ["path", "modificationTime"], "left_anti")

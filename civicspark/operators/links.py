@@ -39,12 +39,17 @@ def extract_links(pages: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataF
     return pages.select(*keep, F.col("url").alias("base_url"), F.inline(links))
 
 
-def links_by_suffix(pages: DataFrame, suffix: str = ".xlsx", keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Absolute links, not normalised, of the references that end with ``suffix``."""
+def links_by_suffix(
+    pages: DataFrame, suffix: str = ".xlsx", keep: Sequence[str] = ("page_id",), rules: DataFrame | None = None, agent: str = "*"
+) -> DataFrame:
+    """Absolute links, not normalised, of the references that end with ``suffix``; with ``rules`` only those robots may fetch."""
     matching = F.filter(H.hrefs(F.col("html")), lambda href: href.endswith(suffix))
-    return pages.select(*keep, F.col("url").alias("base_url"), F.explode(matching).alias("href")).withColumn(
+    found = pages.select(*keep, F.col("url").alias("base_url"), F.explode(matching).alias("href")).withColumn(
         "absolute", U.url_join(F.col("base_url"), F.col("href"))
     )
+    if rules is None:
+        return found
+    return robots_filter(found.withColumn("url", F.col("absolute")), rules, agent).drop("url")
 
 
 def with_hash(links: DataFrame, url: str = "url") -> DataFrame:

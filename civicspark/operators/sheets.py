@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from civicspark.functions.binding import let
+from pyspark.sql import types as T
 
 # Places of the parts of a sheet.
 HEADER_ROW = 4
@@ -95,50 +95,30 @@ def sheet_metadata(rows: DataFrame, sheets: DataFrame) -> DataFrame:
 
 def unique_names(names: Column) -> Column:
     """Names made unique in order: a name already taken gets ``_1``, ``_2`` ... , the first one free."""
-    # Numbering the repeats of each name is right whenever its result has no
-    # repeats itself; only names like "a", "a_1", "a" need the step by step form.
-    numbered = let(
-        _numbered(names),
-        lambda done: F.when(F.size(F.array_distinct(done)) == F.size(done), done).otherwise(_taken_in_turn(names)),
-    )
-    return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(numbered)
-
-
-def _numbered(names: Column) -> Column:
-    """Every repeat of a name with its number: two sorts and a few linear passes."""
-    by_name = F.sort_array(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("place"))))
-
-    def starts(pairs: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(pairs) - 1)
-        return F.filter(places, lambda i: (i == 0) | (F.get(pairs, i)["name"] != F.get(pairs, i - 1)["name"]))
-
-    def repeats(pairs: Column, begins: Column) -> Column:
-        end = F.size(pairs)
-        return F.flatten(F.transform(
-            begins, lambda s, i: F.sequence(F.lit(0), F.coalesce(F.get(begins, i + 1), end) - s - 1)
-        ))
-
-    def named(pair: Column, repeat: Column) -> Column:
-        name = F.when(repeat == 0, pair["name"]).otherwise(F.concat(pair["name"], F.lit("_"), repeat))
-        return F.struct(pair["place"].alias("place"), name.alias("name"))
-
-    by_place = let(
-        by_name,
-        lambda pairs: let(
-            let(starts(pairs), lambda begins: repeats(pairs, begins)),
-            lambda counts: F.transform(pairs, lambda p, i: named(p, F.get(counts, i))),
-        ),
-    )
-    return F.transform(F.sort_array(by_place), lambda p: p["name"])
-
-
-def _taken_in_turn(names: Column) -> Column:
-    def take(done: Column, name: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(done) + 1), lambda i: F.concat(name, F.lit("_"), i))
-        free = F.filter(tries, lambda t: ~F.array_contains(done, t))
-        return F.array_append(done, F.when(F.array_contains(done, name), free[0]).otherwise(name))
-
-    return F.aggregate(names, F.array().cast("array<string>"), take)
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    return F.when(unique, names).otherwise(_taken_in_turn(F.when(~unique, names)))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _taken_in_turn(rows: pa.Array) -> pa.Array:
+    """One pass over each row; the next number to try is kept for each name, so that it is linear."""
+    out = []
+    for names in rows.to_pylist():
+        if names is None:
+            out.append(None)
+            continue
+        taken, tried, done = set(), {}, []
+        for name in names:
+            found = name
+            if found in taken and name is not None:
+                number = tried.get(name, 0) + 1
+                while (found := f"{name}_{number}") in taken:
+                    number += 1
+                tried[name] = number
+            taken.add(found)
+            done.append(found)
+        out.append(done)
+    return pa.array(out, type=pa.list_(pa.string()))
 
 
 def header_names(rows: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -81,48 +81,40 @@ def select_fields(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     return rows.select(*[part(top, leaves) for top, leaves in wanted.items()])
 
 
-# Lengths of ``dt_iso`` prefixes: day, hour, minute, second, millisecond.
-_PREFIXES = [10, 13, 16, 19, 23]
-
-
 def page(
     rows: DataFrame,
     limit: int | None = DEFAULT_LIMIT,
     skip: int | None = 0,
     tie_keys: Sequence[str] = (),
-    deep_from: int = 100_000,
+    after: Sequence | None = None,
 ) -> DataFrame:
-    """Rows ``skip .. skip + limit`` in ``dt_iso`` order, ties broken by ``tie_keys``.
+    """Rows ``skip .. skip + limit`` in ``dt_iso`` order (nulls first), ties broken by ``tie_keys``.
 
-    No limit or 0 means :data:`DEFAULT_LIMIT`. A plain top-k keeps
-    ``skip + limit`` rows per task, which no longer works for a page deep in
-    the data. From ``deep_from`` on, counts per ``dt_iso`` prefix (day, then
-    hour, minute ...) first find where the page begins, so that only the rows
-    from there on are sorted.
+    No limit or 0 means :data:`DEFAULT_LIMIT`. For pages deep in the data give ``after``, the ``dt_iso`` and
+    ``tie_keys`` of the last row of the page before: it becomes a filter that reaches the scan.
     """
     limit = limit or DEFAULT_LIMIT
     skip = skip or 0
     if limit < 0 or skip < 0:
         raise ValueError("limit and skip must not be negative")
-    order = [F.col("dt_iso").asc(), *[F.col(k).asc() for k in tie_keys]]
-    begin = None
-    for length in _PREFIXES:
-        if skip + limit < deep_from:
-            break
-        inside = rows if begin is None else rows.filter(F.col("dt_iso").startswith(begin))
-        prefix = F.coalesce(F.substr("dt_iso", F.lit(1), F.lit(length)), F.lit(""))
-        counts = inside.groupBy(prefix.alias("prefix")).count().orderBy("prefix").toLocalIterator()
-        found = None
-        for row in counts:
-            if skip < row["count"]:
-                found = row.prefix
-                break
-            skip -= row["count"]
-        if found is None:
-            return rows.limit(0)
-        begin = found
-    rest = rows if begin is None else rows.filter(F.coalesce("dt_iso", F.lit("")) >= begin)
-    return rest.orderBy(*order).offset(skip).limit(limit)
+    names = ["dt_iso", *tie_keys]
+    if after is not None:
+        if len(after) != len(names):
+            raise ValueError("after needs a value for dt_iso and for each of tie_keys")
+        rows = rows.filter(_behind(names, list(after)))
+    return rows.orderBy(*[F.col(n).asc() for n in names]).offset(skip).limit(limit)
+
+
+def _behind(names: list[str], values: list) -> Column:
+    """Rows that come after ``values`` in ascending order, nulls first."""
+    column, value = F.col(names[0]), values[0]
+    beyond = column.isNotNull() if value is None else column > F.lit(value)
+    if len(names) == 1:
+        return beyond
+    level = column.isNull() if value is None else column == F.lit(value)
+    inner = beyond | (level & _behind(names[1:], values[1:]))
+    # Implied by the rest, and simple enough to be pushed to the scan.
+    return inner if value is None else inner & (column >= F.lit(value))
 
 
 def get_weather(

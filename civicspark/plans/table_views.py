@@ -1,7 +1,7 @@
 """The given star-schema tables seen as the shapes the operators work on.
 
-Each view is a plain projection (two are small joins), so filters and column
-pruning still reach the Parquet scan.
+Each view is a plain projection (two are small joins), so columns are pruned at the Parquet scan. Filters on columns
+taken over unchanged (``event_type`` as the city) reach it too; those on derived ones (``dt_iso``) only as a test for null.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from civicspark.sources.workbooks import NOT_AVAILABLE, PROPERTIES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -142,6 +141,13 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages")
 
 
+def crawled_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with a status and a content type: every seventh is missing, some are no HTML."""
+    number = F.col("page_id")
+    kind = F.element_at(F.array(*map(F.lit, ["text/html; charset=utf-8", "application/xhtml+xml", "text/plain", "image/png", "TEXT/HTML"])), (number % 5 + 1).cast("int"))
+    return pages(spark, folder).withColumns({"status": F.when(number % 7 == 0, 404).otherwise(200), "content_type": kind})
+
+
 def urls(spark: SparkSession, folder: str) -> DataFrame:
     """Page addresses with endings that bring in escapes, dots, extensions and query parts."""
     ending = (

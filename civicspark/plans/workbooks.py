@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark import storage
+from civicspark import schemas, storage
+from civicspark.functions.urls import content_sha256
 from civicspark.operators import files as W
 from civicspark.operators import keyvalue as K
 from civicspark.operators import quality as Q
@@ -30,43 +35,132 @@ def sheet_documents(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sheets, records, broken.unionByName(small)
 
 
-def ingest_workbooks(files: DataFrame, store: str, batch_id: int) -> None:
+def ingest_workbooks(files: DataFrame, store: str, batch_id: int, writer: str = "main") -> DataFrame:
     """Decode ``files(path, modificationTime, length, content)`` and upsert their sheets into ``store``.
 
-    The decoded parts are written first, so that every file is opened once.
-    Repeating a batch overwrites what it wrote before.
+    The decoded parts are written first, so that every file is opened once. Gives ``path, modificationTime`` of the
+    files that could be decoded. ``writer`` and ``batch_id`` name the batch; repeating it changes nothing.
     """
     spark = files.sparkSession
-    staged = f"{store}/parts/batch={batch_id}"
+    staged = f"{store}/parts/writer={writer}/batch={batch_id}"
     X.decode_workbooks(files).write.mode("overwrite").parquet(staged)
     parts = spark.read.parquet(staged)
     sheets, records, rejects = sheet_documents(parts)
-    modified = files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"))
-    rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={batch_id}")
-    sheet_store.upsert_sheets(sheets.join(modified, "file_path"), records, store, batch_id)
+    named = files.select("path", "modificationTime")
+    modified = named.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"))
+    rejects.write.mode("overwrite").parquet(f"{store}/rejects/writer={writer}/batch={batch_id}")
+    sheet_store.upsert_sheets(sheets.join(modified, "file_path"), records, store, batch_id, writer=writer)
+    sheet_store.compact(spark, store, sheet_store.COMPACT_EVERY)
+    broken = X.workbook_rejects(parts).select(F.col("file_path").alias("path"))
+    return named.join(broken, "path", "left_anti")
+
+
+#: Paths that one read is given; more files make more batches.
+FILES_PER_BATCH = 5000
+_PROCESSED = "path string, modificationTime timestamp"
+
+
+def load_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files at ``paths`` with their bytes; no other file is opened."""
+    plain = [re.sub(r"([\\*?{}\[\],])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").load(plain) if plain else spark.createDataFrame([], schemas.BINARY_FILES)
+
+
+def _pieces(paths: DataFrame, size: int = FILES_PER_BATCH) -> Iterator[list[str]]:
+    rows = paths.select("path").toLocalIterator()
+    while piece := [r.path for r in islice(rows, size)]:
+        yield piece
+
+
+def _processed(spark: SparkSession, store: str) -> tuple[DataFrame, int]:
+    """Files taken up so far, and the number of the next batch. Old batches are folded into a base."""
+    home = f"{store}/processed"
+    bases, done = storage.versions(spark, home, "base"), storage.versions(spark, home, "batch")
+    base = bases[-1] if bases else -1
+    later = [b for b in done if b > base]
+    if len(later) >= sheet_store.COMPACT_EVERY:
+        folders = [f"{home}/base={base}"] * (base >= 0) + [f"{home}/batch={b}" for b in later]
+        spark.read.schema(_PROCESSED).parquet(*folders).groupBy("path").agg(F.max("modificationTime").alias("modificationTime")).write.mode(
+            "overwrite").parquet(f"{home}/base={later[-1]}")
+        for b in [b for b in done if b <= base]:
+            storage.drop(spark, f"{home}/batch={b}")
+        base, later = later[-1], []
+    folders = [f"{home}/base={base}"] * (base >= 0) + [f"{home}/batch={b}" for b in later]
+    known = spark.read.schema(_PROCESSED).parquet(*folders) if folders else spark.createDataFrame([], _PROCESSED)
+    return known, max([base, *done], default=-1) + 1
+
+
+def ingest_changed(
+    spark: SparkSession, folder: str, store: str, recursive: bool = True, ready: DataFrame | None = None
+) -> int | None:
+    """Ingest the workbooks that are new or were rewritten since the last run.
+
+    Gives the number of the last batch that took a file, None if there was none.
+
+    Unlike a file stream this sees a file that was rewritten under its name. With ``ready(path, modificationTime)``
+    only those are taken (see :func:`ingest_stable`). Only the chosen files are opened. A file that does not
+    decode is reported among the rejects and tried again at the next run.
+    """
+    listing = X.scan_workbooks(spark, folder, recursive).select("path", "modificationTime")
+    if ready is not None:
+        listing = listing.join(ready, ["path", "modificationTime"], "left_semi")
+    known, batch_id = _processed(spark, store)
+    staged = f"{store}/changed/batch={batch_id}"
+    W.changed_files(listing, known).write.mode("overwrite").parquet(staged)
+    last = None
+    for paths in _pieces(spark.read.parquet(staged)):
+        taken = ingest_workbooks(load_workbooks(spark, paths), store, batch_id, "listing")
+        taken.write.mode("overwrite").parquet(f"{store}/processed/batch={batch_id}")
+        if not spark.read.parquet(f"{store}/processed/batch={batch_id}").isEmpty():
+            last = batch_id
+        batch_id += 1
+    return last
+
 
+_LOOKS = "path string, ts timestamp, sha256 string, modificationTime timestamp, length bigint"
 
-def ingest_changed(spark: SparkSession, folder: str, store: str, recursive: bool = True) -> int | None:
-    """Ingest the workbooks that are new or were rewritten since the last run; returns the batch number.
 
-    Unlike a file stream this sees a file that was rewritten under its name.
+def _looks(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.schema(_LOOKS).parquet(log) if storage.exists(spark, log) else spark.createDataFrame([], _LOOKS)
+
+
+def observe_files(spark: SparkSession, folder: str, log: str, cooldown_seconds: int = 0) -> None:
+    """Append an observation of each workbook below ``folder`` that may have changed to those at ``log``.
+
+    Looked at are files without an observation, with another time or length than at the last one, or whose last two
+    hashes differ; none that was looked at within ``cooldown_seconds``. The others are not opened.
     """
-    listing = X.scan_workbooks(spark, folder, recursive).select("path", "modificationTime")
-    done = storage.versions(spark, f"{store}/processed", "batch")
-    log = [f"{store}/processed/batch={b}" for b in done]
-    changed = W.changed_files(listing, spark.read.parquet(*log)) if log else listing
-    batch_id = (done[-1] if done else -1) + 1
-    staged = f"{store}/changed/batch={batch_id}"
-    changed.write.mode("overwrite").parquet(staged)
-    changed = spark.read.parquet(staged)
-    oldest = changed.agg(F.min("modificationTime")).first()[0]
-    if oldest is None:
-        return None
-    # The time filter reaches the file scan, so older files are not opened.
-    files = X.scan_workbooks(spark, folder, recursive).filter(F.col("modificationTime") >= oldest)
-    ingest_workbooks(files.join(changed, ["path", "modificationTime"], "left_semi"), store, batch_id)
-    changed.write.mode("overwrite").parquet(f"{store}/processed/batch={batch_id}")
-    return batch_id
+    order = F.struct("ts", "sha256")
+    state = _looks(spark, log).groupBy("path").agg(
+        F.max("ts").alias("seen"), F.max_by(F.struct("modificationTime", "length", "sha256"), order).alias("last"),
+        F.slice(F.sort_array(F.collect_list(F.struct("ts", "sha256")), False), 1, 2)["sha256"].alias("hashes"),
+    )
+    listing = X.scan_workbooks(spark, folder).select("path", "modificationTime", "length")
+    same = (F.col("modificationTime") == F.col("last.modificationTime")) & (F.col("length") == F.col("last.length"))
+    settled = same & (F.size("hashes") == 2) & (F.col("hashes")[0] == F.col("hashes")[1])
+    recent = F.unix_seconds(F.current_timestamp()) - F.unix_seconds("seen") < cooldown_seconds
+    due = listing.join(state, "path", "left").filter(~F.coalesce(settled, F.lit(False)) & ~F.coalesce(recent, F.lit(False)))
+    for paths in _pieces(due):
+        load_workbooks(spark, paths).select(
+            "path", F.current_timestamp().alias("ts"), content_sha256(F.col("content")).alias("sha256"), "modificationTime", "length"
+        ).write.mode("append").parquet(log)
+
+
+def stable_workbooks(spark: SparkSession, log: str) -> DataFrame:
+    """``path, modificationTime`` of the files whose last observation has the hash of the one before."""
+    looks = _looks(spark, log)
+    last = looks.groupBy("path").agg(F.max(F.struct("ts", "sha256")).alias("last")).select("path", "last.*")
+    stable = W.stable_files(looks.select("path", "ts", "sha256", "modificationTime"))
+    return stable.join(last, ["path", "ts", "sha256"], "left_semi").select("path", "modificationTime").distinct()
+
+
+def ingest_stable(spark: SparkSession, folder: str, store: str, log: str, cooldown_seconds: int = W.COOLDOWN_SECONDS) -> int | None:
+    """One round over a folder: look at what may have changed, then ingest what two looks found equal.
+
+    A file that is still being written has another hash at the next look, so it is not decoded half-written.
+    """
+    observe_files(spark, folder, log, cooldown_seconds)
+    return ingest_changed(spark, folder, store, ready=stable_workbooks(spark, log))
 
 
 def assess_workbooks(spark: SparkSession, folder: str, output: str, recursive: bool = True) -> dict[str, DataFrame]:
@@ -97,17 +191,21 @@ def assess_workbooks(spark: SparkSession, folder: str, output: str, recursive: b
 
 
 def write_records_json(rows: DataFrame, folder: str, file: str = "file") -> None:
-    """Records as JSON lines, one folder per workbook, times in ISO form.
+    """Records as JSON lines, one folder per workbook path, in row order, times in ISO form.
 
-    Lines instead of one array, so that a large workbook is written by many tasks.
+    The folder is named by the file and a hash of its whole path. Lines instead of one array, so that a large
+    workbook is written by many tasks; each line names its file, and ``sheet`` and ``row`` where ``rows`` has them.
     """
     name = F.regexp_replace(F.substring_index(file, "/", -1), r"\.xlsx$", "")
+    workbook = F.concat(name, F.lit("-"), F.substr(F.sha2(F.col(file), 256), F.lit(1), F.lit(16)))
     titles = {"key": "Key", "value": "Value"}
-    kept = [c for c in rows.columns if c not in (file, "sheet_index", "sheet", "row")]
-    fields = [F.col(c).alias(titles.get(c, c)) for c in kept]
+    places = [c for c in ("sheet_index", "row") if c in rows.columns]
+    fields = [F.col(c).alias(titles.get(c, c)) for c in rows.columns if c != "sheet_index"]
     (
-        rows.select(name.alias("workbook"), *fields)
+        rows.withColumn("workbook", workbook)
         .hint("rebalance", "workbook")
+        .sortWithinPartitions("workbook", *places)
+        .select("workbook", *fields)
         .write.mode("overwrite").partitionBy("workbook")
         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").option("ignoreNullFields", False)
         .json(folder)

@@ -22,7 +22,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from civicspark import schemas
 from civicspark.operators.sheets import HEADER_ROW
 
-MAX_FILE_BYTES = 1 << 30
 _ROWS_PER_BATCH = 4096
 
 # Texts that count as a missing cell.
@@ -56,20 +55,12 @@ def is_xlsx(path: str | None):
     return F.col(path).endswith(".xlsx")
 
 
-def decode_workbooks(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def decode_workbooks(files: DataFrame) -> DataFrame:
     """All parts of all files (see ``schemas.WORKBOOK_PARTS``).
 
-    A file larger than ``max_bytes`` is reported as an error and not opened.
-    Decode once: write the result to a table before deriving several others.
+    A file that the source cannot load fails the job. Decode once: write the result to a table before deriving several others.
     """
-    small = files.filter(F.col("length") <= max_bytes).select("path", "content")
-    decoded = small.mapInArrow(_decode_batches, schemas.WORKBOOK_PARTS)
-    large = files.filter(F.col("length") > max_bytes).select(
-        F.col("path").alias("file_path"),
-        F.lit("error").alias("part"),
-        F.concat(F.lit("file has "), F.col("length"), F.lit(" bytes")).alias("text"),
-    )
-    return decoded.unionByName(large, allowMissingColumns=True)
+    return files.select("path", "content").mapInArrow(_decode_batches, schemas.WORKBOOK_PARTS)
 
 
 def sheet_rows(parts: DataFrame) -> DataFrame:
@@ -137,6 +128,8 @@ def _decode_file(path: str, content: bytes) -> Iterator[dict]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as book:
             yield from _decode_book(path, book)
+    except (MemoryError, OSError):  # not the file's fault: the task is tried again
+        raise
     except Exception as error:  # any damage rejects the file, the others go on
         yield {"file_path": path, "part": "error", "text": f"{type(error).__name__}: {error}"}
 

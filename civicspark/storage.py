@@ -40,11 +40,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def versions(spark: SparkSession, path: str, key: str) -> list[int]:
-    """Numbers N of the complete ``key=N`` folders below ``path``, ascending."""
+def complete(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values V of the complete ``key=V`` folders below ``path``, ascending."""
     hadoop_path, fs = _path(spark, path)
     if not fs.exists(hadoop_path):
         return []
     names = [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
-    numbers = [int(n.split("=", 1)[1]) for n in names if n.startswith(f"{key}=")]
-    return sorted(n for n in numbers if exists(spark, f"{path}/{key}={n}/_SUCCESS"))
+    found = [n.split("=", 1)[1] for n in names if n.startswith(f"{key}=")]
+    return sorted(v for v in found if exists(spark, f"{path}/{key}={v}/_SUCCESS"))
+
+
+def versions(spark: SparkSession, path: str, key: str) -> list[int]:
+    """Numbers N of the complete ``key=N`` folders below ``path``, ascending."""
+    return sorted(map(int, complete(spark, path, key)))
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more, such as one of :func:`run_dir`."""
+    hadoop_path, fs = _path(spark, path)
+    fs.delete(hadoop_path, True)

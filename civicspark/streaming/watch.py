@@ -3,11 +3,12 @@
 A file stream takes each path once. :func:`start_watch` therefore expects
 every revision under a new path; ``plans.workbooks.ingest_changed`` also sees
 files rewritten in place. The gates take observations ``path, ts, sha256``,
-for instance those appended by :func:`observe_files`.
+for instance those appended by ``plans.workbooks.observe_files``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,11 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from civicspark import schemas
-from civicspark.functions.urls import content_sha256
+from civicspark import schemas, storage
 from civicspark.operators.files import COOLDOWN_SECONDS
 from civicspark.plans.workbooks import ingest_workbooks
-from civicspark.sources.workbooks import scan_workbooks
 
 
 def watch_workbooks(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -33,30 +32,33 @@ def watch_workbooks(spark: SparkSession, folder: str, files_per_batch: int = 100
     )
 
 
+def _writer_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name made once for a checkpoint and kept in it."""
+    home = f"{checkpoint}/writer"
+    if not storage.exists(spark, f"{home}/_SUCCESS"):
+        spark.createDataFrame([(f"stream-{uuid.uuid4().hex}",)], "name string").coalesce(1).write.mode("overwrite").parquet(home)
+    return spark.read.schema("name string").parquet(home).first().name
+
+
 def start_watch(
     spark: SparkSession, folder: str, store: str, checkpoint: str, once: bool = False, every: str = "5 seconds"
 ) -> StreamingQuery:
     """Upsert the sheets of every file of :func:`watch_workbooks` into ``store``.
 
     ``once`` takes what is there and stops. A restart from ``checkpoint``
-    repeats at most the last batch, which overwrites itself.
+    repeats at most the last batch, which is not committed twice. Each
+    checkpoint is a writer of its own in the store. Files are decoded as soon as
+    they are there; for files written slowly use ``plans.workbooks.ingest_stable``.
     """
+    name = _writer_name(spark, checkpoint)
     writer = (
         watch_workbooks(spark, folder).writeStream
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda files, batch_id: ingest_workbooks(files, store, batch_id))
+        .foreachBatch(lambda files, batch_id: ingest_workbooks(files, store, batch_id, name))
     )
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def observe_files(spark: SparkSession, folder: str, log: str) -> None:
-    """Append one observation per workbook below ``folder`` to the observations at ``log``."""
-    seen = scan_workbooks(spark, folder).select(
-        "path", F.current_timestamp().alias("ts"), content_sha256(F.col("content")).alias("sha256")
-    )
-    seen.write.mode("append").parquet(log)
-
-
 _GATED = "path string, at bigint, sha256 string"
 
 
