@@ -120,8 +120,10 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                     names=[doc_id, "quality", "counts"],
                 )
 
-    chosen = documents.select(doc_id, F.col(text).cast("string").alias("_text")).join(named, doc_id)
-    chosen = chosen.orderBy(F.xxhash64(doc_id), doc_id, "_text").limit(fit_rows)
+    # Ids are chosen first, so that only the texts of the sample move; of texts that repeat an id, the least counts.
+    ids = documents.select(doc_id).distinct().join(named, doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(fit_rows)
+    chosen = documents.select(doc_id, F.col(text).cast("string").alias("_text")).join(F.broadcast(ids), doc_id)
+    chosen = chosen.groupBy(doc_id).agg(F.min("_text").alias("_text"), F.first("_quality").alias("_quality"))
     kind = documents.schema[doc_id].dataType.simpleString()
     rows = chosen.mapInArrow(counted, f"`{doc_id}` {kind}, quality int, counts array<float>").select("quality", "counts").toPandas()
     counts = np.vstack(rows["counts"].to_numpy()) if len(rows) else np.zeros((0, BUCKETS + MARKS))
