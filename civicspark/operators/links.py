@@ -103,45 +103,37 @@ def seed_urls(seeds: DataFrame) -> DataFrame:
     return decoded.select(F.explode(both).alias("url")).distinct()
 
 
+def robots_table(rules: DataFrame, agent: str) -> DataFrame:
+    """``host, rules``: of each host of ``rules(host, agent, prefix, allow)`` the prefixes that bind ``agent``.
+
+    Rules for a named agent come before those for ``*``. A row is as large as the rules file of one host.
+    """
+    named = F.coalesce((F.col("agent") != "*") & F.lit(agent.lower()).contains(F.lower("agent")), F.lit(False))
+    rule = F.struct("prefix", "allow")
+    binds = F.col("prefix") != ""
+    own = rules.groupBy("host").agg(
+        F.max(named).alias("_has_named"),
+        F.collect_set(F.when(named & binds, rule)).alias("_named"),
+        F.collect_set(F.when((F.col("agent") == "*") & binds, rule)).alias("_any"),
+    )
+    return own.select("host", F.when(F.col("_has_named"), F.col("_named")).otherwise(F.col("_any")).alias("rules"))
+
+
 def robots_filter(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """URLs that the robots rules of their host allow for ``agent``.
 
-    ``rules``: ``host, agent, prefix, allow``. Rules for a named agent come
-    before those for ``*``; the longest matching path prefix decides, and
-    "allow" wins a tie. Without a match the URL is allowed, but a host
-    without any rules is denied.
-
-    A path is not compared with every rule of its host. It is cut at the
-    prefix lengths that occur for the host, and the pieces are looked up, an
-    equi-join on host and prefix. Neither the rules nor the URLs of a host
-    are collected.
+    ``rules``: ``host, agent, prefix, allow``, or a :func:`robots_table`. The longest matching path prefix decides,
+    and "allow" wins a tie. Without a match the URL is allowed, but a host without any rules is denied. One join.
     """
-    named = (F.col("agent") != "*") & F.lit(agent.lower()).contains(F.lower("agent"))
-    relevant = rules.select("host", "prefix", "allow", named.alias("_named"), (F.col("agent") == "*").alias("_any"))
-    hosts = relevant.groupBy("host").agg(F.max("_named").alias("_has_named"))
-    binding = (
-        relevant.join(hosts, "host")
-        .filter(F.when(F.col("_has_named"), F.col("_named")).otherwise(F.col("_any")) & (F.col("prefix") != ""))
-        .groupBy("host", "prefix").agg(F.max("allow").alias("allow"))
+    table = (rules if "rules" in rules.columns else robots_table(rules, agent)).select(
+        F.col("host").alias("_host"), F.col("rules").alias("_rules")
     )
-    # At most as many entries as the longest prefix has characters.
-    lengths = binding.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
-
     target = F.regexp_extract(F.col("url"), r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^#]*)", 1)
     path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
-    placed = urls.withColumn("host", U.netloc_of(F.col("url"))).withColumn("_path", path)
-    pieces = (
-        placed.select("host", "_path").distinct().join(lengths, "host")
-        .select("host", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_length"))
-        .withColumn("prefix", F.substr("_path", F.lit(1), F.col("_length")))
-    )
-    denied = (
-        pieces.join(binding, ["host", "prefix"])
-        .groupBy("host", "_path").agg(F.max_by("allow", "_length").alias("allow"))
-        .filter(~F.col("allow"))
-    )
-    known = placed.join(hosts, "host", "left_semi")
-    return known.join(denied, ["host", "_path"], "left_anti").select(*urls.columns)
+    hits = F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["prefix"]))
+    longest = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["allow"].alias("allow"))))
+    placed = urls.withColumn("_host", U.netloc_of(F.col("url"))).withColumn("_path", path).join(table, "_host")
+    return placed.filter(F.coalesce(longest["allow"], F.lit(True))).select(*urls.columns)
 
 
 def crawl_totals(crawled: DataFrame, visited: DataFrame, downloaded: DataFrame) -> DataFrame:

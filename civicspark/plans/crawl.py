@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ def crawl(
     prefixes: Sequence[str] = U.DEFAULT_PATH_PREFIXES,
     max_hops: int | None = None,
     hosts: DataFrame | None = None,
+    work: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Reach from ``seeds(url)`` and the URLs left over when ``max_hops`` ends the crawl.
 
@@ -38,24 +40,30 @@ def crawl(
     that were fetched: HTML pages, and pages that are missing from the store.
     ``visited(url_hash)`` of an earlier crawl is left out.
 
-    Anchors are extracted once and written, and so is every hop, below the
-    shared folder of the session: later hops read files instead of a growing
-    plan, and a lost executor costs one stage. Only whether a hop is empty
-    comes to the driver. The result reads these files, so they stay there.
+    Anchors and what is known of each page are written once, in buckets by page,
+    so that only the frontier is shuffled in a hop; hosts and robots rules are
+    written once too, and so is every hop. Later hops read files instead of a
+    growing plan, and a lost executor costs one stage. Only whether a hop is empty
+    comes to the driver. The result reads these files in ``work``, a new folder
+    below the shared one by default; drop it (``storage.drop``) when done.
     """
     spark = seeds.sparkSession
-    home = storage.run_dir(spark, "reach")
-    hosts = (seeds if hosts is None else hosts).select(U.netloc_of(F.col("url")).alias("netloc")).distinct()
+    home = work or storage.run_dir(spark, "reach")
+
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{home}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{home}/{name}")
+
+    hosts = written((seeds if hosts is None else hosts).select(U.netloc_of(F.col("url")).alias("netloc")).distinct(), "hosts")
+    rules = written(L.robots_table(rules, agent), "rules") if rules is not None else None
+    visited = written(visited.select("url_hash").distinct(), "visited") if visited is not None else None
 
     stored = pages.withColumn("page_hash", U.url_hash(U.normalize_url(F.col("url"))))
     is_html = F.lit(True)
     if "content_type" in pages.columns:
         is_html = H.mime_type(F.col("content_type")).isin(L.HTML_TYPES)
-    known = stored.groupBy("page_hash").agg(F.max(is_html).alias("html_page"))
-    known.write.parquet(f"{home}/known")
-    known = spark.read.parquet(f"{home}/known")
-    L.page_hrefs(stored.filter(is_html), ["page_hash"]).write.parquet(f"{home}/anchors")
-    anchors = spark.read.parquet(f"{home}/anchors")
+    known = _in_buckets(stored.groupBy("page_hash").agg(F.max(is_html).alias("html_page")), f"{home}/known")
+    anchors = _in_buckets(L.page_hrefs(stored.filter(is_html), ["page_hash"]), f"{home}/anchors")
 
     frontier = L.with_hash(L.seed_urls(seeds))
     if visited is not None:
@@ -78,7 +86,7 @@ def crawl(
             )
         )
         met.write.mode("overwrite").parquet(f"{home}/met/hop={hop}")
-        seen = spark.read.parquet(f"{home}/met")
+        seen = spark.read.schema(_MET).parquet(f"{home}/met")
         latest = seen.filter((F.col("hop") == hop) & F.col("expands"))
         # Equal links of one hop are dropped before and after the shuffle; a
         # page that very many others link to arrives once per task.
@@ -91,13 +99,29 @@ def crawl(
         frontier = L.unvisited(L.with_hash(found), seen)
         if visited is not None:
             frontier = L.unvisited(frontier, visited)
-        if (max_hops is not None and hop >= max_hops) or seen.filter(F.col("hop") == hop).isEmpty():
+        if max_hops is not None and hop >= max_hops:
+            break
+        # The next hop is worked out once, and an empty one ends the crawl before anything else is done for it.
+        frontier = written(frontier, f"frontier/hop={hop + 1}")
+        if frontier.isEmpty():
             break
         hop += 1
     reach = seen.select("url", "url_hash", F.col("hop").cast("int").alias("hop"), "allowed", "crawled")
     return reach, frontier
 
 
+_MET = "url string, url_hash string, page_hash string, allowed boolean, crawled boolean, expands boolean, hop int"
+
+
+def _in_buckets(frame: DataFrame, path: str, key: str = "page_hash") -> DataFrame:
+    """``frame`` written once in buckets by ``key``: a join on it does not move this side again."""
+    spark = frame.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"civicspark_{uuid.uuid4().hex}"
+    frame.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def crawl_reach(seeds: DataFrame, pages: DataFrame, **options) -> DataFrame:
     """The reach of :func:`crawl`, which takes the same ``options``."""
     return crawl(seeds, pages, **options)[0]

@@ -1,0 +1,52 @@
+import html
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from civicspark.functions import html as H
+from civicspark.operators.sheets import unique_names
+
+PARTS = [
+    "&", "#", "x", "3", ";", "amp", "&amp;", "&#038;", "&#x2F;", "&eacute;", "&#38;amp;", "&copy", "&notit;", "a", "&lt", "é", "&#0;",
+    "&#x80;", "&#129;", "&#xD800;", "&#99999999999;", "&#1;", "&#xFFFE;", "&#128512;", " ", "&nGt;", "&#x;", "&#13;", "\n", "&zz;",
+]
+
+
+def test_references_are_decoded_once(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += ["/x?a=1&#038;b=2", "/caf&eacute;", "/p&#x2F;q", "/z&#38;amp;w", "", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", H.decode_references(F.col("t")).alias("d"))
+    assert [(r.t, r.d) for r in frame.collect()] == [(t, None if t is None else html.unescape(t)) for t in texts]
+
+
+def test_references_in_links_and_titles(spark):
+    page = '<title>A &#38;amp; caf&eacute;</title><a href="/x?a=1&#038;b=2">x</a><a href="/p&#x2F;q">'
+    row = spark.createDataFrame([(page,)], "h string").select(H.hrefs(F.col("h")).alias("l"), H.page_title(F.col("h")).alias("t")).first()
+    assert row.l == ["/x?a=1&b=2", "/p/q"] and row.t == "A &amp; café"
+
+
+def plainly(names):
+    done = []
+    for name in names:
+        found, number = name, 0
+        while found in done:
+            number += 1
+            found = f"{name}_{number}"
+        done.append(found)
+    return done
+
+
+def test_unique_names_in_turn(spark):
+    rng = random.Random(1)
+    rows = [[rng.choice(["a", "a_1", "a_1_1", "b", ""]) for _ in range(rng.randint(0, 12))] for _ in range(60)]
+    frame = spark.createDataFrame([(r,) for r in rows], "n array<string>").select(unique_names(F.col("n")).alias("u"))
+    assert [r.u for r in frame.collect()] == [plainly(r) for r in rows]
+
+
+@pytest.mark.parametrize("names", [["a", "a_1"] * 4096 + ["a"] * 8192])
+def test_many_colliding_names(spark, names):
+    frame = spark.createDataFrame([(names,)], "n array<string>").select(unique_names(F.col("n")).alias("u"))
+    (row,) = frame.collect()
+    assert len(set(row.u)) == 16384 and row.u[:4] == ["a", "a_1", "a_2", "a_1_1"]
