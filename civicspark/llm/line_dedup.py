@@ -89,8 +89,10 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, doc_id: str
     equal = F.zip_with(
         F.slice("hashes", low, high - low + 1), F.slice("first_hashes", low - F.col("shift"), high - low + 1), lambda x, y: x == y
     )
+    # Dealt anew by the later document: so the join before can split a first document that very many others match.
+    compared = sides.select("doc", "first_doc", "shift", "hits", low.alias("low"), equal.alias("equal")).repartition("doc")
     same = (
-        sides.select("doc", "first_doc", "shift", "hits", low.alias("low"), F.posexplode(equal).alias("at", "equal")).filter("equal")
+        compared.select("doc", "first_doc", "shift", "hits", "low", F.posexplode("equal").alias("at", "equal")).filter("equal")
         .select("doc", "first_doc", "shift", "hits", (F.col("low") + F.col("at")).alias("place"))
     )
     # Grow both ways: equal lines on one diagonal without a gap make a run; runs with a fingerprint count.
