@@ -21,7 +21,9 @@ from civicspark.operators import quality as Q  # noqa: E402
 from civicspark.operators import sheets as S  # noqa: E402
 from civicspark.operators import weather as M  # noqa: E402
 from civicspark.plans import table_views as V  # noqa: E402
+from civicspark import storage  # noqa: E402
 from civicspark.plans.crawl import crawl_reach  # noqa: E402
+from civicspark.sources import sheet_store as SS  # noqa: E402
 
 try:  # the corpus operators can be left out
     import corpus_pipeline
@@ -271,6 +273,15 @@ def crawl_reach_hops(spark: SparkSession, folder: str) -> DataFrame:
     return reach.select("url", "hop", "allowed", "crawled")
 
 
+def crawl_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Five hops along chains of six stored pages."""
+    number = F.col("page_id")
+    address = lambda n: F.concat(F.lit("http://city.example/statistics/"), n)
+    link = F.when(number % 6 < 5, F.concat(F.lit('<a href="../statistics/'), number + 1, F.lit('">'))).otherwise("")
+    pages = V.pages(spark, folder).select(number, address(number).alias("url"), F.concat(F.lit("<p>"), link).alias("html"))
+    return crawl_reach(pages.filter(number % 6 == 0).select("url"), pages).select("url", "hop", "allowed", "crawled")
+
+
 def state_verify(spark: SparkSession, folder: str) -> DataFrame:
     links = V.links(spark, folder)
     repeated = Q.verify_visited(links).select(F.lit("links").alias("state"), "*")
@@ -310,6 +321,29 @@ def sheet_numeric_keys(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("file_path", "row", F.col("values")[0].alias("key"), F.col("values")[1].alias("value"))
 
 
+def sheet_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Revisions of sheets committed by two writers, one batch twice, with a compaction between."""
+    home = storage.run_dir(spark, "sheet-store")
+    day = F.col("o_orderdate")
+    cells = F.struct(
+        F.col("o_orderkey").cast("string").alias("header"), F.lit(None).cast("string").alias("metadata"),
+        F.lit(None).cast("string").alias("table_info"), F.lit(None).cast("string").alias("copyright"),
+    )
+    sheets = V.revisions(spark, folder).select(
+        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("file_path"), F.lit(0).alias("sheet_index"), "sheet_name",
+        cells.alias("metadata"), F.lit(0).cast("long").alias("records"), day.cast("timestamp").alias("modified"), day,
+    )
+    records = spark.createDataFrame([], "file_path string, sheet_index int, row long, record map<string,string>")
+    for writer, batch, chosen in [
+        ("a", 0, day < "1994-01-01"), ("b", 0, day.between("1994-01-01", "1995-12-31")),
+        ("b", 0, day < "1993-01-01"), ("a", 1, day >= "1996-01-01"),
+    ]:
+        SS.upsert_sheets(sheets.filter(chosen), records, home, batch, writer=writer)
+        if (writer, batch) == ("b", 0):
+            SS.compact(spark, home)
+    return SS.read_sheets(spark, home).select("_id", "sheet_name", F.col("metadata.header").cast("long").alias("o_orderkey"))
+
+
 def sheet_upsert(spark: SparkSession, folder: str) -> DataFrame:
     keyed = V.revisions(spark, folder).withColumn("_id", S.sheet_key())
     newest = S.latest_per_key(keyed, ["_id"], ["o_orderdate", "o_orderkey"])
@@ -420,6 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crawl_eta": crawl_eta,
     "crawl_reach": crawl_reach_hops,
     "state_verify": state_verify,
+    "crawl_chain": crawl_chain,
     "stale_files": stale_files,
     "sheet_metadata": sheet_metadata,
     "sheet_rejects": sheet_rejects,
@@ -427,6 +462,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sheet_unique_columns": sheet_unique_columns,
     "sheet_numeric_keys": sheet_numeric_keys,
     "sheet_upsert": sheet_upsert,
+    "sheet_store": sheet_store,
     "kv_dropna_all": kv_dropna_all,
     "kv_skip_rows": kv_skip_rows,
     "kv_merge": kv_merge,
@@ -843,6 +879,16 @@ FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 7 <> 0""",
 WITH revisions AS (SELECT o_orderpriority || '-' || (o_custkey % 50) AS sheet_name, * FROM orders)
 SELECT md5(sheet_name) AS _id, sheet_name, o_orderkey, o_totalprice FROM revisions
 QUALIFY row_number() OVER (PARTITION BY sheet_name ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+    "sheet_store": """
+WITH revisions AS (SELECT o_orderpriority || '-' || (o_custkey % 50) AS sheet_name, * FROM orders)
+SELECT md5(sheet_name) AS _id, sheet_name, o_orderkey FROM revisions
+QUALIFY row_number() OVER (PARTITION BY sheet_name ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+    "crawl_chain": """
+WITH RECURSIVE walk AS (
+  SELECT page_id AS n, 0 AS hop FROM pages WHERE page_id % 6 = 0
+  UNION ALL
+  SELECT n + 1, hop + 1 FROM walk JOIN pages ON page_id = n WHERE n % 6 < 5)
+SELECT 'http://city.example/statistics/' || n AS url, hop, true AS allowed, true AS crawled FROM walk""",
     "kv_dropna_all": f"""WITH {_KV} SELECT * FROM kv WHERE "key" IS NOT NULL OR "value" IS NOT NULL""",
     "kv_skip_rows": f"""WITH {_KV} SELECT * FROM kv WHERE "row" > 0 AND NOT "row" BETWEEN 10 AND 19""",
     "kv_merge": f"WITH {_MERGED} SELECT * FROM merged",
