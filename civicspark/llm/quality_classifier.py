@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.llm.tables import least_hashes, written
 from civicspark.llm.words import chunks, find_words, repeated_in_document
 
 #: Labelled documents in the model, at most; their vectors are all that is broadcast (4096 x 32 floats).
@@ -121,7 +122,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 )
 
     # Ids are chosen first, so that only the texts of the sample move; of texts that repeat an id, the least counts.
-    ids = documents.select(doc_id).distinct().join(named, doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(fit_rows)
+    ids = least_hashes(written(documents.select(doc_id).distinct().join(named, doc_id), "labelled-ids"), doc_id, fit_rows)
     chosen = documents.select(doc_id, F.col(text).cast("string").alias("_text")).join(F.broadcast(ids), doc_id)
     chosen = chosen.groupBy(doc_id).agg(F.min("_text").alias("_text"), F.first("_quality").alias("_quality"))
     kind = documents.schema[doc_id].dataType.simpleString()

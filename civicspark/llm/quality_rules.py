@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.tables import bounded_sample, spare_name, written
+from civicspark.llm.tables import least_hashes, spare_name, written
 from civicspark.llm.words import Words, chunks, find_words, mixed, repeated_in_document, span_hashes, sums
 
 #: Labelled good rows that the forest is grown from, at most.
@@ -181,7 +181,7 @@ def fit(
     named = labels.groupBy(F.col("doc_id").alias(doc_id)).agg(F.max("quality").alias("_quality"))
     # Statistics first: they are short, the texts would be shuffled.
     labelled = written(with_statistics(documents, doc_id, text).filter(~base_failed()).join(named, doc_id), "rule-statistics")
-    good = bounded_sample(labelled.filter("_quality = 1"), doc_id, fit_rows, "features")
+    good = least_hashes(labelled.filter("_quality = 1"), doc_id, fit_rows).select("features").collect()
     if not good:
         return Rules(None, 2.0)
     forest = grow(np.array([r.features for r in good]))

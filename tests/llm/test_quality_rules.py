@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from civicspark.llm import quality_rules as R
 
@@ -77,3 +78,13 @@ def test_without_labels_only_base_rules_count(spark, documents):
     assert rules.forest is None
     assert [r.doc_id for r in R.judge(given, rules).filter("kept").collect()] == [10]
     assert R.judge(documents([]), rules).count() == 0 and R.keep_good(documents([]), rules).count() == 0
+
+
+def test_least_hashes_are_the_same_however_found(spark):
+    from civicspark.llm.tables import least_hashes
+
+    frame = spark.range(5000).withColumnRenamed("id", "doc_id")
+    expected = [r.doc_id for r in frame.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()]
+    assert [r.doc_id for r in least_hashes(frame, "doc_id", 300).collect()] == expected
+    one = spark.range(5000).selectExpr("5L AS doc_id")
+    assert least_hashes(one, "doc_id", 300).count() == 300
