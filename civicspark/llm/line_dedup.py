@@ -1,11 +1,11 @@
-"""Line dedup: later copies of runs of lines are deleted, found by winnowing over line hashes.
+"""Line dedup: later copies of runs of lines are deleted, found by hashes of the shortest runs of enough words.
 
 Lines are the pieces between newlines; those without a word are not compared. The hash of a line is 60 bits of its MD5.
-From every run of lines that just reaches ``min_words`` words, the line of least hash is a fingerprint, so any two equal
-runs of that size have an equal fingerprint line. Each fingerprint is joined with the first place (document, line) that
-has it, and with the one before in its own document, and the match grows both ways along the two documents while lines are equal. Stretches of matched lines
-with at least ``min_words`` words are deleted; shorter ones stay. A line deleted always has an equal line before it, so the
-first copy of every line stays.
+Every run of lines with at least ``min_words`` words that came before, in an earlier document or earlier in its own, is
+deleted; nothing else is. Such a run is the union of its windows: the runs that just reach ``min_words`` words, counted on
+from a first line or back from a last one. Whether a run is a window depends on its lines alone, so a copy of a window is a window.
+Each window is one 64-bit hash of its line hashes, joined with the first place (document, line) of the same hash; windows at
+other places are deleted. A line deleted always has an equal line before it, so the first copy of every line stays.
 
 Defined results: a null or empty text stays as it is; order is by document id (null first), then line; rows that repeat
 both id and text are one document and are treated alike; a column named ``removed_lines`` is
@@ -35,78 +35,36 @@ def document_key(doc_id: str, text: str) -> Column:
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc`` (id and hash of the text) and ``lines``: places (from 0) of the lines to delete, for documents that have any."""
     in_order = Window.partitionBy("doc").orderBy("line")
-    lines = written(
+    lines = (
         documents.select(document_key(doc_id, text).alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line", "said"))
         .filter(F.col("said").rlike(WORD))
         .select("doc", "line", line_hash(F.col("said")).alias("h"), F.regexp_count("said", F.lit(WORD)).alias("words"))
         .dropDuplicates(["doc", "line"])
-        .withColumn("place", F.row_number().over(in_order))
-        .withColumn("before", F.sum("words").over(in_order) - F.col("words"))
-        .withColumn("inner", F.coalesce(
-            (F.lag("h").over(in_order) == F.col("h")) & (F.lead("h").over(in_order) == F.col("h")), F.lit(False))),
-        "lines",
+        .withColumn("after", F.sum("words").over(in_order))
+        .withColumn("before", F.col("after") - F.col("words"))
     )
-    reach = Window.partitionBy("doc").orderBy("before").rangeBetween(0, min_words - 1)
-    chosen = (
+    ahead = Window.partitionBy("doc").orderBy("before").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("doc").orderBy("after").rangeBetween(1 - min_words, 0)
+    run = F.collect_list(F.struct("h", "line"))
+    windows = written(
         lines.select(
-            "doc", F.min(F.struct("h", "place", "inner")).over(reach).alias("least"), F.sum("words").over(reach).alias("reached")
-        ).filter(F.col("reached") >= min_words)
-        .select("doc", F.col("least.h").alias("h"), F.col("least.place").alias("place"), F.col("least.inner").alias("inner")).distinct()
+            "doc",
+            F.when(F.sum("words").over(ahead) >= min_words, run.over(ahead)).alias("ahead"),
+            # One that reaches the words only with its last line is a window of its first line already.
+            F.when(F.sum("words").over(back) - F.col("words") >= min_words, run.over(back)).alias("back"),
+        ).select("doc", F.explode(F.array("ahead", "back")).alias("run")).filter("run IS NOT NULL")
+        .select("doc", F.xxhash64("run.h").alias("h"), F.col("run.line").alias("lines")),
+        "windows",
     )
-    fingerprints = written(chosen, "fingerprints")
     firsts = written(
-        fingerprints.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("h", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place")),
+        windows.groupBy("h").agg(F.min(F.struct("doc", F.col("lines")[0].alias("line"))).alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("h", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line")),
         "first-places",
     )
-    # Inside a stretch of one repeated line only the line before counts, or each would be compared with a first place.
-    with_first = fingerprints.filter("NOT inner").join(firsts, "h").filter(
-        (F.col("doc") != F.col("first_doc")) | (F.col("place") != F.col("first_place"))
-    ).select("doc", "place", "first_doc", "first_place")
-    with_previous = fingerprints.select(
-        "doc", "place", F.col("doc").alias("first_doc"),
-        F.lag("place").over(Window.partitionBy("doc", "h").orderBy("place")).alias("first_place"),
-    ).filter("first_place IS NOT NULL")
-    # One row for each pair of documents and distance between their lines.
-    diagonals = written(
-        with_first.unionByName(with_previous).groupBy("doc", "first_doc", (F.col("place") - F.col("first_place")).alias("shift"))
-        .agg(F.sort_array(F.collect_set("place")).alias("hits")),
-        "diagonals",
-    )
-    # Each document's hashes in order, once for either side; only documents that take part are gathered.
-    taking_part = diagonals.select("doc").union(diagonals.select("first_doc")).distinct()
-    hashes = written(
-        lines.join(taking_part, "doc", "left_semi").groupBy("doc")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]).alias("hashes")),
-        "line-hashes",
-    )
-    sides = (
-        diagonals.join(hashes, "doc")
-        .join(hashes.select(F.col("doc").alias("first_doc"), F.col("hashes").alias("first_hashes")), "first_doc")
-    )
-    low = F.greatest(F.lit(1), 1 + F.col("shift"))
-    high = F.least(F.size("hashes"), F.size("first_hashes") + F.col("shift"))
-    equal = F.zip_with(
-        F.slice("hashes", low, high - low + 1), F.slice("first_hashes", low - F.col("shift"), high - low + 1), lambda x, y: x == y
-    )
-    # Dealt anew by the later document: so the join before can split a first document that very many others match.
-    compared = sides.select("doc", "first_doc", "shift", "hits", low.alias("low"), equal.alias("equal")).repartition("doc")
-    same = (
-        compared.select("doc", "first_doc", "shift", "hits", "low", F.posexplode("equal").alias("at", "equal")).filter("equal")
-        .select("doc", "first_doc", "shift", "hits", (F.col("low") + F.col("at")).alias("place"))
-    )
-    # Grow both ways: equal lines on one diagonal without a gap make a run; runs with a fingerprint count.
-    by_run = Window.partitionBy("doc", "first_doc", "shift").orderBy("place")
-    runs = same.withColumn("run", F.col("place") - F.row_number().over(by_run)).groupBy("doc", "first_doc", "shift", "run").agg(
-        F.min("place").alias("low"), F.max("place").alias("high"), F.first("hits").alias("hits")
-    ).filter(F.exists("hits", lambda x: (x >= F.col("low")) & (x <= F.col("high"))))
-    matched = runs.select("doc", F.explode(F.sequence("low", "high")).alias("place")).distinct()
-    stretch = F.col("place") - F.row_number().over(Window.partitionBy("doc").orderBy("place"))
-    held = matched.join(lines.select("doc", "place", "line", "words"), ["doc", "place"]).withColumn("stretch", stretch)
     return (
-        held.withColumn("reached", F.sum("words").over(Window.partitionBy("doc", "stretch")))
-        .filter(F.col("reached") >= min_words)
-        .groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+        windows.join(firsts, "h").filter((F.col("doc") != F.col("first_doc")) | (F.col("lines")[0] != F.col("first_line")))
+        .select("doc", F.explode("lines").alias("line"))
+        .groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     )
 
 

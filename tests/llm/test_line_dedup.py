@@ -66,6 +66,45 @@ def test_properties_on_random_texts(spark, documents, seed):
                 first.setdefault(said, k)
 
 
+def brute(rows, min_words):
+    """Lines of every run of enough words that begins at an earlier place too."""
+    seen, out = {}, {}
+    texts = {i: [(p, said) for p, said in enumerate(text.split("\n")) if said.split()] for i, text in rows}
+    for i, lines in sorted(texts.items()):
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(said.split()) for _, said in lines[a:b]) >= min_words:
+                    seen.setdefault(tuple(said for _, said in lines[a:b]), (i, a))
+    for i, lines in texts.items():
+        out[i] = sorted({
+            p for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)
+            if seen.get(tuple(said for _, said in lines[a:b]), (i, a)) != (i, a) for p, _ in lines[a:b]
+        })
+    return out
+
+
+def test_a_passage_whose_lines_came_before_in_another_order(spark, documents):
+    passage = [line(f"p{k}_", 6) for k in range(12)]
+    shuffled = random.Random(601).sample(passage, 12)
+    rows = [(1, "\n".join(shuffled)), (2, "\n".join(passage)), (3, "\n".join([line("own"), *passage, line("end")]))]
+    _, found = cleaned(documents(rows))
+    assert found[1][1] == [] and found[2] == (rows[1][1], [])
+    assert found[3] == ("\n".join([line("own"), line("end")]), list(range(1, 13)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_equal_brute_force(spark, documents, seed):
+    rng = random.Random(seed)
+    stock = [line(f"s{k}_", n) for k, n in enumerate([1, 2, 3, 5, 6, 6, 7, 9, 10, 19, 20, 30])] + [""]
+    passages = [[rng.choice(stock) for _ in range(rng.randint(1, 9))] for _ in range(6)]
+    rows = []
+    for k in range(30):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else [rng.choice(stock), line(f"d{k}_", 2)] for _ in range(rng.randint(1, 5))]
+        rows.append((k, "\n".join(said for part in parts for said in part)))
+    _, found = cleaned(documents(rows))
+    assert {k: f[1] for k, f in found.items()} == brute(rows, 20)
+
+
 def test_empty_table_and_no_python(spark, documents):
     frame = L.dedup_lines(documents([]))
     assert frame.count() == 0
