@@ -6,7 +6,8 @@ counts without the bytes of the longer one (symbol exclusion). Since the counts
 on the context alone and is worked out once. A text ends with an end symbol; before it stand start symbols.
 
 Counts come from all training texts. The three-byte level goes to the executors in blocks of at most ``MOST_GRAMS``
-entries, and every block adds its part of each code length. Word counts: those with at least 1 / ``FREQUENT`` of all words, so
+entries, and every block adds its part of each code length; the texts are numbered and written once before, and all blocks
+are scored from that table by the stored number. Word counts: those with at least 1 / ``FREQUENT`` of all words, so
 at most ``FREQUENT`` of them, are sent along; the rest are joined by a shuffle.
 
 Defined results: a null text is empty and has one token, its end; repeated rows are scored one by one; without training texts every
@@ -19,7 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,10 +255,9 @@ def score_texts(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id
 
     def scored(model: Model, with_words: bool):
         def score(batches):
-            row = TaskContext.get().partitionId() << 40
             for batch in batches:
                 tokens, known, base, rest, rest_sizes, codes = [], [], [], [np.zeros(0, dtype=np.int64)], [], []
-                for low, high, data, offsets in chunks(batch.column(1)):
+                for low, high, data, offsets in chunks(batch.column(2)):
                     keys, begin = grams(data, offsets)
                     if model.blocks == 1:
                         logs = model.logs(keys)
@@ -279,25 +278,25 @@ def score_texts(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id
                     base.append(np.add.reduceat(np.where(rare, 0.0, value), first[:-1]))
                     rest.append(hashes[rare])
                     rest_sizes.append(size)
-                n = batch.num_rows
-                if not n:
+                if not batch.num_rows:
                     continue
-                ids = pa.array(row + np.arange(n))
-                row += n
                 if with_words:
                     cut = np.concatenate([[0], np.cumsum(np.concatenate(rest_sizes))]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [ids, batch.column(0), pa.array(np.concatenate(codes)), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(known)),
+                        [batch.column(0), batch.column(1), pa.array(np.concatenate(codes)), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(known)),
                          pa.array(np.concatenate(base)), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(rest)))],
                         names=["row", "doc", "code", "tokens", "known", "base", "rest"],
                     )
                 else:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(codes))], names=["row", "code"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(codes))], names=["row", "code"])
 
         return score
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    given = documents.select(doc_id, F.col(text).cast("string"))
+    given = written(
+        documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")),
+        "numbered",
+    )
     rows = None
     more = []
     for block in range(blocks):

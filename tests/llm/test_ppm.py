@@ -66,6 +66,15 @@ def test_scores_equal_brute_force(spark, documents, grams, frequent, monkeypatch
         assert r.score == pytest.approx(brute(trained, text), rel=1e-9)
 
 
+def test_blocks_of_rows_that_come_in_another_order_each_time(spark, documents, monkeypatch):
+    monkeypatch.setattr(ppm, "MOST_GRAMS", 40)
+    texts = [f"{'ab' * k} {k} the cat" for k in range(40)]
+    rows = documents(list(enumerate(texts)))
+    given = rows.coalesce(1).mapInPandas(lambda parts: (p.sample(frac=1) for p in parts), rows.schema)
+    found = {r.doc_id: r.score for r in ppm.score_texts(given, documents(list(enumerate(texts[:9])))).collect()}
+    assert found == {k: pytest.approx(brute(texts[:9], text), rel=1e-9) for k, text in enumerate(texts)}
+
+
 def test_probabilities_sum_to_one():
     import pyarrow as pa
 
