@@ -9,10 +9,11 @@
    A large cluster is dealt out in pairs of blocks of bounded size.
 4. Links join sets to components, by star contractions.
 
-Nothing is sampled or capped; hashes have 64 bits and stand for n-grams and for sets.
+Nothing is sampled or capped; hashes have 64 bits and stand for n-grams, for sets and, beside the id, for texts.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; fewer words than
-``n`` make one n-gram of all; repeated rows are linked with each other like other copies; other columns are not read.
+``n`` make one n-gram of all; repeated rows are linked with each other like other copies; ids may be null or stand for
+several texts, as id and text together name a document; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm.components import components
-from civicspark.llm.tables import written
+from civicspark.llm.tables import spare_name, written
 from civicspark.llm.words import chunks, find_words, shingles
 
 #: N-grams that one task holds of a cluster; a cluster with more is split into blocks.
@@ -63,13 +64,24 @@ def _set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _named(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc``, ``said`` (hash of the text) and ``text``."""
+    said = F.col(text).cast("string")
+    return documents.select(F.col(doc_id).alias("doc"), F.xxhash64(said).alias("said"), said.alias("text"))
+
+
+def _first_document() -> Column:
+    """Of a group the document of least id, null last; of several texts under it that of least hash."""
+    return F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "said"))
+
+
 def _with_sets(documents: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """``doc_id``, size of the set, its id, and its posted n-grams."""
+    """``doc``, ``said``, size of the set, its id, and its posted n-grams."""
 
     def made(batches):
         for batch in batches:
             sizes, ids, posted, lengths = [], [], [np.zeros(0, dtype=np.uint64)], []
-            for tokens in _sets(batch.column(1), n):
+            for tokens in _sets(batch.column(2), n):
                 k = min(len(tokens), max(1, -(-len(tokens) * (100 - percent) // 60)))
                 sizes.append(len(tokens))
                 ids.append(_set_id(tokens))
@@ -77,13 +89,13 @@ def _with_sets(documents: DataFrame, doc_id: str, text: str, n: int, percent: in
                 lengths.append(k)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(ids, type=pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(sizes, type=pa.int64()), pa.array(ids, type=pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(posted).view(np.int64)))],
-                names=["doc", "n", "set", "posted"],
+                names=["doc", "said", "n", "set", "posted"],
             )
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(doc_id, F.col(text).cast("string")).mapInArrow(made, f"doc {kind}, n long, set long, posted array<long>")
+    return _named(documents, doc_id, text).mapInArrow(made, f"doc {kind}, said long, n long, set long, posted array<long>")
 
 
 class Trie:
@@ -220,11 +232,25 @@ def join_alike(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str
 
     Documents link when ``100 * shared >= percent * united`` n-grams of ``n`` words; ``percent`` from 41 to 100.
     """
+    sets, known = _components(documents, n, percent, doc_id, text)
+    full = F.col("n") > 0
+    return (
+        sets.select("doc", "n", F.when(full, F.col("set")).alias("set")).join(known, "set", "left")
+        .select(
+            F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"),
+            F.when(full, F.col("component.doc")).otherwise(F.col("doc")).alias("component_id"),
+            F.coalesce("links", F.lit(0)).alias("n_links"),
+        )
+    )
+
+
+def _components(documents: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``doc``, ``said``, ``n`` and ``set`` of every row; of every set not empty its ``component`` (first document) and ``links``."""
     if not 40 < percent <= 100:
         raise ValueError("percent must be over 40 and at most 100")
     sets = written(_with_sets(documents, doc_id, text, n, percent), "sets")
     distinct = sets.filter("n > 0").groupBy("set").agg(
-        F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("posted").alias("posted")
+        _first_document().alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("posted").alias("posted")
     )
     posts = distinct.select("set", "n", F.explode("posted").alias("token"))
     shared = written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-grams")
@@ -245,8 +271,11 @@ def join_alike(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     packs = int(total // BLOCK_TOKENS) * 2 + 1
     placed = members.join(sizes.drop("tokens"), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     small = members.count() <= BROADCAST_SETS
-    chosen = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).join(
-        F.broadcast(placed) if small else placed, "doc"
+    # By id and text: rows without an id, or texts under one id, would each meet the sets of all the others.
+    named = _named(documents, doc_id, text)
+    chosen = named.join(
+        F.broadcast(placed) if small else placed,
+        (F.col("said") == F.col("first.said")) & F.col("doc").eqNullSafe(F.col("first.doc")),
     )
     compared = chosen.select("text", "set", "cluster", "copies", "block", "blocks").mapInArrow(
         _full_sets(n), "set long, cluster long, copies long, block int, blocks int, tokens array<long>"
@@ -262,31 +291,26 @@ def join_alike(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     degrees = found.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
 
     by_set = written(
-        sets.filter("n > 0").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("first"))
+        sets.filter("n > 0").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), _first_document().alias("first"))
         .join(degrees, "set", "left").join(joined.withColumnRenamed("node", "set"), "set", "left")
         .select("set", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root")),
         "by-set",
     )
     firsts = written(by_set.groupBy("root").agg(F.min("first").alias("component")), "component-first")
     known = written(by_set.join(firsts, "root").select("set", "component", (F.col("copies") - 1 + F.col("links")).alias("links")), "components")
-    full = F.col("n") > 0
-    return (
-        sets.select("doc", "n", F.when(full, F.col("set")).alias("set")).join(known, "set", "left")
-        .select(
-            F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"),
-            F.when(full, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
-            F.coalesce("links", F.lit(0)).alias("n_links"),
-        )
-    )
+    return sets, known
 
 
 def _full_sets(n: int):
     def made(batches):
+        seen: set[int] = set()  # repeated rows of one document
         for batch in batches:
             place = {name: batch.column(name).to_numpy() for name in ("set", "cluster", "copies", "block", "blocks")}
             kept, tokens = [], []
             for k, own in enumerate(_sets(batch.column(0), n)):
-                if _set_id(own) == place["set"][k]:  # an id that several texts share
+                own_id = _set_id(own)
+                if own_id == place["set"][k] and own_id not in seen:  # texts of one hash are told apart
+                    seen.add(own_id)
                     kept.append(k)
                     tokens.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -299,10 +323,21 @@ def _full_sets(n: int):
 
 
 def keep_first(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that of least id, with all its columns; of rows that repeat its id too, one."""
-    found = join_alike(documents, n, percent, doc_id, text)
+    """One document of each component, that of least id (null last), with all its columns.
+
+    Id and text name a document: of rows that repeat both, one stays; different texts under one id, or under none, are
+    documents of their own.
+    """
+    sets, known = _components(documents, n, percent, doc_id, text)
+    doc, said = spare_name(documents, "doc"), spare_name(documents, "said")
     kept = written(
-        found.filter(F.col("component_id").eqNullSafe(F.col(doc_id))).groupBy(doc_id).agg(F.max("n_links").alias("_links")), "kept"
+        known.select("component.doc", "component.said").union(sets.filter("n = 0").select("doc", "said")).distinct()
+        .select(F.col("doc").alias(doc), F.col("said").alias(said)),
+        "kept",
+    )
+    own = spare_name(documents, "own")
+    return (
+        documents.withColumn(own, F.xxhash64(F.col(text).cast("string")))
+        .join(kept, (F.col(own) == F.col(said)) & F.col(doc_id).eqNullSafe(F.col(doc)))
+        .dropDuplicates([doc_id, own]).drop(own, doc, said)
     )
-    both = documents.join(kept.withColumnRenamed(doc_id, "_doc"), F.col(doc_id).eqNullSafe(F.col("_doc"))).drop("_doc", "_links")
-    return both.dropDuplicates([doc_id])

@@ -92,3 +92,19 @@ def test_repeats_and_empty_tables(spark, documents):
     assert J.join_alike(documents([])).count() == 0
     with pytest.raises(ValueError):
         J.join_alike(documents(rows), percent=30)
+
+
+def test_ids_that_are_null_or_shared(spark, documents):
+    text = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdef"}
+    rows = [
+        (None, text["a"]), (None, text["b"]), (None, text["b"] + " more"), (1, text["c"]), (1, text["d"]), (2, text["c"]),
+        (3, text["a"] + " more"), (None, text["e"]), (None, text["e"]), (4, None), (4, ""), (None, None), (None, None),
+    ]
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_first(documents(rows)).collect()), key=repr)
+    b = [r for r in kept if (r[1] or "").startswith("b0")]
+    assert len(b) == 1 and b[0] in rows
+    assert kept == sorted([
+        *b, (1, text["c"]), (1, text["d"]), (3, text["a"] + " more"), (None, text["e"]), (4, None), (4, ""), (None, None),
+    ], key=repr)
+    links = sorted(r.n_links for r in J.join_alike(documents(rows)).collect() if r.doc_id is None)
+    assert links == [0, 0, 1, 1, 1, 1, 1]
