@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.llm import (
-    decontamination, jaccard_join, language_id, line_dedup, ppm, quality_classifier, quality_rules, sentencepiece_codec,
-    url_filters, warc,
+    decontamination, exact_dedup, jaccard_join, language_id, lexical_search, line_dedup, ppm, quality_classifier, quality_rules,
+    sentencepiece_codec, url_filters, warc, whitening,
 )
 from civicspark.llm.tables import in_share, table
 from civicspark.storage import run_dir
@@ -83,6 +83,23 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    return whitening.whiten(embeddings, whitening.fit(embeddings, most=4))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, folder, "documents"))
+    return lexical_search.search(index, table(spark, folder, "benchmark"), k=10)
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    before = in_share(F.col("doc_id"), 2, 0)
+    found = exact_dedup.dedup(exact_dedup.build_history(documents.filter(before)), documents.filter(~before))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -95,4 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_whitening": op11_whitening,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_exact_dedup": op13_exact_dedup,
     }

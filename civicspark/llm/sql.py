@@ -126,6 +126,34 @@ SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, '') END
        CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
 FROM documents d LEFT JOIN cleaned c USING (doc_id)"""
 
+_TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+OP12 = f"""
+WITH held AS (SELECT doc_id, {_TERMS} FROM documents),
+totals AS (SELECT count(DISTINCT doc_id) AS n, count(*) AS total FROM held),
+sizes AS (SELECT doc_id, 10 + (90 * count(*) * any_value(n)) // any_value(total) AS m FROM held, totals GROUP BY doc_id),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM held GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} FROM benchmark)),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10"""
+
+OP13 = r"""
+WITH given AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY text_sha256) AS group_size FROM given)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2, "op5_warc": OP5, "op9_line_dedup": OP9}
+    return {"op2_url_filters": OP2, "op5_warc": OP5, "op9_line_dedup": OP9, "op12_lexical_search": OP12, "op13_exact_dedup": OP13}
