@@ -1,6 +1,8 @@
 """Connected components of a graph given as edges.
 
-Alternating star contractions shrink the graph until at most ``PART_EDGES`` edges are left, whose components one task finds.
+Every round has two halves. Each task contracts the edges it holds to a forest, at most ``TASK_EDGES`` at a time; then a large-star and a
+small-star step over all edges link the forests of the tasks. The rounds end when neither half changes anything. A small
+graph, whose edges Spark brings together in one task, takes one round; nothing is decided by the size of the graph.
 """
 
 from __future__ import annotations
@@ -8,18 +10,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from civicspark.llm.tables import written
+from civicspark.llm.tables import discard, written
 
 
-#: Edges that one task takes: 16 MB, and about ten times as much while it works.
-PART_EDGES = 1 << 20
+#: Edges that a task holds at once: 16 MB, and about ten times as much while it works.
+TASK_EDGES = 1 << 20
 
 
-def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each node and the least of its component, for all edges of the task together."""
+def _rooted(edges: list[pd.DataFrame]) -> pd.DataFrame:
+    """Each node that is not the least of its component, and the least, for these edges."""
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -28,13 +30,23 @@ def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = y
         return x
 
-    for part in parts:
+    for part in edges:
         for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 above[max(a, b)] = min(a, b)
     found = [(x, root(x)) for x in list(above)]
-    yield pd.DataFrame([f for f in found if f[0] != f[1]], columns=["node", "root"], dtype="int64")
+    return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["a", "b"], dtype="int64")
+
+
+def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for part in parts:
+        held, size = [*held, part], size + len(part)
+        if size >= TASK_EDGES:
+            yield _rooted(held)
+            held, size = [], 0
+    yield _rooted(held)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -49,7 +61,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select("a", F.col("b").alias("c"), "m").select(F.explode(F.array("a", "c")).alias("a"), F.col("m").alias("b"))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    done = written(out.filter(F.col("a") != F.col("b")).distinct(), "star")
+    discard(least)
+    return done
+
+
+def _sign(edges: DataFrame) -> Row:
+    """Number and sum of hashes of the edges: other edges have another one."""
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -59,12 +78,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shared folder.
     """
     edges = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
-    sign = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-    before = None
     while True:
-        after = edges.agg(*sign).first()
-        if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        if after.n <= PART_EDGES:
-            return written(edges.coalesce(1).mapInPandas(_forest, "node long, root long"), "forest")
-        before, edges = after, written(_star(written(_star(edges, True), "large-star"), False), "small-star")
+        forest = written(edges.repartition("a", "b").mapInPandas(_forest, "a long, b long"), "forest")
+        large = _star(forest, True)
+        stars = _star(large, False)
+        settled = _sign(forest) == _sign(stars)
+        discard(edges, forest, large)
+        if settled:
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = stars

@@ -27,13 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm.components import components
-from civicspark.llm.tables import spare_name, written
+from civicspark.llm.tables import discard, spare_name, written
 from civicspark.llm.words import chunks, find_words, shingles
 
 #: N-grams that one task holds of a cluster; a cluster with more is split into blocks.
 BLOCK_TOKENS = 1 << 17
-#: Sets to be compared that are sent to all executors, 40 bytes each; more are joined by a shuffle.
-BROADCAST_SETS = 200_000
 
 
 def posted_size(n: Column, percent: int) -> Column:
@@ -263,6 +261,7 @@ def _components(documents: DataFrame, n: int, percent: int, doc_id: str, text: s
     )
     least = written(prefixes.groupBy("token").agg(F.min("set").alias("root"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "prefix-roots")
     roots = components(prefixes.join(least, "token").select("set", "root"), "set", "root")
+    discard(shared, least)
     clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
     members = written(clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).join(distinct.drop("posted"), "set"), "members")
@@ -270,11 +269,10 @@ def _components(documents: DataFrame, n: int, percent: int, doc_id: str, text: s
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     packs = int(total // BLOCK_TOKENS) * 2 + 1
     placed = members.join(sizes.drop("tokens"), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    small = members.count() <= BROADCAST_SETS
     # By id and text: rows without an id, or texts under one id, would each meet the sets of all the others.
     named = _named(documents, doc_id, text)
     chosen = named.join(
-        F.broadcast(placed) if small else placed,
+        placed,
         (F.col("said") == F.col("first.said")) & F.col("doc").eqNullSafe(F.col("first.doc")),
     )
     compared = chosen.select("text", "set", "cluster", "copies", "block", "blocks").mapInArrow(
@@ -287,6 +285,7 @@ def _components(documents: DataFrame, n: int, percent: int, doc_id: str, text: s
         .otherwise(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))).alias("pack"),
     )
     found = written(compared.groupBy("pack").applyInPandas(_find_links(percent), "a long, b long, links long"), "links")
+    discard(prefixes, members, sizes)
     joined = components(found.filter("a <> b"))
     degrees = found.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
 
@@ -298,6 +297,7 @@ def _components(documents: DataFrame, n: int, percent: int, doc_id: str, text: s
     )
     firsts = written(by_set.groupBy("root").agg(F.min("first").alias("component")), "component-first")
     known = written(by_set.join(firsts, "root").select("set", "component", (F.col("copies") - 1 + F.col("links")).alias("links")), "components")
+    discard(found, by_set, firsts)
     return sets, known
 
 

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.storage import run_dir
+from civicspark.storage import drop, run_dir
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(frame: DataFrame, purpose: str) -> DataFrame:
-    """``frame`` as a table in the shared folder: later steps read it, no lost executor takes it along."""
+def written(frame: DataFrame, purpose: str, **options: object) -> DataFrame:
+    """``frame`` as a table in the shared folder: later steps read it, no lost executor takes it along. ``options`` are the writer's."""
     spark = frame.sparkSession
     path = run_dir(spark, purpose)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    frame.write.options(**options).parquet(path)
+    stored = spark.read.schema(frame.schema).parquet(path)
+    stored.written_to = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of :func:`written` that nothing reads any more."""
+    for frame in frames:
+        drop(frame.sparkSession, frame.written_to)
 
 
 def in_share(doc_id: Column, parts: int, rest: int) -> Column:
