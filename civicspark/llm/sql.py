@@ -74,43 +74,24 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _line_dedup(source: str, min_words: int) -> str:
-    """CTEs over ``source`` (doc_id, text); the last, ``doomed``, has the lines to delete."""
+    """CTEs over ``source`` (doc_id, text); the last, ``doomed``, has the lines to delete.
+
+    Every two places of equal lines are paired; pairs that follow one another are a run found twice.
+    """
     return f"""
 lines AS (
-  SELECT *, row_number() OVER o AS place, coalesce(sum(words) OVER o, 0) - words AS before,
-         coalesce(lag(h) OVER o = h AND lead(h) OVER o = h, false) AS within
-  FROM (SELECT doc_id AS doc, line, CAST('0x' || substr(md5(said), 1, 15) AS BIGINT) AS h,
-               CAST(len(regexp_extract_all(said, '{_WORD}')) AS BIGINT) AS words
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS said,
-                     unnest(range(len(string_split(text, chr(10))))) AS line FROM {source})
-        WHERE regexp_matches(said, '{_WORD}'))
-  WINDOW o AS (PARTITION BY doc ORDER BY line)),
-fingerprints AS (
-  SELECT DISTINCT doc, least.h AS h, least.place AS place, least.within AS within
-  FROM (SELECT doc, min({{'h': h, 'place': place, 'within': within}}) OVER r AS least, sum(words) OVER r AS reached
-        FROM lines WINDOW r AS (PARTITION BY doc ORDER BY before RANGE BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING))
-  WHERE reached >= {min_words}),
-firsts AS (SELECT h, min({{'doc': doc, 'place': place}}) AS first FROM fingerprints GROUP BY h HAVING count(*) > 1),
-matches AS (
-  SELECT doc, place, first.doc AS first_doc, first.place AS first_place FROM fingerprints JOIN firsts USING (h)
-  WHERE NOT within AND (doc <> first.doc OR place <> first.place)
-  UNION
-  SELECT * FROM (SELECT doc, place, doc, lag(place) OVER (PARTITION BY doc, h ORDER BY place) AS p FROM fingerprints) WHERE p IS NOT NULL),
-diagonals AS (SELECT DISTINCT doc, first_doc, place - first_place AS shift FROM matches),
-same AS (
-  SELECT d.doc, d.first_doc, d.shift, a.place, a.place - row_number() OVER (
-           PARTITION BY d.doc, d.first_doc, d.shift ORDER BY a.place) AS run
-  FROM diagonals d JOIN lines a ON a.doc = d.doc JOIN lines b ON b.doc = d.first_doc AND b.place = a.place - d.shift AND b.h = a.h),
-grown AS (
-  SELECT DISTINCT s.doc, s.place FROM same s
-  SEMI JOIN (SELECT s.doc, s.first_doc, s.shift, s.run FROM same s JOIN matches m
-             ON m.doc = s.doc AND m.first_doc = s.first_doc AND m.place = s.place AND m.place - m.first_place = s.shift) hit
-  ON s.doc = hit.doc AND s.first_doc = hit.first_doc AND s.shift = hit.shift AND s.run = hit.run),
-stretches AS (
-  SELECT g.doc, g.place, l.line, l.words, g.place - row_number() OVER (PARTITION BY g.doc ORDER BY g.place) AS stretch
-  FROM grown g JOIN lines l ON l.doc = g.doc AND l.place = g.place),
+  SELECT doc_id AS doc, line, said, len(regexp_extract_all(said, '{_WORD}')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY line) AS place
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS said,
+               unnest(range(len(string_split(text, chr(10))))) AS line FROM {source})
+  WHERE regexp_matches(said, '{_WORD}')),
+twice AS (
+  SELECT b.doc, b.line, b.words, a.doc AS first_doc, b.place - a.place AS shift,
+         b.place - row_number() OVER (PARTITION BY b.doc, a.doc, b.place - a.place ORDER BY b.place) AS run
+  FROM lines a JOIN lines b ON a.said = b.said AND (a.doc < b.doc OR (a.doc = b.doc AND a.place < b.place))),
 doomed AS (
-  SELECT doc, line FROM (SELECT *, sum(words) OVER (PARTITION BY doc, stretch) AS reached FROM stretches) WHERE reached >= {min_words})"""
+  SELECT DISTINCT doc, line FROM (
+    SELECT *, sum(words) OVER (PARTITION BY doc, first_doc, shift, run) AS reached FROM twice) WHERE reached >= {min_words})"""
 
 
 _LEFT = """

@@ -109,3 +109,32 @@ def test_empty_table_and_no_python(spark, documents):
     frame = L.dedup_lines(documents([]))
     assert frame.count() == 0
     assert "Python" not in frame._jdf.queryExecution().toString() and "Arrow" not in frame._jdf.queryExecution().toString()
+
+
+def test_very_many_lines_in_one_text(spark, documents):
+    same = "\n".join(["one two three"] * 100_000)
+    other = "\n".join(f"line number {k % 35_000} of many" for k in range(70_000))
+    _, found = cleaned(documents([(1, same), (2, other)]))
+    # Short messages: a comparison of the texts would be worked out for minutes.
+    good = found[1] == ("one two three", list(range(1, 100_000)))
+    assert good
+    good = found[2] == ("\n".join(other.split("\n")[:35_000]), list(range(35_000, 70_000)))
+    assert good
+
+
+def test_fingerprints_are_least_lines_of_windows(spark, documents):
+    rng = random.Random(5)
+    rows = [(k, "\n".join(line(f"d{k}_{j}_", rng.randint(1, 15)) for j in range(rng.randint(1, 12)))) for k in range(10)]
+    lines = L.worded_lines(documents(rows), "doc_id", "text")
+    known = {(r.doc.id, r.line): r.h for r in lines.collect()}
+    found = {(r.doc.id, tuple(r.lines), r.lines[r.at]): r.print for r in L.fingerprints(lines, 20).collect()}
+    windows = set()
+    for i, text in rows:
+        words = [len(x.split()) for x in text.split("\n")]
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                if sum(words[a:b]) >= 20 and (sum(words[a : b - 1]) < 20 or sum(words[a + 1 : b]) < 20):
+                    windows.add((i, tuple(range(a, b))))
+    assert {(i, own) for i, own, _ in found} == windows
+    for (i, own, at), least in found.items():
+        assert least == min(known[i, p] for p in own) == known[i, at]
