@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicspark.llm.tables import written
+
 #: The tables carry no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,7 +60,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str
         F.when((F.col("sha1") == F.col("other_sha1")) & (F.col("n_bytes") == F.col("other_n_bytes")), F.col("sha256"))
         .otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))).alias("sha256"),
         "first_id", "payload", base32(F.col("sha1")).alias("digest"), F.col("n_bytes").cast("long").alias("n_bytes"),
-    ).write.parquet(f"{path}/payloads")
+    ).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     stored = spark.read.parquet(f"{path}/payloads").select("sha256", "first_id", "digest", "n_bytes")
     revisit = (F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
@@ -108,23 +110,46 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return full.unionByName(headers.filter("NOT with_payload").select("page_id", F.concat("header", F.lit(b"\r\n\r\n")).alias("record")))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """What the records say of their payloads, checked against the stored bytes.
+def parse_records(records: DataFrame) -> DataFrame:
+    """What each of ``records(record)`` says and holds.
 
-    ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
+    ``page_id``, ``record_type``, ``refers_to``, ``said_digest``, ``said_bytes``, and of the bytes after both headers their
+    ``digest`` and ``n_bytes``. Of a record whose block length is not the one stated, all of these stop the job.
     """
-    measured = read_payloads(spark, path).select("sha256", "digest", "n_bytes")
-    text = F.decode(F.col("header"), "UTF-8")
-    said = spark.read.parquet(f"{path}/headers").select("page_id", "sha256", text.alias("text")).select(
-        "page_id", "sha256",
-        F.substring(header_field(F.col("text"), "WARC-Payload-Digest"), 6, 32).alias("payload_digest"),
-        F.regexp_extract("text", r"\r\n\r\nHTTP/1\.1[\s\S]*?\r\nContent-Length: (\d+)", 1).cast("long").alias("payload_bytes"),
-        header_field(F.col("text"), "WARC-Type").alias("record_type"),
-        F.nullif(F.regexp_extract("text", r"(?m)^WARC-Refers-To: <urn:page:(-?\d+)>", 1), F.lit("")).cast("long").alias("refers_to"),
+    text = F.col("record").cast("string")
+    warc, both = F.substring_index(text, "\r\n\r\n", 1), F.substring_index(text, "\r\n\r\n", 2)
+    split = records.select("record", warc.alias("warc"), F.octet_length(warc).alias("n_warc"), F.octet_length(both).alias("n_both"), both.alias("both"))
+    # Two line ends stand after each header and after the block.
+    stated = header_field(F.col("warc"), "Content-Length").cast("int")
+    whole = F.length("record") == F.col("n_warc") + 8 + stated
+    payload = F.substring("record", F.col("n_both") + 5, F.length("record") - F.col("n_both") - 8)
+    page = lambda name: F.nullif(F.regexp_extract("warc", rf"(?m)^{name}: <urn:page:(-?\d+)>", 1), F.lit("")).cast("long")
+    return split.select(
+        page("WARC-Record-ID").alias("page_id"), header_field(F.col("warc"), "WARC-Type").alias("record_type"),
+        page("WARC-Refers-To").alias("refers_to"), F.substring(header_field(F.col("warc"), "WARC-Payload-Digest"), 6, 32).alias("said_digest"),
+        F.regexp_extract("both", r"\r\nContent-Length: (\d+)$", 1).cast("long").alias("said_bytes"),
+        F.when(whole, payload).otherwise(F.raise_error(F.lit("a record is not as long as it says"))).alias("payload"),
+    ).select(
+        "page_id", "record_type", "refers_to", "said_digest", "said_bytes",
+        payload_digest(F.col("payload")).alias("digest"), F.length("payload").cast("long").alias("n_bytes"),
     )
-    fits = (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("n_bytes"))
-    return said.join(measured, "sha256").select(
-        "page_id", "payload_bytes",
-        F.when(fits, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's digest does not fit its payload"))).alias("payload_digest"),
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an archive, rebuilt and parsed: every response is measured, every revisit has to fit its response.
+
+    ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``; a null id stays null.
+    """
+    parsed = written(parse_records(read_records(spark, path)), "parsed")
+    responses = parsed.filter("record_type = 'response'")
+    measured = responses.select("digest", "n_bytes", F.col("page_id").alias("held_by")).distinct()
+    revisits = parsed.filter("record_type = 'revisit'").drop("digest", "n_bytes").join(
+        measured, (F.col("refers_to") == F.col("held_by")) & (F.col("said_digest") == F.col("digest")), "left"
+    ).drop("held_by")
+    fits = (F.col("said_digest") == F.col("digest")) & (F.col("said_bytes") == F.col("n_bytes"))
+    wrong = F.raise_error(F.lit("a record's digest does not fit its payload"))
+    return responses.unionByName(revisits).select(
+        "page_id", F.col("said_bytes").alias("payload_bytes"),
+        F.when(F.coalesce(fits, F.lit(False)), F.col("said_digest")).otherwise(wrong).alias("payload_digest"),
         "record_type", "refers_to",
     )
