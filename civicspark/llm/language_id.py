@@ -4,8 +4,9 @@ Every language has a likelihood of hashed byte trigrams of lower-cased letters,
 The languages of a text are the set whose penalised likelihood is best; the sets tried are nested, in the order of
 the shares in the mixture of all.
 
-Defined results: ``und`` with score 0 for a null text, one without letters, or when nothing was learned; repeated rows
-are judged one by one; equal languages come in alphabetical order.
+Defined results: ``und`` with score 0 for a null text, one without letters, or when nothing was learned; a text with
+letters but without a trigram says nothing, so its shares are those of the learned texts' trigrams, the score is the greatest
+of them, and that language is the only one found; repeated rows are judged one by one; equal languages come in alphabetical order.
 """
 
 from __future__ import annotations
@@ -50,10 +51,14 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Model:
     languages: list[str]
     likelihood: np.ndarray  # languages by buckets
+    learned: np.ndarray  # share of each language among the trigrams learned
     penalty: float = 4.0
 
     def mixture(self, buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Chosen languages (places, largest share first) and their shares."""
+        if not len(buckets):
+            best = int(np.argmax(self.learned))
+            return np.array([best]), self.learned[[best]]
         p, weight = self.likelihood[:, buckets], counts / OVERLAP
         single = np.log(p) @ weight
         best = [int(np.argmax(single))]
@@ -105,20 +110,22 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 names=["lang", "bucket", "n"],
             )
 
-    learned = documents.filter(F.col(lang).isNotNull()).select(F.col(text).cast("string"), F.col(lang).cast("string").alias("lang"))
+    labelled = documents.filter(F.col(lang).isNotNull()).select(F.col(text).cast("string"), F.col(lang).cast("string").alias("lang"))
     found = (
-        learned.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        labelled.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
     # At most languages x buckets rows, whatever the number of documents.
-    known = sorted(r[0] for r in learned.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    known = sorted(r[0] for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(known) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = np.zeros((len(known), BUCKETS))
     rows = found.toPandas()
     place = {name: k for k, name in enumerate(known)}
     counts[rows["lang"].map(place).to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
+    learned = counts.sum(axis=1)
+    learned = learned / learned.sum() if learned.sum() else np.full(len(known), 1 / max(len(known), 1))
     counts += SMOOTHING
-    return Model(known, counts / counts.sum(axis=1, keepdims=True))
+    return Model(known, counts / counts.sum(axis=1, keepdims=True), learned)
 
 
 def identify(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
