@@ -35,15 +35,17 @@ from civicspark.llm.tables import written
 from civicspark.llm.words import chunks, find_words
 
 #: Bytes of text and documents of a shard, at most; a longer document is a shard of its own.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 SHARD_DOCS = 1 << 13
 #: Distinct terms of a block of items, on average over the blocks.
 BLOCK_TERMS = 1 << 15
 #: Strata of which bounds are compared, and contributions added up at once.
-GROUP_STRATA = 1 << 9
-PIECE = 1 << 21
+GROUP_STRATA = 1 << 7
+PIECE = 1 << 19
 #: Scores held at once.
-CELLS = 1 << 22
+CELLS = 1 << 21
+#: Bytes of a row group of the index: readers hold one at a time.
+ROW_GROUP = 1 << 24
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -146,7 +148,7 @@ def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     if made is not None:
                         yield made
 
-    strata = written(rows.mapInArrow(run, _STRATUM), "strata")
+    strata = written(rows.mapInArrow(run, _STRATUM), "strata", **{"parquet.block.size": ROW_GROUP})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
