@@ -6,7 +6,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -20,10 +20,15 @@ from civicspark.operators import links as L  # noqa: E402
 from civicspark.operators import quality as Q  # noqa: E402
 from civicspark.operators import sheets as S  # noqa: E402
 from civicspark.operators import weather as M  # noqa: E402
+from civicspark.plans import ledger  # noqa: E402
 from civicspark.plans import table_views as V  # noqa: E402
 from civicspark import storage  # noqa: E402
 from civicspark.plans.crawl import crawl_reach  # noqa: E402
+from civicspark.plans import workbooks as PW  # noqa: E402
 from civicspark.sources import sheet_store as SS  # noqa: E402
+from civicspark.sources import weather as WS  # noqa: E402
+from civicspark.sources import web as WB  # noqa: E402
+from civicspark.streaming import watch as T  # noqa: E402
 
 try:  # the corpus operators can be left out
     import corpus_pipeline
@@ -282,6 +287,66 @@ def crawl_chain(spark: SparkSession, folder: str) -> DataFrame:
     return crawl_reach(pages.filter(number % 6 == 0).select("url"), pages).select("url", "hop", "allowed", "crawled")
 
 
+def crawl_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """From the pages of the regions down to those of the orders and a section that is out of bounds."""
+    seeds = V.table(spark, folder, "region").select(F.concat(F.lit("http://city.example/statistics/region/"), "r_regionkey").alias("url"))
+    return crawl_reach(seeds, V.table_pages(spark, folder), digits=1).select("url", "hop", "allowed", "crawled")
+
+
+def state_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """Two snapshots of the links visited, the second with the new ones only; of each link the snapshot that wrote it."""
+    home = storage.run_dir(spark, "state")
+    links = V.links(spark, folder)
+    first = _visited(spark, folder).distinct()
+    rest = L.unvisited(links.select("url_hash").distinct(), first)
+    WB.save_state(first, links.select("url"), home)
+    WB.save_state(rest, links.filter(F.col("url").contains("?")).select("url").distinct(), home, only_new=True)
+    visited, pending = WB.load_state(spark, home)
+    wrote = spark.read.schema("url_hash string, version int").parquet(f"{home}/visited")
+    left = pending.select(U.url_hash(F.col("url")).alias("url_hash"), F.lit(True).alias("pending"))
+    return visited.join(wrote, "url_hash").join(left, "url_hash", "left").select(
+        "url_hash", "version", F.coalesce("pending", F.lit(False)).alias("pending")
+    )
+
+
+def weather_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations written as one array file for each city, and those of a list of cities read back."""
+    home = storage.run_dir(spark, "weather")
+    number = F.col("event_id") % 7
+    rows = V.weather(spark, folder).withColumn("city", F.concat("city", F.lit(" "), number)).withColumn("timezone", F.col("event_id").cast("int"))
+    WS.write_weather_files(rows.drop("event_id"), home)
+    cities = spark.createDataFrame([(f"{kind} {k}",) for kind in ("click", "view", "nowhere") for k in range(4)], "name string")
+    found = WS.read_weather(spark, home, cities)
+    return M.with_rain_duration(found).select("city", F.col("timezone").alias("event_id"), "dt", "dt_iso", "main.temp", "rain.duration_1h")
+
+
+def weather_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The averages of two cities from a table in hash folders."""
+    home = storage.run_dir(spark, "weather-table")
+    WS.append_hashed(V.weather(spark, folder).drop("event_id"), home, folders=16)
+    found = [
+        _rounded(M.average_temperature(WS.read_city(spark, home, city, folders=16), city, "2024-01-05", "2024-01-25"), "averageTemperature")
+        .withColumn("city", F.lit(city)) for city in ("click", "view")
+    ]
+    return found[0].union(found[1])
+
+
+def record_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Records written as JSON lines and read back; of each workbook, whether its files by name give its rows in order."""
+    home = storage.run_dir(spark, "records")
+    PW.write_records_json(V.key_values(spark, folder), home)
+    lines = spark.read.schema("file string, sheet string, row long, Key string, Value string, workbook string").json(home)
+    # A file's rows are in order if each is after the one before, and files if none begins before the last one ends.
+    parts = lines.groupBy("file", F.col("_metadata.file_name").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("Key").alias("keys"), F.count("Value").alias("cells"),
+        F.min("row").alias("low"), F.max("row").alias("high"),
+    )
+    before = F.max("high").over(Window.partitionBy("file").orderBy("name").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("apart", F.coalesce(before < F.col("low"), F.lit(True))).groupBy("file").agg(
+        F.sum("n").alias("n_rows"), F.sum("keys").alias("n_keys"), F.sum("cells").alias("n_values"), F.every("apart").alias("in_order")
+    )
+
+
 def state_verify(spark: SparkSession, folder: str) -> DataFrame:
     links = V.links(spark, folder)
     repeated = Q.verify_visited(links).select(F.lit("links").alias("state"), "*")
@@ -321,27 +386,74 @@ def sheet_numeric_keys(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("file_path", "row", F.col("values")[0].alias("key"), F.col("values")[1].alias("value"))
 
 
+def _sheets_of(files: DataFrame, cells: Column, *more: Column) -> DataFrame:
+    """Sheet documents of ``file_path, sheet_name, n`` whose header is ``cells``."""
+    empty = [F.lit(None).cast("string").alias(n) for n in S.HEADING[1:]]
+    return files.select(
+        "file_path", F.lit(0).alias("sheet_index"), "sheet_name",
+        F.struct(cells.cast("string").alias("header"), *empty).alias("metadata"), F.col("n").cast("long").alias("records"), *more,
+    )
+
+
 def sheet_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Revisions of sheets committed by two writers, one batch twice, with a compaction between."""
+    """Revisions of sheets, one record each, written by two writers, one batch twice."""
     home = storage.run_dir(spark, "sheet-store")
     day = F.col("o_orderdate")
-    cells = F.struct(
-        F.col("o_orderkey").cast("string").alias("header"), F.lit(None).cast("string").alias("metadata"),
-        F.lit(None).cast("string").alias("table_info"), F.lit(None).cast("string").alias("copyright"),
-    )
-    sheets = V.revisions(spark, folder).select(
-        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("file_path"), F.lit(0).alias("sheet_index"), "sheet_name",
-        cells.alias("metadata"), F.lit(0).cast("long").alias("records"), day.cast("timestamp").alias("modified"), day,
+    files = V.revisions(spark, folder).withColumns({"file_path": F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), "n": F.lit(1)})
+    sheets = _sheets_of(files, F.col("o_orderkey"), day.cast("timestamp").alias("modified"), day)
+    records = files.select(
+        "file_path", F.lit(0).alias("sheet_index"), F.lit(6).cast("long").alias("row"),
+        F.create_map(F.lit("price"), F.col("o_totalprice").cast("string")).alias("record"),
     )
-    records = spark.createDataFrame([], "file_path string, sheet_index int, row long, record map<string,string>")
     for writer, batch, chosen in [
         ("a", 0, day < "1994-01-01"), ("b", 0, day.between("1994-01-01", "1995-12-31")),
         ("b", 0, day < "1993-01-01"), ("a", 1, day >= "1996-01-01"),
     ]:
         SS.upsert_sheets(sheets.filter(chosen), records, home, batch, writer=writer)
-        if (writer, batch) == ("b", 0):
-            SS.compact(spark, home)
-    return SS.read_sheets(spark, home).select("_id", "sheet_name", F.col("metadata.header").cast("long").alias("o_orderkey"))
+    held = SS.read_records(spark, home).select("_id")
+    return SS.read_sheets(spark, home).join(held, "_id").select("_id", "sheet_name", F.col("metadata.header").cast("long").alias("o_orderkey"))
+
+
+class _CutOff(Exception):
+    """Stands for a run that dies."""
+
+
+def ingest_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that grow order by order, listed three times; the second run dies after its commit, and more files have come when it is begun again."""
+    home = storage.run_dir(spark, "ingest")
+    orders = V.growing_files(spark, folder)
+    dies = {"second"}
+
+    def listing(until: str) -> DataFrame:
+        seen = orders.filter(F.col("o_orderdate") < until)
+        return seen.groupBy("path").agg(F.max("modificationTime").alias("modificationTime"))
+
+    def apply(files: DataFrame, batch: int) -> DataFrame:
+        content = orders.withColumnRenamed("modificationTime", "at").join(files, "path").filter("at <= modificationTime").select(
+            F.col("path").alias("file_path"), F.lit(0).alias("sheet_index"), F.col("o_orderkey").alias("row"),
+            F.create_map(F.lit("price"), F.col("o_totalprice").cast("string")).alias("record"), "at",
+        )
+        held = content.groupBy("file_path").agg(F.max(F.struct("at", "row")).alias("last"), F.count(F.lit(1)).alias("n"))
+        sheets = _sheets_of(held.withColumn("sheet_name", F.col("file_path")), F.col("last.row"))
+        SS.upsert_sheets(sheets, content.drop("at"), f"{home}/store", batch)
+        files.write.mode("overwrite").parquet(f"{home}/applied/batch={batch}")
+        if batch > 0 and "second" in dies:
+            dies.clear()
+            raise _CutOff
+        return files
+
+    for until in ("1997-01-01", "1999-01-01", "9999-01-01"):
+        try:
+            ledger.take_up(spark, f"{home}/ledger", lambda: listing(until), apply)  # noqa: B023
+        except _CutOff:
+            pass
+    entered = ledger.processed(spark, f"{home}/ledger").select("path", F.unix_seconds("modificationTime").alias("modified"))
+    applied = spark.read.parquet(f"{home}/applied").groupBy("path").agg(F.count(F.lit(1)).alias("applied"))
+    sheets = SS.read_sheets(spark, f"{home}/store").select(
+        "_id", F.col("sheet_name").alias("path"), F.col("metadata.header").cast("long").alias("o_orderkey")
+    )
+    records = SS.read_records(spark, f"{home}/store").groupBy("_id").agg(F.count(F.lit(1)).alias("n_records"))
+    return entered.join(applied, "path").join(sheets, "path").join(records, "_id").drop("_id")
 
 
 def sheet_upsert(spark: SparkSession, folder: str) -> DataFrame:
@@ -409,6 +521,45 @@ def event_cooldown(spark: SparkSession, folder: str) -> DataFrame:
     return accepted.select("path", "event_id")
 
 
+def _observed(spark: SparkSession, folder: str, day: bool) -> tuple[DataFrame, str]:
+    """Looks written as four files in which times overlap, as a stream that takes one file at a time; and the folder they are in.
+
+    A last look at another path, long after, lets the watermark pass all of them.
+    """
+    home = storage.run_dir(spark, "looks")
+    ts = F.col("ts").cast("timestamp")
+    looks = V.observations(spark, folder).select(
+        F.col("path").cast("string").alias("path"), (F.date_trunc("day", ts) if day else ts).alias("ts"), "sha256", "event_id",
+        (F.floor(F.unix_seconds(ts) / 86_400 + F.col("event_id") % 3) % 1_000_000).alias("shifted"),
+    )
+    low, high = looks.agg(F.min("shifted"), F.max("shifted")).first()
+    part = F.least(F.lit(3), F.floor((F.col("shifted") - low) * 4 / (high - low + 1)))
+    for k in range(4):
+        looks.filter(part == k).drop("shifted").coalesce(1).write.mode("append").parquet(f"{home}/looks")
+    end = looks.agg(F.lit("end").alias("path"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("end").alias("sha256"), F.lit(-1).cast("long").alias("event_id"))
+    end.coalesce(1).write.mode("append").parquet(f"{home}/looks")
+    stream = spark.readStream.schema("path string, ts timestamp, sha256 string, event_id long").option("maxFilesPerTrigger", 1)
+    return stream.parquet(f"{home}/looks"), home
+
+
+def _all_of(stream: DataFrame, home: str) -> DataFrame:
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/passed")
+    query.trigger(availableNow=True).start().awaitTermination()
+    passed = stream.sparkSession.read.schema(stream.schema).parquet(f"{home}/passed").filter("path <> 'end'")
+    return passed.withColumn("path", F.col("path").cast("long"))
+
+
+def stream_cooldown(spark: SparkSession, folder: str) -> DataFrame:
+    looks, home = _observed(spark, folder, day=False)
+    accepted = T.stream_cooldown(looks, seconds=COOLDOWN_HOURS * 3600, late="4 days", tie="event_id")
+    return _all_of(accepted, home).select("path", "event_id")
+
+
+def stream_stable(spark: SparkSession, folder: str) -> DataFrame:
+    looks, home = _observed(spark, folder, day=True)
+    return _all_of(T.stream_stable(looks, late="4 days", tie="event_id"), home).select("path", "event_id", "sha256")
+
+
 def changed_files(spark: SparkSession, folder: str) -> DataFrame:
     changed = W.changed_files(V.file_listing(spark, folder), V.processed_files(spark, folder))
     return changed.select("path", F.unix_seconds("modificationTime").alias("modified"))
@@ -455,6 +606,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crawl_reach": crawl_reach_hops,
     "state_verify": state_verify,
     "crawl_chain": crawl_chain,
+    "crawl_tables": crawl_tables,
+    "state_resume": state_resume,
+    "weather_files": weather_files,
+    "weather_stored": weather_stored,
+    "record_files": record_files,
     "stale_files": stale_files,
     "sheet_metadata": sheet_metadata,
     "sheet_rejects": sheet_rejects,
@@ -463,6 +619,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sheet_numeric_keys": sheet_numeric_keys,
     "sheet_upsert": sheet_upsert,
     "sheet_store": sheet_store,
+    "ingest_ledger": ingest_ledger,
     "kv_dropna_all": kv_dropna_all,
     "kv_skip_rows": kv_skip_rows,
     "kv_merge": kv_merge,
@@ -473,6 +630,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dq_missing_keys": dq_missing_keys,
     "file_stable": file_stable,
     "event_cooldown": event_cooldown,
+    "stream_cooldown": stream_cooldown,
+    "stream_stable": stream_stable,
     "changed_files": changed_files,
 }
 
@@ -883,6 +1042,18 @@ QUALIFY row_number() OVER (PARTITION BY sheet_name ORDER BY o_orderdate DESC, o_
 WITH revisions AS (SELECT o_orderpriority || '-' || (o_custkey % 50) AS sheet_name, * FROM orders)
 SELECT md5(sheet_name) AS _id, sheet_name, o_orderkey FROM revisions
 QUALIFY row_number() OVER (PARTITION BY sheet_name ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+    "ingest_ledger": """
+WITH files AS (
+  SELECT o_orderpriority || '-' || o_custkey || '.xlsx' AS path, o_orderkey, o_orderdate,
+         CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 AS modified FROM orders),
+seen AS (
+  SELECT path, max(modified) AS modified FROM files WHERE o_orderdate < '1997-01-01' GROUP BY path
+  UNION SELECT path, max(modified) FROM files WHERE o_orderdate < '1999-01-01' GROUP BY path
+  UNION SELECT path, max(modified) FROM files GROUP BY path),
+times AS (SELECT path, count(*) AS applied FROM seen GROUP BY path)
+SELECT path, max(modified) AS modified, any_value(applied) AS applied, count(*) AS n_records,
+       max({'at': modified, 'key': o_orderkey}).key AS o_orderkey
+FROM files JOIN times USING (path) GROUP BY path""",
     "crawl_chain": """
 WITH RECURSIVE walk AS (
   SELECT page_id AS n, 0 AS hop FROM pages WHERE page_id % 6 = 0
@@ -928,6 +1099,29 @@ walk AS (
          CASE WHEN o.ts >= w.last + INTERVAL {COOLDOWN_HOURS} HOUR THEN o.ts ELSE w.last END
   FROM walk w JOIN ordered o ON o.path = w.path AND o.n = w.n + 1)
 SELECT path, event_id FROM walk WHERE accepted""",
+    "crawl_tables": """
+WITH site AS (SELECT 'http://city.example/statistics/' AS home)
+SELECT home || 'region/' || r_regionkey AS url, 0 AS hop, true AS allowed, true AS crawled FROM site, region
+UNION ALL SELECT home || 'nation/' || n_nationkey, 1, true, true FROM site, nation
+UNION ALL SELECT home || 'customer/' || c_custkey || '?a=1&b=2', 2, true, true FROM site, customer
+UNION ALL SELECT home || 'order/' || o_orderkey, 3, true, true FROM site, orders
+UNION ALL SELECT DISTINCT 'http://city.example/news/' || lower(o_orderstatus), 4, false, false FROM orders""",
+    "state_resume": f"""
+WITH {_LINKS}, early AS (SELECT DISTINCT url_hash FROM links WHERE contains(base_url, '?'))
+SELECT DISTINCT url_hash, CASE WHEN url_hash IN (SELECT url_hash FROM early) THEN 1 ELSE 2 END AS version, contains(url, '?') AS pending
+FROM links""",
+    "weather_files": f"""
+WITH {_WEATHER}, named AS (SELECT weather.*, city || ' ' || (event_id % 7) AS own, CAST(floor(epoch(ts)) AS BIGINT) AS dt
+                           FROM weather JOIN (SELECT event_id, ts FROM events) USING (event_id))
+SELECT own AS city, event_id, dt, dt_iso, temp, nullif(rain_1h, 0) AS duration_1h FROM named
+WHERE city IN ('click', 'view') AND event_id % 7 < 4""",
+    "weather_stored": f"""
+WITH {_WEATHER}
+SELECT city, round(avg(temp), 6) AS "averageTemperature", count(*) AS count
+FROM weather WHERE city IN ('click', 'view') AND dt_iso BETWEEN '2024-01-05T00:00:00.000Z' AND '2024-01-25T00:00:00.000Z' GROUP BY city""",
+    "record_files": f"""
+WITH {_KV}
+SELECT file, count(*) AS n_rows, count("key") AS n_keys, count("value") AS n_values, true AS in_order FROM kv GROUP BY file""",
     "changed_files": """
 WITH listing AS (
   SELECT doc_id, source || '/' || doc_id || '.xlsx' AS path, 1700000000 + n_chars AS modified FROM documents),
@@ -937,6 +1131,11 @@ SELECT l.path, l.modified FROM listing l ANTI JOIN processed p ON l.path = p.pat
 }
 
 
+# A stream gives what the batch gives.
+for _batch, _stream in (("event_cooldown", "stream_cooldown"), ("file_stable", "stream_stable")):
+    ORACLE_SQL[_stream] = ORACLE_SQL[_batch]
+
+
 def oracle_sql() -> dict[str, str]:
     if corpus_sql is None:
         return dict(ORACLE_SQL)

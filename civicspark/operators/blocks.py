@@ -29,17 +29,19 @@ def neighbour(
     (wrap it in a struct), so that null means there is no such row. The group
     columns hold no nulls.
     """
-    shift = F.lead if step > 0 else F.lag
-    edge = F.min_by if step > 0 else F.max_by
-    place = F.struct(*order)
-    keys = [*group, "_block"]
-    cut = rows.withColumn("_block", block).withColumn("_value", value)
-
-    inside = cut.withColumn("_near", shift("_value").over(Window.partitionBy(*keys).orderBy(*order)))
-    edges = cut.groupBy(*keys).agg(edge("_value", place).alias("_edge"))
+    shift, other = (F.lead, F.lag) if step > 0 else (F.lag, F.lead)
+    keys, spare = [*group, "_block"], "_row"
+    # Both sides of the join below take all columns from one window, so Spark works it out once and reads its exchange twice.
+    whole = F.struct(*rows.columns, value.alias("_value"))
+    within = Window.partitionBy(*keys).orderBy(*[f"_by{k}" for k in range(len(order))])
+    cut = (
+        rows.select(*group, block.alias("_block"), whole.alias(spare), *[F.col(c).alias(f"_by{k}") for k, c in enumerate(order)])
+        .withColumn("_near", shift(spare).over(within))
+        .withColumn("_outer", other(F.lit(1)).over(within).isNull())
+    )
+    edges = cut.filter("_outer").select(*keys, F.col(spare).alias("_edge"))
     across = edges.select(*keys, shift("_edge").over(Window.partitionBy(*group).orderBy("_block")).alias("_far"))
     return (
-        inside.join(across, keys, "left")
-        .withColumn(name, F.coalesce("_near", "_far"))
-        .select(*rows.columns, name)
+        cut.join(across, keys, "left")
+        .select(*[F.col(spare)[c].alias(c) for c in rows.columns], F.coalesce("_near", "_far")["_value"].alias(name))
     )

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark import storage
@@ -27,6 +26,7 @@ def crawl(
     max_hops: int | None = None,
     hosts: DataFrame | None = None,
     work: str | None = None,
+    digits: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Reach from ``seeds(url)`` and the URLs left over when ``max_hops`` ends the crawl.
 
@@ -40,86 +40,128 @@ def crawl(
     that were fetched: HTML pages, and pages that are missing from the store.
     ``visited(url_hash)`` of an earlier crawl is left out.
 
-    Anchors and what is known of each page are written once, in buckets by page,
-    so that only the frontier is shuffled in a hop; hosts and robots rules are
-    written once too, and so is every hop. Later hops read files instead of a
-    growing plan, and a lost executor costs one stage. Only whether a hop is empty
-    comes to the driver. The result reads these files in ``work``, a new folder
-    below the shared one by default; drop it (``storage.drop``) when done.
+    Anchors, what is known of each page and the URLs met lie in folders by the first digits of their hashes (``digits``;
+    by default so many that a folder has about ``PAGES_PER_FOLDER`` pages). Every hop looks up which folders its
+    URLs fall into and reads those only, so a late hop costs what its frontier costs, not what the store holds. Hosts,
+    robots rules and every hop are written, later hops read files instead of a growing plan, and a lost
+    executor costs one stage. Only names of folders (4,096 at most) come to the driver. The result reads these files in
+    ``work``, a new folder below the shared one by default; drop it (``storage.drop``) when done.
     """
     spark = seeds.sparkSession
     home = work or storage.run_dir(spark, "reach")
 
-    def written(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{home}/{name}")
+    def written(frame: DataFrame, name: str, *by: str) -> DataFrame:
+        frame.write.partitionBy(*by).parquet(f"{home}/{name}") if by else frame.write.parquet(f"{home}/{name}")
         return spark.read.schema(frame.schema).parquet(f"{home}/{name}")
 
     hosts = written((seeds if hosts is None else hosts).select(U.netloc_of(F.col("url")).alias("netloc")).distinct(), "hosts")
     rules = written(L.robots_table(rules, agent), "rules") if rules is not None else None
     visited = written(visited.select("url_hash").distinct(), "visited") if visited is not None else None
 
-    stored = pages.withColumn("page_hash", U.url_hash(U.normalize_url(F.col("url"))))
+    if digits is None:
+        digits = _digits(pages.count())
     is_html = F.lit(True)
     if "content_type" in pages.columns:
         is_html = H.mime_type(F.col("content_type")).isin(L.HTML_TYPES)
-    known = _in_buckets(stored.groupBy("page_hash").agg(F.max(is_html).alias("html_page")), f"{home}/known")
-    anchors = _in_buckets(L.page_hrefs(stored.filter(is_html), ["page_hash"]), f"{home}/anchors")
+    stored = pages.select(U.url_hash(U.normalize_url(F.col("url"))).alias("page_hash"), "html", is_html.alias("html_page"))
+    stored = stored.withColumn("part", _part("page_hash", digits))
+    known = written(_in_folders(stored.groupBy("part", "page_hash").agg(F.max("html_page").alias("html_page")), digits), "known", *_by(digits))
+    anchors = written(_in_folders(L.page_hrefs(stored.filter("html_page"), ["part", "page_hash"]), digits), "anchors", *_by(digits))
+
+    def placed(urls: DataFrame) -> DataFrame:
+        page = U.url_hash(U.normalize_url(F.col("url")))
+        return L.with_hash(urls).withColumn("page_hash", page).withColumns(
+            {"part": _part("page_hash", digits), "met_part": _part("url_hash", digits)}
+        )
 
-    frontier = L.with_hash(L.seed_urls(seeds))
-    if visited is not None:
-        frontier = L.unvisited(frontier, visited)
+    found = written(placed(L.seed_urls(seeds)), "found/hop=0")
     hop = 0
     while True:
-        met = frontier.withColumn("allowed", L.url_allowed(F.col("url"), extensions, directories, prefixes))
+        fresh = found
+        if hop:
+            near = of_parts(seen.select("url_hash", "met_part"), "met_part", parts_of(found, "met_part"))  # noqa: F821
+            fresh = L.unvisited(fresh, near)
+        if visited is not None:
+            fresh = L.unvisited(fresh, visited)
+        met = fresh.withColumn("allowed", L.url_allowed(F.col("url"), extensions, directories, prefixes))
         if rules is not None:
             passed = L.robots_filter(met.filter("allowed"), rules, agent).select("url_hash", F.lit(True).alias("_pass"))
             met = met.join(passed, "url_hash", "left").withColumn(
                 "allowed", F.coalesce("_pass", F.lit(False))
             ).drop("_pass")
-        met = (
-            met.withColumn("page_hash", U.url_hash(U.normalize_url(F.col("url"))))
-            .join(known, "page_hash", "left")
-            .select(
-                "url", "url_hash", "page_hash", "allowed",
-                (F.col("allowed") & F.coalesce("html_page", F.lit(True))).alias("crawled"),
-                (F.col("allowed") & F.coalesce("html_page", F.lit(False))).alias("expands"),
-            )
+        pages_near = of_parts(known, "part", parts_of(found, "part")).select("page_hash", "html_page")
+        met = met.join(pages_near, "page_hash", "left").select(
+            "url", "url_hash", "page_hash", "allowed",
+            (F.col("allowed") & F.coalesce("html_page", F.lit(True))).alias("crawled"),
+            (F.col("allowed") & F.coalesce("html_page", F.lit(False))).alias("expands"),
+            "part", "met_part",
         )
-        met.write.mode("overwrite").parquet(f"{home}/met/hop={hop}")
+        _in_folders(met, digits, "met_part").write.mode("overwrite").partitionBy("met_part").parquet(f"{home}/met/hop={hop}")
         seen = spark.read.schema(_MET).parquet(f"{home}/met")
         latest = seen.filter((F.col("hop") == hop) & F.col("expands"))
+        parts = parts_of(latest, "part")
         # Equal links of one hop are dropped before and after the shuffle; a
         # page that very many others link to arrives once per task.
-        found = (
-            L.absolute_links(latest.select("page_hash", F.col("url").alias("base_url")).join(anchors, "page_hash"))
+        links = (
+            L.absolute_links(
+                latest.select("part", "page_hash", F.col("url").alias("base_url"))
+                .join(of_parts(anchors, "part", parts), ["part", "page_hash"]).drop("part")
+            )
             .withColumn("netloc", U.netloc_of(F.col("url")))
             .join(hosts, "netloc", "left_semi")
             .select("url").distinct()
         )
-        frontier = L.unvisited(L.with_hash(found), seen)
-        if visited is not None:
-            frontier = L.unvisited(frontier, visited)
-        if max_hops is not None and hop >= max_hops:
+        if not parts or (max_hops is not None and hop >= max_hops):
             break
-        # The next hop is worked out once, and an empty one ends the crawl before anything else is done for it.
-        frontier = written(frontier, f"frontier/hop={hop + 1}")
-        if frontier.isEmpty():
+        found = written(placed(links), f"found/hop={hop + 1}")
+        if found.isEmpty():
             break
         hop += 1
-    reach = seen.select("url", "url_hash", F.col("hop").cast("int").alias("hop"), "allowed", "crawled")
-    return reach, frontier
+    left = L.unvisited(L.with_hash(links), seen)
+    left = (left if visited is None else L.unvisited(left, visited)).select("url", "url_hash")
+    met = seen.filter(F.col("hop") <= hop)
+    reach = met.select("url", "url_hash", F.col("hop").cast("int").alias("hop"), "allowed", "crawled")
+    return reach, left if parts else left.limit(0)
+
+
+_MET = (
+    "url string, url_hash string, page_hash string, allowed boolean, crawled boolean, expands boolean, part string, "
+    "hop int, met_part string"
+)
+
+#: Pages of a folder, about; and digits of a hash that name one, at most.
+PAGES_PER_FOLDER = 50_000
+MOST_DIGITS = 3
+
+
+def _digits(pages: int) -> int:
+    digits = 0
+    while digits < MOST_DIGITS and pages > PAGES_PER_FOLDER * 16**digits:
+        digits += 1
+    return digits
+
+
+def _part(column: str, digits: int) -> Column:
+    return F.concat(F.lit("x"), F.substring(column, 1, digits))
+
+
+def _by(digits: int) -> list[str]:
+    return ["part"] if digits else []
+
+
+def _in_folders(rows: DataFrame, digits: int, column: str = "part") -> DataFrame:
+    """Rows of a folder come together, so that it gets few files, and a large one as many as it needs."""
+    return rows.hint("rebalance", column) if digits else rows
 
 
-_MET = "url string, url_hash string, page_hash string, allowed boolean, crawled boolean, expands boolean, hop int"
+def parts_of(rows: DataFrame, column: str) -> list[str]:
+    """The folders that ``rows`` fall into."""
+    return [r[0] for r in rows.select(column).distinct().collect()]
 
 
-def _in_buckets(frame: DataFrame, path: str, key: str = "page_hash") -> DataFrame:
-    """``frame`` written once in buckets by ``key``: a join on it does not move this side again."""
-    spark = frame.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"civicspark_{uuid.uuid4().hex}"
-    frame.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+def of_parts(rows: DataFrame, column: str, parts: list[str]) -> DataFrame:
+    """Rows of some folders; the others are not read."""
+    return rows.filter(F.col(column).isin(parts)) if parts else rows.limit(0)
 
 
 def crawl_reach(seeds: DataFrame, pages: DataFrame, **options) -> DataFrame:
@@ -140,6 +182,5 @@ def resume_crawl(
     start = seeds.select("url").union(saved[1].select("url")).distinct() if saved else seeds
     hosts = options.pop("hosts", seeds)
     reach, left = crawl(start, pages, visited=before, max_hops=max_hops, hosts=hosts, **options)
-    visited = reach.select("url_hash")
-    save_state(visited.union(before.select("url_hash")) if before is not None else visited, left.select("url"), state)
+    save_state(reach.select("url_hash"), left.select("url"), state, only_new=True)
     return reach

@@ -130,6 +130,15 @@ def revisions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def growing_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as rows that are added to files; the time of the last row is that of the file."""
+    moment = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86_400)
+    return table(spark, folder, "orders").select(
+        F.concat("o_orderpriority", F.lit("-"), "o_custkey", F.lit(".xlsx")).alias("path"), moment.alias("modificationTime"),
+        "o_orderkey", "o_orderdate", "o_totalprice",
+    )
+
+
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """Events as looks at files: a user is a path, the event type its content."""
     return table(spark, folder, "events").select(
@@ -165,6 +174,33 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
     return L.with_hash(L.extract_links(pages(spark, folder)))
 
 
+def table_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions, nations, customers and orders as a site: each row is a page that links to the row below it, in every form of reference.
+
+    A page with many links is stored as many rows of one address.
+    """
+    site = "http://city.example/statistics"
+
+    def page(rows: DataFrame, url: Column, *hrefs: Column) -> DataFrame:
+        links = F.concat(*[F.concat(F.lit('<p><a class="x" href="'), h, F.lit('">next</a>')) for h in hrefs])
+        return rows.select(url.alias("url"), links.alias("html"))
+
+    def text(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    r, n, c, o = (F.col(k) for k in ("n_regionkey", "n_nationkey", "c_custkey", "o_orderkey"))
+    customer = text(f"{site}/customer/", c, "?a=1&b=2")
+    return (
+        page(table(spark, folder, "nation"), text(f"{site}/region/", r), text("../nation/", n, "/"))
+        .unionByName(page(table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), text(f"{site}/nation/", n),
+                          text("/x/../statistics/./customer/", c, "?b=2&amp;a=1#top")))
+        .unionByName(page(table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey"), customer,
+                          text("./../order/", o), text("//city.example/statistics/order/", o), text("?b=2&a=1"), F.lit("#top"), text("//other.example/statistics/", o)))
+        .unionByName(page(table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey"), text(f"{site}/order/", o),
+                          text("/statistics/customer/", c, "?a=1&b=2"), text("../../news/", F.col("o_orderstatus"))))
+    )
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as remote files; every fifth has no date."""
     day = F.date_add(F.lit("2022-01-01").cast("date"), (F.col("page_id") % 400).cast("int"))

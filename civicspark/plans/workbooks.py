@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicspark import schemas, storage
@@ -15,6 +15,7 @@ from civicspark.operators import files as W
 from civicspark.operators import keyvalue as K
 from civicspark.operators import quality as Q
 from civicspark.operators import sheets as S
+from civicspark.plans import ledger
 from civicspark.sources import sheet_store
 from civicspark.sources import workbooks as X
 
@@ -50,46 +51,22 @@ def ingest_workbooks(files: DataFrame, store: str, batch_id: int, writer: str =
     modified = named.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"))
     rejects.write.mode("overwrite").parquet(f"{store}/rejects/writer={writer}/batch={batch_id}")
     sheet_store.upsert_sheets(sheets.join(modified, "file_path"), records, store, batch_id, writer=writer)
-    sheet_store.compact(spark, store, sheet_store.COMPACT_EVERY)
     broken = X.workbook_rejects(parts).select(F.col("file_path").alias("path"))
     return named.join(broken, "path", "left_anti")
 
 
-#: Paths that one read is given; more files make more batches.
-FILES_PER_BATCH = 5000
-_PROCESSED = "path string, modificationTime timestamp"
-
-
 def load_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The files at ``paths`` with their bytes; no other file is opened."""
     plain = [re.sub(r"([\\*?{}\[\],])", r"\\\1", p) for p in paths]
     return spark.read.format("binaryFile").load(plain) if plain else spark.createDataFrame([], schemas.BINARY_FILES)
 
 
-def _pieces(paths: DataFrame, size: int = FILES_PER_BATCH) -> Iterator[list[str]]:
+def _pieces(paths: DataFrame, size: int = ledger.FILES_PER_BATCH) -> Iterator[list[str]]:
     rows = paths.select("path").toLocalIterator()
     while piece := [r.path for r in islice(rows, size)]:
         yield piece
 
 
-def _processed(spark: SparkSession, store: str) -> tuple[DataFrame, int]:
-    """Files taken up so far, and the number of the next batch. Old batches are folded into a base."""
-    home = f"{store}/processed"
-    bases, done = storage.versions(spark, home, "base"), storage.versions(spark, home, "batch")
-    base = bases[-1] if bases else -1
-    later = [b for b in done if b > base]
-    if len(later) >= sheet_store.COMPACT_EVERY:
-        folders = [f"{home}/base={base}"] * (base >= 0) + [f"{home}/batch={b}" for b in later]
-        spark.read.schema(_PROCESSED).parquet(*folders).groupBy("path").agg(F.max("modificationTime").alias("modificationTime")).write.mode(
-            "overwrite").parquet(f"{home}/base={later[-1]}")
-        for b in [b for b in done if b <= base]:
-            storage.drop(spark, f"{home}/batch={b}")
-        base, later = later[-1], []
-    folders = [f"{home}/base={base}"] * (base >= 0) + [f"{home}/batch={b}" for b in later]
-    known = spark.read.schema(_PROCESSED).parquet(*folders) if folders else spark.createDataFrame([], _PROCESSED)
-    return known, max([base, *done], default=-1) + 1
-
-
 def ingest_changed(
     spark: SparkSession, folder: str, store: str, recursive: bool = True, ready: DataFrame | None = None
 ) -> int | None:
@@ -99,22 +76,22 @@ def ingest_changed(
 
     Unlike a file stream this sees a file that was rewritten under its name. With ``ready(path, modificationTime)``
     only those are taken (see :func:`ingest_stable`). Only the chosen files are opened. A file that does not
-    decode is reported among the rejects and tried again at the next run.
+    decode is reported among the rejects and tried again at the next run. A run that was cut off at any
+    point is made good by the next one (see ``plans.ledger``).
     """
-    listing = X.scan_workbooks(spark, folder, recursive).select("path", "modificationTime")
-    if ready is not None:
-        listing = listing.join(ready, ["path", "modificationTime"], "left_semi")
-    known, batch_id = _processed(spark, store)
-    staged = f"{store}/changed/batch={batch_id}"
-    W.changed_files(listing, known).write.mode("overwrite").parquet(staged)
-    last = None
-    for paths in _pieces(spark.read.parquet(staged)):
-        taken = ingest_workbooks(load_workbooks(spark, paths), store, batch_id, "listing")
-        taken.write.mode("overwrite").parquet(f"{store}/processed/batch={batch_id}")
-        if not spark.read.parquet(f"{store}/processed/batch={batch_id}").isEmpty():
-            last = batch_id
-        batch_id += 1
-    return last
+
+    def listing() -> DataFrame:
+        found = X.scan_workbooks(spark, folder, recursive).select("path", "modificationTime")
+        return found if ready is None else found.join(ready, ["path", "modificationTime"], "left_semi")
+
+    def apply(files: DataFrame, batch: int) -> DataFrame:
+        # A batch left over may name files that are gone.
+        present = files.join(X.scan_workbooks(spark, folder, recursive).select("path"), "path", "left_semi")
+        paths = [r.path for r in present.select("path").collect()]
+        return ingest_workbooks(load_workbooks(spark, paths), store, batch, "listing")
+
+    took = ledger.take_up(spark, f"{store}/ledger", listing, apply)
+    return took[-1] if took else None
 
 
 _LOOKS = "path string, ts timestamp, sha256 string, modificationTime timestamp, length bigint"
@@ -130,10 +107,11 @@ def observe_files(spark: SparkSession, folder: str, log: str, cooldown_seconds:
     Looked at are files without an observation, with another time or length than at the last one, or whose last two
     hashes differ; none that was looked at within ``cooldown_seconds``. The others are not opened.
     """
+    last_two = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), F.desc("sha256"))) <= 2
     order = F.struct("ts", "sha256")
-    state = _looks(spark, log).groupBy("path").agg(
+    state = _looks(spark, log).withColumn("recent", last_two).filter("recent").groupBy("path").agg(
         F.max("ts").alias("seen"), F.max_by(F.struct("modificationTime", "length", "sha256"), order).alias("last"),
-        F.slice(F.sort_array(F.collect_list(F.struct("ts", "sha256")), False), 1, 2)["sha256"].alias("hashes"),
+        F.collect_list("sha256").alias("hashes"),
     )
     listing = X.scan_workbooks(spark, folder).select("path", "modificationTime", "length")
     same = (F.col("modificationTime") == F.col("last.modificationTime")) & (F.col("length") == F.col("last.length"))
@@ -195,6 +173,7 @@ def write_records_json(rows: DataFrame, folder: str, file: str = "file") -> None
 
     The folder is named by the file and a hash of its whole path. Lines instead of one array, so that a large
     workbook is written by many tasks; each line names its file, and ``sheet`` and ``row`` where ``rows`` has them.
+    Tasks take ranges of (workbook, sheet, row), so files of a workbook read by name give its rows in order.
     """
     name = F.regexp_replace(F.substring_index(file, "/", -1), r"\.xlsx$", "")
     workbook = F.concat(name, F.lit("-"), F.substr(F.sha2(F.col(file), 256), F.lit(1), F.lit(16)))
@@ -203,7 +182,7 @@ def write_records_json(rows: DataFrame, folder: str, file: str = "file") -> None
     fields = [F.col(c).alias(titles.get(c, c)) for c in rows.columns if c != "sheet_index"]
     (
         rows.withColumn("workbook", workbook)
-        .hint("rebalance", "workbook")
+        .repartitionByRange("workbook", *places)
         .sortWithinPartitions("workbook", *places)
         .select("workbook", *fields)
         .write.mode("overwrite").partitionBy("workbook")

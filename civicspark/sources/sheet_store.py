@@ -1,13 +1,7 @@
-"""Sheet documents on files: keyed replace by appended commits.
+"""Sheet documents and their records: two keyed tables, replaced by document.
 
-A store holds two tables, ``sheets`` (one row per document) and ``records``
-(one row per record, so that no sheet has to fit into one row). A commit is a
-folder named by its order in the store, its writer and the writer's batch
-number; it counts once its ``sheets`` part is complete, and a batch that a
-writer repeats is not committed again. So writers need not know of each other,
-and the last commit of each document wins whatever the batch numbers are.
-:func:`compact` folds the commits into a new base, so that reads stay short
-without rewriting the store on every batch.
+``sheets`` has one row per document, ``records`` one row per record, so that no sheet has to fit into one row. Records count
+if they came with the document that is stored now.
 """
 
 from __future__ import annotations
@@ -19,17 +13,13 @@ from pyspark.sql import functions as F
 
 from civicspark import storage
 from civicspark.operators import sheets as S
+from civicspark.sources import keyed_table
 
 _SHEETS = (
     "_id string, file_path string, sheet_index int, sheet_name string, "
-    "metadata struct<header: string, metadata: string, table_info: string, copyright: string>, "
-    "records bigint, version bigint, writer string"
+    "metadata struct<header: string, metadata: string, table_info: string, copyright: string>, records bigint, batch string"
 )
-_RECORDS = "_id string, file_path string, sheet_index int, version bigint, writer string, row bigint, record map<string,string>"
-_FOLDED = "writer string, batch bigint, version bigint"
-_DOCUMENT = ["_id", "version", "writer", "file_path", "sheet_index"]
-#: Commits after which an ingest folds them.
-COMPACT_EVERY = 20
+_RECORDS = "_id string, batch string, row bigint, record map<string,string>"
 
 
 def upsert_sheets(
@@ -37,92 +27,35 @@ def upsert_sheets(
 ) -> None:
     """Replace the documents of ``sheets`` and their ``records`` in the store at ``path``.
 
-    ``sheets``: ``file_path, sheet_index, sheet_name, metadata, records`` (a
-    count; null if the document has none) and optionally ``modified``.
-    Documents lacking metadata or records are skipped. Of several documents
-    with one key in a batch the last by ``modified``, file and sheet wins.
-    ``writer`` numbers its batches upwards and alone; a batch it has committed
-    before is left as it is.
+    ``sheets``: ``file_path, sheet_index, sheet_name, metadata, records`` (a count; null if the document has none) and
+    optionally ``modified``. Documents lacking metadata or records are skipped. Of several documents with one key in a
+    batch the last by ``modified``, file and sheet wins, and a batch wins over those before it. ``writer`` numbers its batches
+    upwards and alone; a batch that it has finished is left as it is, one that was cut off is written again.
     """
     spark = sheets.sparkSession
-    folded, commits = _state(spark, path)
-    if batch_id <= folded.get(writer, (-1, 0))[0] or any(w == writer and b == batch_id for _, w, b, _ in commits):
+    marks = f"{path}/finished/{writer}"
+    finished = storage.versions(spark, marks, "batch")
+    if finished and finished[-1] >= batch_id:
         return
-    version = 1 + max([v for _, v in folded.values()] + [v for v, *_ in commits], default=-1)
-    name = f"commit={version:012d}.{writer}.{batch_id}"
     ordered = sheets if "modified" in sheets.columns else sheets.withColumn("modified", F.lit(None).cast("timestamp"))
     keyed = S.well_formed(ordered).withColumn("_id", S.sheet_key(key))
-    newest = S.latest_per_key(keyed, ["_id"], ["modified", "file_path", "sheet_index"])
-    documents = newest.select(
-        "_id", "file_path", "sheet_index", "sheet_name", "metadata", "records",
-        F.lit(version).cast("long").alias("version"), F.lit(writer).alias("writer"),
+    newest = S.latest_per_key(keyed, ["_id"], ["modified", "file_path", "sheet_index"]).withColumn("batch", F.lit(f"{writer}/{batch_id}"))
+    rows = records.join(newest.select("_id", "batch", "file_path", "sheet_index"), ["file_path", "sheet_index"])
+    keyed_table.replace(rows.select("_id", "batch", "row", "record"), f"{path}/records", ["_id"])
+    keyed_table.replace(
+        newest.select("_id", "file_path", "sheet_index", "sheet_name", "metadata", "records", "batch"), f"{path}/sheets", ["_id"]
     )
-    rows = records.join(
-        documents.select("_id", "file_path", "sheet_index", "version", "writer"), ["file_path", "sheet_index"]
-    )
-    rows.select("_id", "file_path", "sheet_index", "version", "writer", "row", "record").write.mode("overwrite").parquet(
-        f"{path}/records/{name}"
-    )
-    documents.write.mode("overwrite").parquet(f"{path}/sheets/{name}")
-
-
-def _base(spark: SparkSession, path: str) -> int:
-    bases = storage.versions(spark, f"{path}/sheets", "base")
-    return bases[-1] if bases else -1
-
-
-def _commits(spark: SparkSession, path: str) -> list[tuple[int, str, int, str]]:
-    """Version, writer, batch and folder of every complete commit that is still there."""
-    found = []
-    for name in storage.complete(spark, f"{path}/sheets", "commit"):
-        version, rest = name.split(".", 1)
-        writer, batch = rest.rsplit(".", 1)
-        found.append((int(version), writer, int(batch), f"commit={name}"))
-    return found
-
-
-def _state(spark: SparkSession, path: str) -> tuple[dict[str, tuple[int, int]], list[tuple[int, str, int, str]]]:
-    """Last batch and version of each writer in the base, and the commits after it."""
-    base = _base(spark, path)
-    rows = spark.read.schema(_FOLDED).parquet(f"{path}/folded/base={base}").collect() if base >= 0 else []
-    folded = {r.writer: (r.batch, r.version) for r in rows}
-    return folded, [c for c in _commits(spark, path) if c[2] > folded.get(c[1], (-1, 0))[0]]
-
-
-def _read(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    base, (_, commits) = _base(spark, path), _state(spark, path)
-    folders = [f"{path}/{table}/base={base}"] * (base >= 0) + [f"{path}/{table}/{name}" for *_, name in commits]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    spark.range(1).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+    for n in finished:
+        storage.drop(spark, f"{marks}/batch={n}")
 
 
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     """The current documents, without their records."""
-    return S.latest_per_key(_read(spark, path, "sheets", _SHEETS), ["_id"], ["version", "writer"])
+    return keyed_table.read(spark, f"{path}/sheets", _SHEETS).drop("bucket")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """``_id, row, record`` of the current documents."""
-    current = read_sheets(spark, path).select(*_DOCUMENT)
-    return _read(spark, path, "records", _RECORDS).join(current, _DOCUMENT, "left_semi").select("_id", "row", "record")
-
-
-def compact(spark: SparkSession, path: str, after: int = 1) -> None:
-    """Write the current documents as a new base if ``after`` commits or more wait; folded commits are no longer read.
-
-    Commits that the base before had folded are removed, so a reader has a whole compaction's time to end.
-    """
-    base, (folded, commits) = _base(spark, path), _state(spark, path)
-    if len(commits) < after:
-        return
-    old = [c for c in _commits(spark, path) if c not in commits]
-    for version, writer, batch, _ in commits:
-        folded[writer] = max(folded.get(writer, (-1, 0)), (batch, version))
-    current = read_sheets(spark, path)
-    rows = _read(spark, path, "records", _RECORDS).join(current.select(*_DOCUMENT), _DOCUMENT, "left_semi")
-    rows.write.mode("overwrite").parquet(f"{path}/records/base={base + 1}")
-    done = [(writer, batch, version) for writer, (batch, version) in folded.items()]
-    spark.createDataFrame(done, _FOLDED).write.mode("overwrite").parquet(f"{path}/folded/base={base + 1}")
-    current.write.mode("overwrite").parquet(f"{path}/sheets/base={base + 1}")
-    for *_, name in old:
-        for table in ("sheets", "records"):
-            storage.drop(spark, f"{path}/{table}/{name}")
+    rows, current = keyed_table.read(spark, f"{path}/records", _RECORDS), read_sheets(spark, path).select("_id", "batch")
+    return rows.join(current, ["_id", "batch"], "left_semi").select("_id", "row", "record")

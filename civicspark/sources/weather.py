@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import logging
+import re
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicspark import schemas
+from civicspark import schemas, storage
+from civicspark.sources.keyed_table import bucket_of
 
 log = logging.getLogger(__name__)
 
@@ -21,35 +24,66 @@ def read_cities(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _city_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``city, path`` of the files in ``folder``, from a listing."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path")
+    name = F.regexp_extract(F.substring_index("path", "/", -1), r"^(.*)\.json$", 1)
+    return files.select(_decoded(name).alias("city"), "path")
+
+
+def _decoded(name: Column) -> Column:
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_weather(spark: SparkSession, folder: str, cities: DataFrame | None = None) -> DataFrame:
     """Observations of all ``<city>.json`` files in ``folder``; the file name gives the city.
 
-    With ``cities`` given, files of other names are left out. Cities without a file are skipped; their number is
-    logged, :func:`missing_cities` names them all.
+    With ``cities`` given, the files are chosen from a listing first, and no other file is opened; the paths chosen come to the
+    driver, one for each city. Cities without a file are skipped; their number is logged, :func:`missing_cities` names them all.
     """
-    rows = (
+    paths: str | list[str] = folder
+    if cities is not None:
+        wanted = cities.select(F.col("name").alias("city")).distinct()
+        chosen = wanted.join(_city_files(spark, folder), "city", "left").collect()
+        absent = sum(r.path is None for r in chosen)
+        if absent:
+            log.warning("%d cities have no weather file", absent)
+        paths = [re.sub(r"([\\*?{}\[\],])", r"\\\1", r.path) for r in chosen if r.path is not None]
+    stored = T.StructType([*schemas.WEATHER.fields, T.StructField("city", T.StringType())])
+    if not paths:
+        return spark.createDataFrame([], stored)
+    return (
         spark.read.schema(schemas.WEATHER).option("multiLine", True)
-        .option("pathGlobFilter", "*.json").json(folder)
-        .withColumn("city", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
-        .withColumn("city", F.url_decode(F.replace("city", F.lit("+"), F.lit("%2B"))))
+        .option("pathGlobFilter", "*.json").json(paths)
+        .withColumn("city", _decoded(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)))
     )
-    if cities is None:
-        return rows
-    absent = missing_cities(spark, folder, cities).count()
-    if absent:
-        log.warning("%d cities have no weather file", absent)
-    return rows.join(cities.select(F.col("name").alias("city")).distinct(), "city", "left_semi")
 
 
 def missing_cities(spark: SparkSession, folder: str, cities: DataFrame) -> DataFrame:
     """Cities of the list that have no file in ``folder``."""
-    file_name = F.substring_index("path", "/", -1)
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-        .select(F.regexp_extract(file_name, r"^(.*)\.json$", 1).alias("name"))
-        .select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("name"))
+    return cities.join(_city_files(spark, folder).select(F.col("city").alias("name")), "name", "left_anti")
+
+
+def write_weather_files(rows: DataFrame, folder: str) -> None:
+    """One JSON array file ``<city>.json`` for each ``city`` of ``rows``, in the order of ``dt``.
+
+    A file is written by one task, line by line, so that no city has to fit into memory. The order of files is one rename each.
+    """
+    spark = rows.sparkSession
+    fields = [c for c in rows.columns if c != "city"]
+    in_order = Window.partitionBy("city").orderBy("dt", "dt_iso")
+    place = F.row_number().over(in_order)
+    lines = rows.withColumn("place", place).select(
+        "city", "place", F.concat(F.when(F.col("place") == 1, "[").otherwise(","), F.to_json(F.struct(*fields))).alias("line")
     )
-    return cities.join(files, "name", "left_anti")
+    ends = rows.select("city").distinct().select("city", F.lit(2**31 - 1).alias("place"), F.lit("]").alias("line"))
+    staged = f"{folder}.staged"
+    lines.unionByName(ends).repartition("city").sortWithinPartitions("city", "place").select("city", "line").write.mode("overwrite").partitionBy(
+        "city").text(staged)
+    for found in spark.read.text(staged).select("city", F.input_file_name().alias("file")).distinct().collect():
+        storage.make(spark, folder)
+        storage.move(spark, unquote(found.file), f"{folder}/{found.city}.json")
+    storage.drop(spark, staged)
 
 
 def append_weather(rows: DataFrame, path: str) -> None:
@@ -65,3 +99,25 @@ def read_weather_table(spark: SparkSession, path: str) -> DataFrame:
     """The table written by :func:`append_weather`; a city filter prunes its folders."""
     stored = T.StructType([*schemas.WEATHER.fields, T.StructField("city", T.StringType())])
     return spark.read.schema(stored).parquet(path)
+
+
+#: Hash folders of a table of very many cities.
+FOLDERS = 256
+
+
+def append_hashed(rows: DataFrame, path: str, folders: int = FOLDERS) -> None:
+    """Append to a table of very many cities: hash folders instead of a folder per city, rows in the order of city and time.
+
+    A folder's files are sorted, so the row groups of a city are few, and a Bloom filter on the city leaves out the others.
+    """
+    (
+        rows.withColumn("part", bucket_of(["city"], folders)).hint("rebalance", "part").sortWithinPartitions("part", "city", "dt_iso")
+        .write.mode("append").option("parquet.bloom.filter.enabled#city", "true").partitionBy("part").parquet(path)
+    )
+
+
+def read_city(spark: SparkSession, path: str, city: str, folders: int = FOLDERS) -> DataFrame:
+    """The rows of one city in a table of :func:`append_hashed`: one folder is read, and of it the row groups that may hold the city."""
+    stored = T.StructType([*schemas.WEATHER.fields, T.StructField("city", T.StringType()), T.StructField("part", T.IntegerType())])
+    place = F.pmod(F.xxhash64(F.lit(city)), F.lit(folders)).cast("int")
+    return spark.read.schema(stored).parquet(path).filter((F.col("part") == place) & (F.col("city") == city)).drop("part")

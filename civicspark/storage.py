@@ -55,7 +55,31 @@ def versions(spark: SparkSession, path: str, key: str) -> list[int]:
     return sorted(map(int, complete(spark, path, key)))
 
 
+def folders(spark: SparkSession, path: str, key: str) -> list[int]:
+    """Numbers N of the ``key=N`` folders below ``path``, ascending, complete or not."""
+    hadoop_path, fs = _path(spark, path)
+    if not fs.exists(hadoop_path):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
+    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{key}="))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder that nothing reads any more, such as one of :func:`run_dir`."""
     hadoop_path, fs = _path(spark, path)
     fs.delete(hadoop_path, True)
+
+
+def make(spark: SparkSession, path: str) -> None:
+    """A folder, if it is not there."""
+    hadoop_path, fs = _path(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file; one of the target's name goes."""
+    hadoop_path, fs = _path(spark, source)
+    to = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.delete(to, False)
+    if not fs.rename(hadoop_path, to):
+        raise OSError(f"cannot rename {source} to {target}")

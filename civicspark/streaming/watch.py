@@ -1,7 +1,7 @@
 """A watched folder as a stream of workbooks, and gates over file observations.
 
 A file stream takes each path once. :func:`start_watch` therefore expects
-every revision under a new path; ``plans.workbooks.ingest_changed`` also sees
+every revision under a new path; :func:`start_watch_stable` and ``plans.workbooks.ingest_changed`` also see
 files rewritten in place. The gates take observations ``path, ts, sha256``,
 for instance those appended by ``plans.workbooks.observe_files``.
 """
@@ -11,15 +11,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from civicspark import schemas, storage
 from civicspark.operators.files import COOLDOWN_SECONDS
-from civicspark.plans.workbooks import ingest_workbooks
+from civicspark.plans.workbooks import ingest_stable, ingest_workbooks
 
 
 def watch_workbooks(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -48,7 +47,7 @@ def start_watch(
     ``once`` takes what is there and stops. A restart from ``checkpoint``
     repeats at most the last batch, which is not committed twice. Each
     checkpoint is a writer of its own in the store. Files are decoded as soon as
-    they are there; for files written slowly use ``plans.workbooks.ingest_stable``.
+    they are there; for files written slowly use :func:`start_watch_stable`.
     """
     name = _writer_name(spark, checkpoint)
     writer = (
@@ -59,47 +58,142 @@ def start_watch(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-_GATED = "path string, at bigint, sha256 string"
+def start_watch_stable(
+    spark: SparkSession, folder: str, store: str, log: str, checkpoint: str, every: str = "5 seconds",
+    cooldown_seconds: int = COOLDOWN_SECONDS,
+) -> StreamingQuery:
+    """A live watch that waits until files are whole and sees files rewritten under their name.
+
+    A clock starts a round of ``plans.workbooks.ingest_stable`` at every trigger: files that may have changed are looked at, and
+    those that two looks found equal are decoded. What was taken up is in the store's ledger, not in the checkpoint, which only
+    numbers the rounds; so a round that is cut off is made good by the next one, also of another checkpoint. One watch at a time.
+    """
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (
+        clock.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda _, number: ingest_stable(spark, folder, store, log, cooldown_seconds) and None)
+        .trigger(processingTime=every).start()
+    )
 
 
-def stream_cooldown(observations: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Accept an observation if none of its path was accepted in the ``seconds`` before.
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_GATED = "path string, at bigint, tie bigint, sha256 string"
+_LOOK = "array<struct<at: bigint, tie: bigint, sha256: string>>"
+
+
+class _InOrder(StatefulProcessor):
+    """Looks at a path in the order of their times, in whatever order they come.
 
-    The state of a path is one time. Within a batch a path is read in time
-    order; the size of a batch is set at the source.
+    A look waits in the state until the watermark has passed it; a timer at its time takes it out again, and timers go off in
+    order. Rows are handled one by one and kept in the state store, so a busy path needs no memory of a task.
     """
 
-    def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        ordered = pd.concat(list(batches)).sort_values("at", kind="stable")
-        taken = []
-        for place, moment in enumerate(ordered["at"].tolist()):
-            if last is None or moment - last >= seconds * 1_000_000:
-                taken.append(place)
-                last = moment
-        state.update((last,))
-        yield ordered.iloc[taken]
+    LAST = "at bigint"
 
-    return _gated(observations, gate, "last bigint")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms bigint", f"looks {_LOOK}")
+        self.last = handle.getValueState("last", self.LAST)
 
+    def _at(self, at: int) -> int:
+        """The millisecond whose watermark has passed a time in microseconds."""
+        return -(-at // 1000)
 
-def stream_stable(observations: DataFrame) -> DataFrame:
-    """Emit an observation whose content hash equals that of the one before it on its path."""
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        for row in rows:
+            ms = self._at(row.at)
+            held = self.waiting.getValue((ms,))
+            looks = [tuple(look) for look in held[0]] if held else []
+            self.waiting.updateValue((ms,), ([*looks, (row.at, row.tie, row.sha256)],))
+            self.handle.registerTimer(ms - 1)  # goes off when the watermark is later
+        return iter(())
 
-    def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        ordered = pd.concat(list(batches)).sort_values("at", kind="stable")
-        before = ordered["sha256"].shift(1)
-        before.iloc[0] = last
-        state.update((ordered["sha256"].iloc[-1],))
-        yield ordered[before.notna() & (before == ordered["sha256"])]
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        ms = expiredTimerInfo.getExpiryTimeInMs() + 1
+        held = self.waiting.getValue((ms,))
+        if held is None:
+            self.ended(ms)
+            return
+        self.waiting.removeKey((ms,))
+        for at, tie, sha256 in sorted(held[0], key=lambda look: (look[0], look[1] or 0, look[2] or "")):
+            if self.passes(at, sha256):
+                yield Row(path=key[0], at=at, tie=tie, sha256=sha256)
 
-    return _gated(observations, gate, "last string")
+    def passes(self, at: int, sha256: str) -> bool:
+        raise NotImplementedError
 
+    def ended(self, ms: int) -> None:
+        """Nothing has come for the time of a timer."""
 
-def _gated(observations: DataFrame, gate, state_schema: str) -> DataFrame:
-    rows = observations.select("path", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "sha256")
-    passed = rows.groupBy("path").applyInPandasWithState(
-        gate, _GATED, state_schema, "append", GroupStateTimeout.NoTimeout
-    )
-    return passed.select("path", F.timestamp_micros("at").alias("ts"), "sha256")
+    def close(self) -> None:
+        pass
+
+
+class _Cooldown(_InOrder):
+    """The state is the last accepted time, for as long as it matters."""
+
+    def __init__(self, seconds: int):
+        self.step = seconds * 1_000_000
+
+    def passes(self, at: int, sha256: str) -> bool:
+        last = self.last.get() if self.last.exists() else None
+        if last is not None and at - last[0] < self.step:
+            return False
+        self.last.update((at,))
+        self.handle.registerTimer(self._at(at + self.step) - 1)
+        return True
+
+    def ended(self, ms: int) -> None:
+        if self.last.exists() and ms * 1000 >= self.last.get()[0] + self.step:
+            self.last.clear()
+
+
+class _Stable(_InOrder):
+    """The state is the content last seen; it is forgotten ``forget`` seconds after."""
+
+    LAST = "at bigint, sha256 string"
+
+    def __init__(self, forget: int | None):
+        self.step = forget and forget * 1_000_000
+
+    def passes(self, at: int, sha256: str) -> bool:
+        last = self.last.get() if self.last.exists() else None
+        self.last.update((at, sha256))
+        if self.step:
+            self.handle.registerTimer(self._at(at + self.step) - 1)
+        return last is not None and last[1] == sha256
+
+    def ended(self, ms: int) -> None:
+        if self.step and self.last.exists() and ms * 1000 >= self.last.get()[0] + self.step:
+            self.last.clear()
+
+
+def stream_cooldown(
+    observations: DataFrame, seconds: int = COOLDOWN_SECONDS, late: str = "0 seconds", tie: str | None = None
+) -> DataFrame:
+    """Accept an observation if none of its path was accepted in the ``seconds`` before.
+
+    A path is taken in the order of its times, those of one time in that of ``tie`` (a whole number; else of
+    their hashes). An observation is decided once one that is ``late`` later was seen on any path; one that comes after
+    that is left out. The state of a path ends ``seconds`` after the last one accepted. Observations without a time are left out.
+    """
+    return _gated(observations, _Cooldown(seconds), late, tie)
+
+
+def stream_stable(observations: DataFrame, late: str = "0 seconds", tie: str | None = None, forget_seconds: int | None = None) -> DataFrame:
+    """Emit an observation whose content hash equals that of the one before it on its path.
+
+    Order, ``late`` and ``tie`` as in :func:`stream_cooldown`. With ``forget_seconds`` the state of a path ends that long after
+    its last observation, and the next one counts as the first; without, one hash is kept for every path.
+    """
+    return _gated(observations, _Stable(forget_seconds), late, tie)
+
+
+def _gated(observations: DataFrame, gate: _InOrder, late: str, tie: str | None) -> DataFrame:
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the only store with timers
+    ts = F.col("ts").cast("timestamp")
+    rows = observations.select(
+        "path", ts.alias("ts"), F.unix_micros(ts).alias("at"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"), "sha256"
+    ).filter("ts IS NOT NULL")
+    passed = rows.withWatermark("ts", late).groupBy("path").transformWithState(gate, _GATED, "Append", "EventTime")
+    return passed.select("path", F.timestamp_micros("at").alias("ts"), *([F.col("tie").alias(tie)] if tie else []), "sha256")

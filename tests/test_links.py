@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civicspark.functions import html as H
 from civicspark.operators import links as L
 from civicspark.operators import quality as Q
+from civicspark.plans import crawl as C
 from civicspark.plans.crawl import crawl_reach, resume_crawl
 from civicspark.sources import web
 
@@ -200,7 +201,8 @@ def test_missing_pages_count_as_failed_fetches(spark, rows_of):
     ]
 
 
-def test_reach_equals_breadth_first_search(spark, rows_of):
+@pytest.mark.parametrize("digits", [0, 1])
+def test_reach_equals_breadth_first_search(spark, rows_of, digits):
     chance = random.Random(3)
     names = [f"census/n{i}" if i % 5 else f"other/n{i}" for i in range(40)]
     # A hub that nearly all pages link to, and random other links.
@@ -218,7 +220,7 @@ def test_reach_equals_breadth_first_search(spark, rows_of):
                 if target not in hops:
                     hops[target] = hops[name] + 1
                     queue.append(target)
-    reach = crawl_reach(spark.createDataFrame([(f"https://s.net/{start}",)], "url string"), pages)
+    reach = crawl_reach(spark.createDataFrame([(f"https://s.net/{start}",)], "url string"), pages, digits=digits)
     assert rows_of(reach, "url", "hop", "crawled") == sorted(
         ((f"https://s.net/{n}", h, n.startswith("census")) for n, h in hops.items()), key=repr
     )
@@ -239,3 +241,40 @@ def test_a_crawl_in_parts_reaches_the_same(spark, rows_of, tmp_path):
     assert sorted(parts, key=repr) == whole
     visited, pending = web.load_state(spark, state)
     assert visited.count() == len(whole) and pending.count() == 0
+
+
+def _files_read(frame):
+    frame.collect()
+    scan = frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return scan.metrics().apply("numFiles").value()
+
+
+def test_a_hop_reads_the_folders_of_its_frontier(spark, tmp_path):
+    names = [f"census/n{i}" for i in range(200)]
+    pages = spark.createDataFrame([_page(f"https://s.net/{n}", f"/{m}") for n, m in zip(names, [*names[1:], names[0]])], "url string, html string, content_type string")
+    seeds = spark.createDataFrame([(f"https://s.net/{names[0]}",)], "url string")
+    work = str(tmp_path / "work")
+    reach = crawl_reach(seeds, pages, digits=1, max_hops=3, work=work)
+    assert reach.count() == 4
+    for name in ("anchors", "known"):
+        stored = spark.read.parquet(f"{work}/{name}")
+        assert 10 <= len({f.split("part=")[1].split("/")[0] for f in stored.inputFiles()}) <= 16
+        hop = spark.read.parquet(f"{work}/met").filter("hop = 2")
+        parts = C.parts_of(hop, "part")
+        near = C.of_parts(stored, "part", parts)
+        assert len(parts) == 1 and 0 < _files_read(near) < _files_read(stored) / 5
+    assert C.of_parts(stored, "part", []).count() == 0
+    assert [C._digits(n) for n in (0, 50_000, 50_001, 10**9, 10**12)] == [0, 0, 1, 3, 3]
+
+
+def test_snapshots_hold_new_rows_only(spark, tmp_path, rows_of):
+    home = str(tmp_path / "state")
+    hashes = lambda *h: spark.createDataFrame([(x,) for x in h], "url_hash string")
+    pending = spark.createDataFrame([("https://a.net/p",)], "url string")
+    web.save_state(hashes("a", "b"), pending, home)
+    web.save_state(hashes("a", "b", "c"), pending, home)
+    web.save_state(hashes("d"), pending, home, only_new=True)
+    assert [rows_of(spark.read.parquet(f"{home}/visited/version={v}")) for v in (1, 2, 3)] == [[("a",), ("b",)], [("c",)], [("d",)]]
+    assert rows_of(web.load_state(spark, home)[0]) == [("a",), ("b",), ("c",), ("d",)]
+    web.save_state(hashes("e", "e"), pending, home, only_new=True)
+    assert web.load_state(spark, home) is None

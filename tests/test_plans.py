@@ -57,6 +57,16 @@ def test_hot_groups_are_cut(spark):
     assert sum("block#" in line for line in exchanges) == 2 and len(exchanges) == 3
 
 
+def test_neighbours_take_one_scan(spark, tmp_path):
+    """The rows and the edges of their blocks come from the same exchange."""
+    path = str(tmp_path / "kv")
+    spark.range(1000).selectExpr("'f' AS file", "0 AS sheet_index", "'s' AS sheet", "id AS row", "string(id) AS key", "string(id) AS value").write.parquet(path)
+    merged = K.merge_split_values(spark.read.parquet(path), block_rows=100)
+    merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
 def test_latest_is_reduced_before_the_shuffle(spark):
     rows = spark.range(10).selectExpr("id % 3 AS k", "id AS o")
     assert "partial_max_by" in _plan(S.latest_per_key(rows, ["k"], ["o"]))

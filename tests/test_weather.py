@@ -85,7 +85,7 @@ def test_append_keeps_duplicates_and_prunes(spark, weather, tmp_path, capsys):
     mean.explain()
     plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(city" in plan
-    assert "GreaterThan(dt_iso" in plan
+    assert "GreaterThanOrEqual(dt_iso" in plan
     assert "main:struct<temp:double>" in plan.replace("ReadSchema: struct<", "")
 
 
@@ -178,7 +178,7 @@ def test_page_after_a_row(many, last):
 def test_page_after_reaches_the_scan(spark, many, tmp_path):
     many.write.parquet(f"{tmp_path}/t")
     plan = M.page(spark.read.parquet(f"{tmp_path}/t"), 5, 0, ["id"], after=("2024-02-02", 1))._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(dt_iso" in plan
+    assert "GreaterThanOrEqual(dt_iso" in plan
 
 
 def test_selected_fields_keep_their_nesting(weather, capsys):
@@ -196,3 +196,37 @@ def test_required_fields(spark, weather):
     bare = spark.createDataFrame([(None,) * len(schemas.WEATHER)], schemas.WEATHER)
     found = {r.field: r.violations for r in M.required_violations(bare).collect()}
     assert found["main"] == 1 and found["main.temp"] == 0 and found["weather"] == 1
+
+
+def test_only_the_files_of_the_list_are_opened(spark, folder, rows_of):
+    cities = spark.createDataFrame([("South Bay",), ("Absent",), ("South Bay",)], "name string")
+    listed = source.read_weather(spark, str(folder), cities)
+    assert [f.rsplit("/", 1)[-1] for f in listed.inputFiles()] == ["South%20Bay.json"]
+    assert rows_of(M.all_cities(listed)) == [("South Bay",)] and listed.count() == 2
+    nothing = source.read_weather(spark, str(folder), cities.filter("name = 'Absent'"))
+    assert nothing.count() == 0 and nothing.columns == listed.columns
+
+
+def test_files_written_come_back(spark, weather, tmp_path, rows_of):
+    home = str(tmp_path / "files")
+    source.write_weather_files(weather, home)
+    north = json.loads((tmp_path / "files" / "North.json").read_text())
+    assert len(north) == 4 and "city" not in north[0] and north[0]["main"]["temp"] == 10.0
+    back = source.read_weather(spark, home)
+    assert rows_of(back, "city", "dt_iso", "main", "rain") == rows_of(weather, "city", "dt_iso", "main", "rain")
+    source.write_weather_files(weather.filter("city = 'North'"), home)  # again, over the old file
+    assert source.read_weather(spark, home).count() == weather.count()
+
+
+def test_a_city_among_very_many(spark, weather, tmp_path, capsys):
+    path = str(tmp_path / "table")
+    source.append_hashed(weather, path, folders=8)
+    source.append_hashed(weather, path, folders=8)
+    rows = source.read_city(spark, path, "South Bay", folders=8)
+    assert rows.count() == 4 and {r.city for r in rows.select("city").collect()} == {"South Bay"}
+    assert source.read_city(spark, path, "nowhere", folders=8).count() == 0
+    mean = M.average_temperature(rows, "South Bay", "2024-01-01", "2024-01-01")
+    assert tuple(mean.first()) == (5.0, 2)
+    mean.explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(part" in plan and "EqualTo(city,South Bay)" in plan and "temp:double" in plan

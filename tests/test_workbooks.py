@@ -1,11 +1,14 @@
 import json
 import os
+import random
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from civicspark.functions.urls import content_md5, content_sha256
+from civicspark.operators import files as W
 from civicspark.operators import sheets as S
 from civicspark.plans import workbooks as P
 from civicspark.sources import sheet_store as store
@@ -133,9 +136,6 @@ def test_store_replaces_documents(spark, tmp_path, rows_of):
     assert _norths(spark, home) == ["10", "2"]
     put(1, "b.xlsx", {"One": _table(10)})  # the same batch again
     assert _norths(spark, home) == ["10", "2"]
-    store.compact(spark, home)
-    store.compact(spark, home)
-    assert _norths(spark, home) == ["10", "2"]
     put(2, "c.xlsx", {"Two": _table(20)})
     assert _norths(spark, home) == ["10", "20"]
     assert store.read_sheets(spark, home).filter("sheet_name = 'One'").first()._id == "06c2cea18679d64399783748fa367bdd"
@@ -263,8 +263,7 @@ def test_half_written_files_wait(spark, tmp_path):
     assert run() is None
 
 
-def test_writers_do_not_lose_documents(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store, "COMPACT_EVERY", 3)
+def test_writers_do_not_lose_documents(spark, tmp_path):
     home, books = str(tmp_path / "store"), tmp_path / "books"
     for n in range(5):
         (books / f"f{n}").mkdir(parents=True)
@@ -276,9 +275,7 @@ def test_writers_do_not_lose_documents(spark, tmp_path, monkeypatch):
     for n in (2, 3, 4):
         P.ingest_changed(spark, str(books / f"f{n}"), home)
     assert _norths(spark, home) == ["0", "1", "104", "2", "3", "4"]
-    assert store._base(spark, home) >= 0  # folded on the way
-    P.ingest_workbooks(P.load_workbooks(spark, [str(books / "f0" / "book.xlsx")]), home, 0, "listing")  # a batch repeated after folding
-    store.compact(spark, home)
+    P.ingest_workbooks(P.load_workbooks(spark, [str(books / "f0" / "book.xlsx")]), home, 0, "listing")  # a batch repeated late
     write_workbook(books / "f0" / "new.xlsx", {"Later": _table(9)})
     P.ingest_workbooks(P.load_workbooks(spark, [str(books / "f0" / "new.xlsx")]), home, 0, "another")
     assert _norths(spark, home) == ["0", "1", "104", "2", "3", "4", "9"]
@@ -307,3 +304,64 @@ def test_sheet_key(spark):
     frame = spark.createDataFrame([("Table 1",)], "sheet_name string")
     import hashlib
     assert frame.select(S.sheet_key()).first()[0] == hashlib.md5(b"Table 1").hexdigest()
+
+
+def test_gates_take_looks_in_the_order_of_their_times(spark, tmp_path):
+    """Looks come out of order within the lateness allowed; the last one moves the watermark on."""
+    looks = [("a", t, "x" if t % 4 else "y") for t in range(0, 3000, 50)]
+    random.Random(4).shuffle(looks)
+    batch = spark.createDataFrame(looks, "path string, second long, sha256 string").selectExpr("path", "timestamp_seconds(second) AS ts", "sha256")
+    for gate, plain, name in (
+        (lambda s: T.stream_cooldown(s, 300, late="1 hour"), W.cooldown(batch, 300), "cool"),
+        (lambda s: T.stream_stable(s, late="1 hour"), W.stable_files(batch), "stable"),
+    ):
+        log = str(tmp_path / name)
+        for k in range(0, len(looks), 20):
+            _observe(spark, log, *looks[k : k + 20])
+        _observe(spark, log, ("end", 100_000, "z"))
+        found = _stream(spark, log, gate, str(tmp_path / f"{name}-checkpoint"), str(tmp_path / f"{name}-out"))
+        expected = sorted((r.path, int(r.second)) for r in plain.selectExpr("path", "unix_seconds(ts) AS second").collect())
+        assert [f for f in found if f[0] != "end"] == expected
+
+
+def test_a_stable_path_is_forgotten(spark, tmp_path):
+    log = str(tmp_path / "log")
+    gate = lambda s: T.stream_stable(s, forget_seconds=100)
+    run = lambda: _stream(spark, log, gate, str(tmp_path / "checkpoint"), str(tmp_path / "out"))
+    _observe(spark, log, ("a", 0, "x"), ("b", 0, "x"))
+    run()
+    _observe(spark, log, ("b", 90, "x"), ("c", 150, "x"))
+    assert run() == [("b", 90)]
+    _observe(spark, log, ("c", 160, "y"))
+    run()
+    _observe(spark, log, ("a", 180, "x"), ("b", 185, "x"), ("c", 400, "z"))
+    assert run() == [("b", 90), ("b", 185)]  # a was forgotten at 100, b not before 190
+
+
+def test_live_watch_waits_for_whole_files_and_sees_rewrites(spark, tmp_path):
+    books, home = tmp_path / "b", str(tmp_path / "store")
+    books.mkdir()
+    whole = Path(write_workbook(tmp_path / "x.xlsx", {"One": _table(1)})).read_bytes()
+    (books / "x.xlsx").write_bytes(whole[: len(whole) // 2])
+    query = T.start_watch_stable(spark, str(books), home, str(tmp_path / "log"), str(tmp_path / "checkpoint"), "1 second", cooldown_seconds=0)
+
+    def wait(expected):
+        end = time.monotonic() + 120
+        while time.monotonic() < end and query.isActive:
+            try:
+                if os.path.exists(f"{home}/sheets") and _norths(spark, home) == expected:
+                    return
+            except Exception:  # folders are being replaced
+                pass
+            time.sleep(1)
+        raise AssertionError(query.exception())
+
+    try:
+        (books / "x.xlsx").write_bytes(whole)
+        os.utime(books / "x.xlsx", (1_900_000_000, 1_900_000_000))
+        wait(["1"])
+        os.utime(write_workbook(books / "x.xlsx", {"One": _table(2)}), (2_000_000_000, 2_000_000_000))
+        wait(["2"])
+    finally:
+        query.stop()
+    assert _stored(spark, home) == {"One": ("x.xlsx", 2)}
