@@ -51,7 +51,8 @@ def domain_of(host: Column, suffix: Column) -> Column:
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest of ``rules`` (host, path, verdict) that fits, as a struct of ``rule`` and ``verdict``, or null.
 
-    A rule fits its host and all subdomains when the path begins with the rule's.
+    A rule fits its host and all subdomains when the path begins with the rule's. Of equally long ones the first by host, path and
+    verdict decides, so of two verdicts for one host and path it is to allow.
     """
     fitting = [
         F.when(

@@ -71,6 +71,29 @@ def test_judge_and_filter_agree(spark, documents, tables):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {10}
 
 
+def test_threshold_and_verdicts_recomputed(spark, tables):
+    """From the counts and scores of single rows, in plain Python: every threshold is tried."""
+    given, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
+    rules = R.fit(given, labels)
+    judged = {r.doc_id: r for r in R.judge(given, rules).collect()}
+    texts = {r.doc_id: r.text for r in given.collect()}
+    failed = {}
+    for i, text in texts.items():
+        n, _, _, _, repeated = brute(text)
+        failed[i] = n < 50 or 100 * repeated > 50 * n
+        assert judged[i].base_failed == failed[i]
+    quality = {}
+    for r in labels.collect():
+        if r.quality is not None and r.doc_id in texts and not failed[r.doc_id]:
+            quality[r.doc_id] = max(quality.get(r.doc_id, 0), r.quality)
+    place = {i: int(judged[i].score * R.BINS) for i in texts}
+    good, bad = ([place[i] for i, q in quality.items() if (q > 0) == want] for want in (True, False))
+    cost = [4.0 * sum(p >= t for p in good) / len(good) - sum(p >= t for p in bad) / len(bad) for t in range(R.BINS + 1)]
+    threshold = min(range(R.BINS + 1), key=lambda t: (cost[t], t))
+    assert cost[round(rules.threshold * R.BINS)] == cost[threshold]
+    assert all(judged[i].kept == (not failed[i] and place[i] / R.BINS < rules.threshold) for i in texts)
+
+
 def test_without_labels_only_base_rules_count(spark, documents):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     given = documents([(k, t) for k, t in enumerate(TEXTS)])

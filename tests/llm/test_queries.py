@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
@@ -79,3 +80,13 @@ def test_stages_keep_the_columns(spark, documents, tables):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, given, tables).columns == given.columns
         assert stage(spark, given.limit(0), tables).count() == 0
+
+
+def test_stages_keep_columns_whose_names_clash(spark, documents, tables):
+    """Every column of the input comes out with its values, whatever a stage calls its own."""
+    rows = [(k, f"line {k} " + " ".join(f"w{k}x{j}" for j in range(60))) for k in range(4)]
+    given = documents(rows).withColumns({"removed_lines": F.lit("mine"), "kept": F.lit(True), "doc": F.col("doc_id"), "set": F.lit("s"), "row": F.lit(1)})
+    for _, stage in P.STAGES[:-1]:
+        found = stage(spark, given, tables)
+        assert found.dtypes == given.dtypes
+        assert sorted(found.collect(), key=repr) == sorted(given.collect(), key=repr)

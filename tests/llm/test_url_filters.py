@@ -59,3 +59,11 @@ def test_prior_strength(spark):
 
 def test_empty_tables(spark):
     assert judged(spark, []) == {}
+
+
+def test_equal_rules(spark):
+    rules = [("a.org", "/x", "block"), ("a.org", "/x", "allow"), ("b.org", "/", "allow"), ("b.org", "/", "block"), ("org", "/xy/z", "block"), ("c.org", "/xyz", "allow")]
+    frame = spark.createDataFrame([("a.org", "/x"), ("b.org", "/q"), ("s.c.org", "/xyz")], "host string, path string")
+    for given in (rules, rules[::-1]):
+        fit = U.matching_rule(frame.host, frame.path, given)
+        assert [tuple(r[0]) for r in frame.select(fit).collect()] == [("a.org/x", "allow"), ("b.org/", "allow"), ("c.org/xyz", "allow")]
