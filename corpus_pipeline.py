@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.llm import decontamination, jaccard_join, line_dedup, quality_rules, sentencepiece_codec
-from civicspark.llm.tables import table, written
+from civicspark.llm.tables import spare_name, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,13 +16,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines go, and with them documents of which no word is left."""
-    cleaned = line_dedup.dedup_lines(docs).filter(
+    # The operator names a column of its own like this; one of the input keeps its values.
+    held = spare_name(docs, "held")
+    cleaned = line_dedup.dedup_lines(docs.withColumnRenamed("removed_lines", held)).filter(
         (F.size("removed_lines") == 0) | F.col("text").rlike(line_dedup.WORD)
     )
-    return cleaned.select(*[
-        F.when(F.size("removed_lines") > 0, F.char_length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c)
-        for c in docs.columns
-    ])
+    shorter = F.when(F.size("removed_lines") > 0, F.char_length("text")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else None)
+    own = {"removed_lines": F.col(held) if "removed_lines" in docs.columns else None, "n_chars": shorter.cast("long")}
+    return cleaned.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
