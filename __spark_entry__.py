@@ -409,7 +409,7 @@ def sheet_store(spark: SparkSession, folder: str) -> DataFrame:
         ("a", 0, day < "1994-01-01"), ("b", 0, day.between("1994-01-01", "1995-12-31")),
         ("b", 0, day < "1993-01-01"), ("a", 1, day >= "1996-01-01"),
     ]:
-        SS.upsert_sheets(sheets.filter(chosen), records, home, batch, writer=writer)
+        SS.upsert_sheets(sheets.filter(chosen), records, home, batch, writer=writer, buckets=4)
     held = SS.read_records(spark, home).select("_id")
     return SS.read_sheets(spark, home).join(held, "_id").select("_id", "sheet_name", F.col("metadata.header").cast("long").alias("o_orderkey"))
 
@@ -435,7 +435,7 @@ def ingest_ledger(spark: SparkSession, folder: str) -> DataFrame:
         )
         held = content.groupBy("file_path").agg(F.max(F.struct("at", "row")).alias("last"), F.count(F.lit(1)).alias("n"))
         sheets = _sheets_of(held.withColumn("sheet_name", F.col("file_path")), F.col("last.row"))
-        SS.upsert_sheets(sheets, content.drop("at"), f"{home}/store", batch)
+        SS.upsert_sheets(sheets, content.drop("at"), f"{home}/store", batch, buckets=2)
         files.write.mode("overwrite").parquet(f"{home}/applied/batch={batch}")
         if batch > 0 and "second" in dies:
             dies.clear()
@@ -444,7 +444,7 @@ def ingest_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
     for until in ("1997-01-01", "1999-01-01", "9999-01-01"):
         try:
-            ledger.take_up(spark, f"{home}/ledger", lambda: listing(until), apply)  # noqa: B023
+            ledger.take_up(spark, f"{home}/ledger", lambda: listing(until), apply, buckets=2)  # noqa: B023
         except _CutOff:
             pass
     entered = ledger.processed(spark, f"{home}/ledger").select("path", F.unix_seconds("modificationTime").alias("modified"))

@@ -67,12 +67,12 @@ def _settle(spark: SparkSession, ledger: str) -> None:
 
 def take_up(
     spark: SparkSession, ledger: str, listing: Callable[[], DataFrame], apply: Callable[[DataFrame, int], DataFrame],
-    per_batch: int = FILES_PER_BATCH,
+    per_batch: int = FILES_PER_BATCH, buckets: int | None = None,
 ) -> list[int]:
     """Apply the batches left over from a run cut off, then those of a new listing. Gives the numbers of the batches that took a file.
 
     ``listing()``: ``path, modificationTime``. ``apply(files, batch)`` takes up the files of a list and gives the ``path`` of those it could
-    take; the others are listed again by the next run.
+    take; the others are listed again by the next run. ``buckets``: hash folders of the log, the same for its life.
     """
     took = []
     for replay in (True, False):
@@ -82,7 +82,7 @@ def take_up(
             files = spark.read.schema(FILES).parquet(folder)
             # Entered with the time of the list: a file rewritten since then differs from it and is listed again.
             entered = files.join(apply(files, n).select("path").distinct(), "path", "left_semi").withColumn("batch", F.lit(n).cast("long"))
-            keyed_table.replace(entered, f"{ledger}/processed", ["path"])
+            keyed_table.replace(entered, f"{ledger}/processed", ["path"], buckets)
             if not processed(spark, ledger).filter(F.col("batch") == n).isEmpty():
                 took.append(n)
             spark.range(1).write.mode("overwrite").parquet(f"{ledger}/done/batch={n}")

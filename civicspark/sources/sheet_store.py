@@ -23,14 +23,15 @@ _RECORDS = "_id string, batch string, row bigint, record map<string,string>"
 
 
 def upsert_sheets(
-    sheets: DataFrame, records: DataFrame, path: str, batch_id: int, key: Sequence[str] = ("sheet_name",), writer: str = "main"
+    sheets: DataFrame, records: DataFrame, path: str, batch_id: int, key: Sequence[str] = ("sheet_name",), writer: str = "main",
+    buckets: int | None = None,
 ) -> None:
     """Replace the documents of ``sheets`` and their ``records`` in the store at ``path``.
 
     ``sheets``: ``file_path, sheet_index, sheet_name, metadata, records`` (a count; null if the document has none) and
     optionally ``modified``. Documents lacking metadata or records are skipped. Of several documents with one key in a
     batch the last by ``modified``, file and sheet wins, and a batch wins over those before it. ``writer`` numbers its batches
-    upwards and alone; a batch that it has finished is left as it is, one that was cut off is written again.
+    upwards and alone; a batch that it has finished is left as it is, one that was cut off is written again. ``buckets``, the hash folders, stay the same for the life of a store.
     """
     spark = sheets.sparkSession
     marks = f"{path}/finished/{writer}"
@@ -41,9 +42,9 @@ def upsert_sheets(
     keyed = S.well_formed(ordered).withColumn("_id", S.sheet_key(key))
     newest = S.latest_per_key(keyed, ["_id"], ["modified", "file_path", "sheet_index"]).withColumn("batch", F.lit(f"{writer}/{batch_id}"))
     rows = records.join(newest.select("_id", "batch", "file_path", "sheet_index"), ["file_path", "sheet_index"])
-    keyed_table.replace(rows.select("_id", "batch", "row", "record"), f"{path}/records", ["_id"])
+    keyed_table.replace(rows.select("_id", "batch", "row", "record"), f"{path}/records", ["_id"], buckets)
     keyed_table.replace(
-        newest.select("_id", "file_path", "sheet_index", "sheet_name", "metadata", "records", "batch"), f"{path}/sheets", ["_id"]
+        newest.select("_id", "file_path", "sheet_index", "sheet_name", "metadata", "records", "batch"), f"{path}/sheets", ["_id"], buckets
     )
     spark.range(1).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
     for n in finished:
