@@ -77,6 +77,8 @@ def start_watch_stable(
 
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A stream's watermark begins at 1970; event times are moved on by this many microseconds, so that none comes before it.
+_SHIFT = 10**17
 _GATED = "path string, at bigint, tie bigint, sha256 string"
 _LOOK = "array<struct<at: bigint, tie: bigint, sha256: string>>"
 
@@ -97,7 +99,7 @@ class _InOrder(StatefulProcessor):
 
     def _at(self, at: int) -> int:
         """The millisecond whose watermark has passed a time in microseconds."""
-        return -(-at // 1000)
+        return -(-(at + _SHIFT) // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         for row in rows:
@@ -144,7 +146,7 @@ class _Cooldown(_InOrder):
         return True
 
     def ended(self, ms: int) -> None:
-        if self.last.exists() and ms * 1000 >= self.last.get()[0] + self.step:
+        if self.last.exists() and ms * 1000 >= self.last.get()[0] + self.step + _SHIFT:
             self.last.clear()
 
 
@@ -164,7 +166,7 @@ class _Stable(_InOrder):
         return last is not None and last[1] == sha256
 
     def ended(self, ms: int) -> None:
-        if self.step and self.last.exists() and ms * 1000 >= self.last.get()[0] + self.step:
+        if self.step and self.last.exists() and ms * 1000 >= self.last.get()[0] + self.step + _SHIFT:
             self.last.clear()
 
 
@@ -193,7 +195,7 @@ def _gated(observations: DataFrame, gate: _InOrder, late: str, tie: str | None)
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the only store with timers
     ts = F.col("ts").cast("timestamp")
     rows = observations.select(
-        "path", ts.alias("ts"), F.unix_micros(ts).alias("at"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"), "sha256"
+        "path", F.timestamp_micros(F.unix_micros(ts) + _SHIFT).alias("ts"), F.unix_micros(ts).alias("at"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"), "sha256"
     ).filter("ts IS NOT NULL")
     passed = rows.withWatermark("ts", late).groupBy("path").transformWithState(gate, _GATED, "Append", "EventTime")
     return passed.select("path", F.timestamp_micros("at").alias("ts"), *([F.col("tie").alias(tie)] if tie else []), "sha256")
