@@ -8,8 +8,10 @@ for instance those appended by ``plans.workbooks.observe_files``.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -80,52 +82,134 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 #: A stream's watermark begins at 1970; event times are moved on by this many microseconds, so that none comes before it.
 _SHIFT = 10**17
 _GATED = "path string, at bigint, tie bigint, sha256 string"
-_LOOK = "array<struct<at: bigint, tie: bigint, sha256: string>>"
+#: Paths are dealt over so many groups; the state is kept by group, the same number for the life of a checkpoint.
+PATH_GROUPS = 4096
+#: Looks that one value of the state holds; a span of time with more is cut into ``1 << _CUT`` parts, down to a millisecond.
+LOOKS_PER_SPAN = 512
+_CUT = 5
+_WHOLE = 50  # milliseconds of all time
 
 
 class _InOrder(StatefulProcessor):
-    """Looks at a path in the order of their times, in whatever order they come.
+    """Looks at the paths of a group in the order of their times, in whatever order they come.
 
-    A look waits in the state until the watermark has passed it; a timer at its time takes it out again, and timers go off in
-    order. Rows are handled one by one and kept in the state store, so a busy path needs no memory of a task.
+    Looks wait in the state until the watermark has passed them; a timer at the time of the first one takes out all that it has
+    passed, in order. Those waiting in a span of time are one value, so that the state store is called for some hundred looks
+    at once, however few a path has. A group with many is cut into spans, of which a task holds one at a time; so a busy path
+    needs no memory of a task. Of each path that has looks passed, a task holds the state while it handles the group.
     """
 
     LAST = "at bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms bigint", f"looks {_LOOK}")
-        self.last = handle.getValueState("last", self.LAST)
+        # ``looks``: JSON of ``[at, tie, sha256, path, is the end of a state]``; ``parts``: numbers of the spans of the next size
+        # that hold the looks. A span has looks or parts.
+        self.waiting = handle.getMapState("waiting", "shift int, number bigint", "looks string, parts array<bigint>")
+        self.last = handle.getMapState("last", "named boolean, path string", self.LAST)
 
     def _at(self, at: int) -> int:
         """The millisecond whose watermark has passed a time in microseconds."""
         return -(-(at + _SHIFT) // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        for row in rows:
-            ms = self._at(row.at)
-            held = self.waiting.getValue((ms,))
-            looks = [tuple(look) for look in held[0]] if held else []
-            self.waiting.updateValue((ms,), ([*looks, (row.at, row.tie, row.sha256)],))
-            self.handle.registerTimer(ms - 1)  # goes off when the watermark is later
+        while looks := [[row.at, row.tie, row.sha256, row.path, False] for row in islice(rows, 16 * LOOKS_PER_SPAN)]:
+            self._wait(looks)
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        ms = expiredTimerInfo.getExpiryTimeInMs() + 1
-        held = self.waiting.getValue((ms,))
+    def _wait(self, looks: list[list]) -> None:
+        self._put(_WHOLE, 0, looks)
+        self.handle.registerTimer(self._at(min(look[0] for look in looks)) - 1)  # goes off when the watermark is later
+
+    def _put(self, shift: int, number: int, looks: list[list]) -> None:
+        """Add looks to a span, or to its parts if they are too many for it."""
+        held = self.waiting.getValue((shift, number))
+        parts = list(held[1] or ()) if held else []
+        if held and not parts:
+            looks = [*json.loads(held[0]), *looks]
+        if not parts and (len(looks) <= LOOKS_PER_SPAN or not shift):
+            self.waiting.updateValue((shift, number), (json.dumps(looks), None))
+            return
+        by_part: dict[int, list[list]] = {}
+        for look in looks:
+            by_part.setdefault(self._at(look[0]) >> (shift - _CUT), []).append(look)
+        if new := by_part.keys() - set(parts):
+            self.waiting.updateValue((shift, number), (None, sorted(new.union(parts))))
+        for part, some in by_part.items():
+            self._put(shift - _CUT, part, some)
+
+    def _take(self, shift: int, number: int, passed: int, rest: list[int]) -> Iterator[list]:
+        """Take out the looks that a watermark has passed, in order; ``rest`` gets the time of the first one left."""
+        held = self.waiting.getValue((shift, number))
         if held is None:
-            self.ended(ms)
             return
-        self.waiting.removeKey((ms,))
-        for at, tie, sha256 in sorted(held[0], key=lambda look: (look[0], look[1] or 0, look[2] or "")):
-            if self.passes(at, sha256):
-                yield Row(path=key[0], at=at, tie=tie, sha256=sha256)
+        if not held[1]:
+            looks = sorted(json.loads(held[0]), key=lambda look: (look[0], look[4], look[1] or 0, look[2] or ""))
+            due = sum(self._at(look[0]) <= passed for look in looks)
+            if due == len(looks):
+                self.waiting.removeKey((shift, number))
+            else:
+                rest.append(self._at(looks[due][0]))
+                if due:
+                    self.waiting.updateValue((shift, number), (json.dumps(looks[due:]), None))
+            yield from looks[:due]
+            return
+        parts = list(held[1])
+        for k, part in enumerate(parts):
+            yield from self._take(shift - _CUT, part, passed, rest)
+            if rest:
+                if k:
+                    self.waiting.updateValue((shift, number), (None, parts[k:]))
+                return
+        self.waiting.removeKey((shift, number))
 
-    def passes(self, at: int, sha256: str) -> bool:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        passed, rest = timerValues.getCurrentWatermarkInMs(), []
+        before: dict[str | None, tuple | None] = {}
+        now: dict[str | None, tuple | None] = {}
+        over: set[str | None] = set()  # paths whose end of a state has come
+        for at, tie, sha256, path, end in self._take(_WHOLE, 0, passed, rest):
+            if path not in now:
+                held = self.last.getValue((path is not None, path or ""))
+                before[path] = now[path] = tuple(held) if held else None
+            last = now[path]
+            until = None if last is None else self.ends(last[0])
+            if end:
+                over.add(path)
+            if until is not None and at > until:
+                last = None
+            if end:
+                now[path] = last
+                continue
+            accepted, now[path] = self.passes(last, at, sha256)
+            if accepted:
+                yield Row(path=path, at=at, tie=tie, sha256=sha256)
+        if rest:
+            self.handle.registerTimer(rest[0] - 1)
+        ends = []
+        for path, last in now.items():
+            until = None if last is None else self.ends(last[0])
+            if until is not None and self._at(until) <= passed:
+                last = None
+            place = (path is not None, path or "")
+            if last is None and before[path] is not None:
+                self.last.removeKey(place)
+            elif last != before[path]:
+                self.last.updateValue(place, last)
+            # A path with a state that ends has one end waiting; if the state went on meanwhile, it waits anew.
+            waits = before[path] is not None and path not in over
+            if last is not None and until is not None and not waits:
+                ends.append([until, None, None, path, True])
+        if ends:
+            self._wait(ends)
+
+    def passes(self, last: tuple | None, at: int, sha256: str) -> tuple[bool, tuple]:
+        """Whether a look passes, and the state after it."""
         raise NotImplementedError
 
-    def ended(self, ms: int) -> None:
-        """Nothing has come for the time of a timer."""
+    def ends(self, at: int) -> int | None:
+        """The time after which a state made at ``at`` no longer counts."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
@@ -137,17 +221,13 @@ class _Cooldown(_InOrder):
     def __init__(self, seconds: int):
         self.step = seconds * 1_000_000
 
-    def passes(self, at: int, sha256: str) -> bool:
-        last = self.last.get() if self.last.exists() else None
+    def passes(self, last: tuple | None, at: int, sha256: str) -> tuple[bool, tuple]:
         if last is not None and at - last[0] < self.step:
-            return False
-        self.last.update((at,))
-        self.handle.registerTimer(self._at(at + self.step) - 1)
-        return True
+            return False, last
+        return True, (at,)
 
-    def ended(self, ms: int) -> None:
-        if self.last.exists() and ms * 1000 >= self.last.get()[0] + self.step + _SHIFT:
-            self.last.clear()
+    def ends(self, at: int) -> int:
+        return at + self.step
 
 
 class _Stable(_InOrder):
@@ -158,16 +238,11 @@ class _Stable(_InOrder):
     def __init__(self, forget: int | None):
         self.step = forget and forget * 1_000_000
 
-    def passes(self, at: int, sha256: str) -> bool:
-        last = self.last.get() if self.last.exists() else None
-        self.last.update((at, sha256))
-        if self.step:
-            self.handle.registerTimer(self._at(at + self.step) - 1)
-        return last is not None and last[1] == sha256
+    def passes(self, last: tuple | None, at: int, sha256: str) -> tuple[bool, tuple]:
+        return last is not None and last[1] == sha256, (at, sha256)
 
-    def ended(self, ms: int) -> None:
-        if self.step and self.last.exists() and ms * 1000 >= self.last.get()[0] + self.step + _SHIFT:
-            self.last.clear()
+    def ends(self, at: int) -> int | None:
+        return at + self.step if self.step else None
 
 
 def stream_cooldown(
@@ -196,6 +271,6 @@ def _gated(observations: DataFrame, gate: _InOrder, late: str, tie: str | None)
     ts = F.col("ts").cast("timestamp")
     rows = observations.select(
         "path", F.timestamp_micros(F.unix_micros(ts) + _SHIFT).alias("ts"), F.unix_micros(ts).alias("at"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"), "sha256"
-    ).filter("ts IS NOT NULL")
-    passed = rows.withWatermark("ts", late).groupBy("path").transformWithState(gate, _GATED, "Append", "EventTime")
+    ).filter("ts IS NOT NULL").withColumn("paths", F.pmod(F.xxhash64("path"), F.lit(PATH_GROUPS)))
+    passed = rows.withWatermark("ts", late).groupBy("paths").transformWithState(gate, _GATED, "Append", "EventTime")
     return passed.select("path", F.timestamp_micros("at").alias("ts"), *([F.col("tie").alias(tie)] if tie else []), "sha256")
