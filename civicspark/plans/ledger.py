@@ -22,7 +22,7 @@ from civicspark import storage
 from civicspark.operators.files import changed_files
 from civicspark.sources import keyed_table
 
-#: Files of a batch, about: their paths pass through the driver when a batch is read.
+#: Files of a batch, about, where their paths pass through the driver when a batch is read, as those of workbooks do.
 FILES_PER_BATCH = 20_000
 FILES = "path string, modificationTime timestamp"
 _PROCESSED = FILES + ", batch long"
@@ -40,8 +40,11 @@ def waiting(spark: SparkSession, ledger: str) -> list[tuple[int, str]]:
     return [(n, f"{home}/batch={n}") for home in lists for n in storage.folders(spark, home, "batch") if n not in done]
 
 
-def freeze(files: DataFrame, ledger: str, per_batch: int = FILES_PER_BATCH) -> None:
-    """Write the lists of the next batches: the ``files`` that are new or were modified since they were taken up."""
+def freeze(files: DataFrame, ledger: str, per_batch: int | None = FILES_PER_BATCH) -> None:
+    """Write the lists of the next batches: the ``files`` that are new or were modified since they were taken up.
+
+    Without ``per_batch`` all of them are one batch.
+    """
     spark = files.sparkSession
     changed = changed_files(files.select("path", "modificationTime"), processed(spark, ledger))
     staged = f"{ledger}/changed"
@@ -52,7 +55,7 @@ def freeze(files: DataFrame, ledger: str, per_batch: int = FILES_PER_BATCH) -> N
         return
     done = storage.versions(spark, f"{ledger}/done", "batch")
     first = done[-1] + 1 if done else 0
-    parts = -(-count // per_batch)
+    parts = -(-count // per_batch) if per_batch else 1
     number = F.pmod(F.xxhash64("path"), F.lit(parts)) + first
     found.withColumn("batch", number).write.mode("overwrite").partitionBy("batch").parquet(f"{ledger}/intents/from={first}")
 
@@ -67,12 +70,14 @@ def _settle(spark: SparkSession, ledger: str) -> None:
 
 def take_up(
     spark: SparkSession, ledger: str, listing: Callable[[], DataFrame], apply: Callable[[DataFrame, int], DataFrame],
-    per_batch: int = FILES_PER_BATCH, buckets: int | None = None,
+    per_batch: int | None = FILES_PER_BATCH, buckets: int | None = None,
 ) -> list[int]:
     """Apply the batches left over from a run cut off, then those of a new listing. Gives the numbers of the batches that took a file.
 
     ``listing()``: ``path, modificationTime``. ``apply(files, batch)`` takes up the files of a list and gives the ``path`` of those it could
     take; the others are listed again by the next run. ``buckets``: hash folders of the log, the same for its life.
+    ``per_batch``: None if ``apply`` reads a list as a table. A batch rewrites the folders of its keys, so many batches of one listing
+    cost that many times the log and the store.
     """
     took = []
     for replay in (True, False):

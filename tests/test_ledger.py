@@ -119,3 +119,37 @@ def test_only_touched_folders_are_rewritten(spark, tmp_path):
     after = set(path.glob("bucket=*/*.parquet"))
     assert {p.parent for p in before if p not in after} == {p.parent for p in after - set(before)} and len({p.parent for p in after - set(before)}) == 1
     assert keyed_table.read(spark, str(path), "k int, v string").filter("v = 'y'").count() == 1
+
+
+def test_a_listing_read_as_a_table_is_one_batch(spark, tmp_path):
+    home, seen = str(tmp_path / "ledger"), []
+
+    def apply(some, batch):
+        seen.append((batch, some.count()))
+        return some
+
+    many = G.FILES_PER_BATCH + 1
+    files = spark.range(many).select(F.concat(F.lit("f"), "id").alias("path"), F.timestamp_seconds("id").alias("modificationTime"))
+    assert G.take_up(spark, home, lambda: files, apply, per_batch=None) == [0] and seen == [(0, many)]
+
+
+def test_each_listing_of_the_query_is_one_batch(spark, tmp_path, monkeypatch):
+    """Also of more files than pass through the driver at once; the run that dies is that of the second listing."""
+    import __spark_entry__ as entry
+
+    orders = spark.range(5 * G.FILES_PER_BATCH // 2).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority"),
+        F.lit(1.5).alias("o_totalprice"),
+        F.expr("CAST(make_date(1996 + CAST(id % 2 AS INT) * 2, 1, 1) AS timestamp_ntz)").alias("o_orderdate"),
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    frozen, freeze = [], G.freeze
+
+    def noted(files, ledger, *given):
+        freeze(files, ledger, *given)
+        frozen.append([n for n, _ in G.waiting(spark, ledger)])
+
+    monkeypatch.setattr(G, "freeze", noted)
+    found = entry.queries()["ingest_ledger"](spark, str(tmp_path))
+    assert found.count() == orders.count() and found.filter("applied <> 1 OR n_records <> 1").isEmpty()
+    assert frozen == [[0], [1], []]
