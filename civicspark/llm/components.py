@@ -1,8 +1,8 @@
 """Connected components of a graph given as edges.
 
 Every round has two halves. Each task contracts the edges it holds to a forest, at most ``TASK_EDGES`` at a time; then a large-star and a
-small-star step over all edges link the forests of the tasks. The rounds end when neither half changes anything. A small
-graph, whose edges Spark brings together in one task, takes one round; nothing is decided by the size of the graph.
+small-star step over all edges link the forests of the tasks. The rounds end when neither half changes anything. There are as
+many tasks as the edges need, however many partitions they lie in, so a graph that one task can hold takes one round.
 """
 
 from __future__ import annotations
@@ -79,7 +79,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
     while True:
-        forest = written(edges.repartition("a", "b").mapInPandas(_forest, "a long, b long"), "forest")
+        tasks = max(1, -(-edges.count() // TASK_EDGES))  # few edges dealt over many tasks would hardly be contracted
+        forest = written(edges.coalesce(tasks).mapInPandas(_forest, "a long, b long"), "forest")
         large = _star(forest, True)
         stars = _star(large, False)
         settled = _sign(forest) == _sign(stars)

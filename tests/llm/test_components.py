@@ -26,3 +26,18 @@ def test_components_equal_a_walk(spark, part, monkeypatch):
             expected[k] = min(reached)
     assert {r.node: r.root for r in components(frame).collect()} == expected
     assert components(frame.limit(0)).count() == 0
+
+
+def test_a_graph_in_many_partitions_takes_one_round(spark, monkeypatch):
+    steps, star = [], C._star
+    monkeypatch.setattr(C, "_star", lambda edges, large: steps.append(large) or star(edges, large))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 20)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        found = C.components(spark.range(400).selectExpr("id AS a", "id + 1 AS b")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 400 and {r.root for r in found} == {0}
+    assert steps == [True, False]
