@@ -19,6 +19,8 @@ _HIDDEN = r"(?is)<(?:!--.*?--|script\b.*?</script\s*|style\b.*?</style\s*)>"
 # A numbered reference, or up to 32 characters that may begin with a name, or text between references.
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _TOKENS = rf"(?s){_REFERENCE}|[^&]+|&"
+# The names that need no semicolon, longest first.
+_BEGUN = f"^&({'|'.join(sorted((n for n in html5 if not n.endswith(';')), key=len, reverse=True))})"
 
 
 def _names() -> Column:
@@ -60,18 +62,13 @@ def _numbered(token: Column) -> Column:
 
 def _named(token: Column) -> Column:
     """Text of ``&name``: of the whole name, else of the longest name that it begins with."""
-    names = _names()
-
-    def found(name: Column) -> Column:
-        lengths = F.filter(
-            F.sequence(F.length(name) - 1, F.lit(2), F.lit(-1)), lambda n: F.map_contains_key(names, F.substr(name, F.lit(1), n))
-        )
-        part = let(F.get(lengths, F.lit(0)), lambda n: F.concat(
-            F.try_element_at(names, F.substr(name, F.lit(1), n)), F.substr(name, n + 1)
-        ))
-        return F.coalesce(F.try_element_at(names, name), F.when(F.length(name) > 2, part))
-
-    return F.coalesce(let(F.substr(token, F.lit(2)), found), token)
+    names, name = _names(), F.substr(token, F.lit(2))
+    # A map is searched entry by entry, so it is asked for names only.
+    whole = F.when(name.rlike(r"^[A-Za-z][A-Za-z0-9]*+;?\z"), F.try_element_at(names, name))
+    begun = let(F.regexp_extract(token, _BEGUN, 1), lambda start: F.when(
+        start != "", F.concat(F.try_element_at(names, start), F.substr(token, F.length(start) + 2))
+    ))
+    return F.when(token == "&amp;", "&").otherwise(F.coalesce(whole, begun, token))
 
 
 def decode_references(text: Column) -> Column:
@@ -86,7 +83,8 @@ def decode_references(text: Column) -> Column:
 
 def hrefs(html: Column) -> Column:
     """``href`` values of all anchors outside comments, scripts and styles, in page order."""
-    visible = F.regexp_replace(html, _HIDDEN, "")
+    hides = html.contains("<!--") | html.contains("<s") | html.contains("<S")
+    visible = F.when(hides, F.regexp_replace(html, _HIDDEN, "")).otherwise(html)
     return F.transform(F.regexp_extract_all(visible, F.lit(_ANCHOR_HREF), F.lit(1)), _href_value)
 
 

@@ -62,7 +62,9 @@ _EMPTY_PARAMS = (
     rf"(?s)^(?!(?!{_one_of(SCHEMES_WITH_PARAMS)}){_SCHEME})((?:{_SCHEME})?+(?://[^/]*+)?+(?:.*/)?[^/;]*);$"
 )
 _IDLE_AUTHORITY = rf"^((?!{_one_of(SCHEMES_WITH_NETLOC)}){_SCHEME})?//(?=/(?!/)|$)"
-_PLAIN_PATH = r"^/(?!/)[^?#;\t\r\n]*\z"
+# References without scheme, host, params and blanks to clean, whose query and fragment are not empty if they are there.
+_PLAIN = rf"^(?!{_SCHEME}|//|[\x00-\x20])[^?#;\t\r\n]*+(?:\?[^#\t\r\n]++)?+(?:#[^\t\r\n]++)?+\z"
+_PLAIN_HOSTED = r"^(?:https?:)?//[^/?#;\t\r\n]++(?:/[^?#;\t\r\n]*+)?+(?:\?[^#\t\r\n]++)?+(?:#[^\t\r\n]++)?+\z"
 _MISSING_AUTHORITY = rf"^({_one_of(SCHEMES_WITH_NETLOC)})(?=/(?!/)|$)"
 
 
@@ -76,7 +78,7 @@ def _lit(value: str) -> Column:
 
 def _clean(url: Column) -> Column:
     """``url`` without leading blanks and without tabs and line breaks."""
-    return F.ltrim(F.translate(url, "\t\r\n", ""), _lit(_BLANKS))
+    return F.when(url.rlike(r"^[\x00-\x20]|[\t\r\n]"), F.ltrim(F.translate(url, "\t\r\n", ""), _lit(_BLANKS))).otherwise(url)
 
 
 @dataclass(frozen=True)
@@ -158,15 +160,28 @@ def normalize_url(url: Column, decode: bool = True) -> Column:
 
     ``decode=False`` leaves percent escapes alone.
     """
-    text = _clean(percent_decode(url) if decode else url)
-    local = F.substring_index(text, "#", 1)
+    local = F.substring_index(_clean(percent_decode(url) if decode else url), "#", 1)
     start = F.substring_index(local, "?", 1)
-    query = F.substr(local, F.length(start) + 2)
-    head = F.regexp_replace(start, _EMPTY_PARAMS, "$1")
-    head = F.regexp_replace(head, _IDLE_AUTHORITY, "$1")
-    head = F.regexp_replace(head, _MISSING_AUTHORITY, "$1//")
-    ordered = F.array_join(F.sort_array(F.split(query, "&")), "&")
-    marked = F.regexp_replace(F.concat(_lit("?"), ordered), r"^\?$", "")
+    return _canonical(start, F.substr(local, F.length(start) + 2))
+
+
+def _normalized_once(url: Column) -> Column:
+    """:func:`normalize_url` for use in a lambda, where nothing else keeps a part from being worked out again."""
+    return let(let(percent_decode(url), lambda text: F.substring_index(_clean(text), "#", 1)), lambda local: let(
+        F.substring_index(local, "?", 1), lambda start: let(F.substr(local, F.length(start) + 2), lambda query: _canonical(start, query))
+    ))
+
+
+def _canonical(start: Column, query: Column) -> Column:
+    """Canonical text of a URL up to its query, and the query."""
+    # Most texts need none of the corrections; a test for one costs less than the correction.
+    head = F.when(start.contains(";"), F.regexp_replace(start, _EMPTY_PARAMS, "$1")).otherwise(start)
+    hosted = start.startswith("http://") | start.startswith("https://")
+    head = F.when(hosted, head).otherwise(
+        F.regexp_replace(F.regexp_replace(head, _IDLE_AUTHORITY, "$1"), _MISSING_AUTHORITY, "$1//")
+    )
+    ordered = F.when(query.contains("&"), F.array_join(F.sort_array(F.split(query, "&")), "&")).otherwise(query)
+    marked = F.when(query == "", "").otherwise(F.regexp_replace(F.concat(_lit("?"), ordered), r"^\?$", ""))
     return F.lower(F.rtrim(F.concat(head, marked), _lit("/")))
 
 
@@ -180,16 +195,24 @@ def _resolve_dots(path: Column) -> Column:
         .otherwise(F.array_append(done, segment)),
     )
     closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, _lit(""))).otherwise(kept)
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(closed, "/")).otherwise(path)
+    dotted = (path.contains("./") | path.rlike(r"\.$")) & path.rlike(r"(^|/)\.\.?(/|$)")
+    return F.when(dotted, F.array_join(closed, "/")).otherwise(path)
+
+
+def _merged(base_path: Column, path: Column) -> Column:
+    """``path`` in the folder of ``base_path``."""
+    folder = F.when(base_path == "", _lit("/")).otherwise(
+        F.substr(base_path, F.lit(1), F.length(base_path) - F.length(basename(base_path)))
+    )
+    whole = F.concat(folder, path)
+    return F.when(whole.contains("//"), F.regexp_replace(whole, "/+", "/")).otherwise(whole)
 
 
 def _resolve(base: UrlParts, href: UrlParts, raw_href: Column) -> Column:
     scheme = F.when(href.scheme == "", base.scheme).otherwise(href.scheme)
     networked = _is_one_of(scheme, SCHEMES_WITH_NETLOC)
     netloc = F.when(networked, base.netloc).otherwise(href.netloc)
-    folder = F.when(base.path == "", _lit("/")).otherwise(F.regexp_replace(base.path, r"[^/]*$", ""))
-    merged = F.regexp_replace(F.concat(folder, href.path), "/+", "/")
-    unwalked = F.when(href.path.startswith("/"), href.path).otherwise(merged)
+    unwalked = F.when(href.path.startswith("/"), href.path).otherwise(_merged(base.path, href.path))
 
     absolute = UrlParts(scheme, href.netloc, href.path, href.params, href.query, href.fragment)
     query = F.when(href.query == "", base.query).otherwise(href.query)
@@ -203,16 +226,39 @@ def _resolve(base: UrlParts, href: UrlParts, raw_href: Column) -> Column:
         F.when((scheme != base.scheme) | ~_is_one_of(scheme, SCHEMES_RELATIVE), raw_href)
         .when((href.netloc != "") & networked, unsplit_url(absolute))
         .when((href.path == "") & (href.params == ""), unsplit_url(same_document))
-        .otherwise(let(_resolve_dots(unwalked), relative))
+        .otherwise(let(let(unwalked, _resolve_dots), relative))
     )
 
 
 def _join(base: Column, base_parts: Column, href: Column) -> Column:
     joined = let(split_url(href).as_struct(), lambda h: _resolve(parts_of(base_parts), parts_of(h), href))
-    # Most links are plain paths from the root of their site; they need no splitting.
-    rooted = href.rlike(_PLAIN_PATH) & ~href.contains("/.") & (base_parts["netloc"] != "") & base_parts["scheme"].isin("http", "https")
-    site = F.concat(base_parts["scheme"], _lit("://"), base_parts["netloc"])
-    return F.when(base == "", href).when(href == "", base).when(rooted, F.concat(site, href)).otherwise(joined)
+    # Most links are plain references on a web site; they need no splitting.
+    on_web = base_parts["scheme"].isin("http", "https") & (base_parts["netloc"] != "")
+    hosted = F.when(href.startswith("//"), F.concat(base_parts["scheme"], _lit(":"), href)).otherwise(href)
+    plain = (
+        F.when(base == "", href).when(href == "", base).when(~on_web, None)
+        .when(href.rlike(_PLAIN), _join_plain(parts_of(base_parts), href)).when(href.rlike(_PLAIN_HOSTED), hosted)
+    )
+    return F.coalesce(plain, joined)
+
+
+def _join_plain(base: UrlParts, href: Column) -> Column:
+    """:func:`_resolve` for a reference that is ``_PLAIN``, on a page with a host."""
+    site = F.concat(base.scheme, _lit("://"), base.netloc)
+    page = F.concat(site, base.path, F.when(base.params == "", "").otherwise(F.concat(_lit(";"), base.params)))
+    asked = F.concat(page, F.when(base.query == "", "").otherwise(F.concat(_lit("?"), base.query)))
+
+    def from_path(path: Column) -> Column:
+        rooted = lambda walked: F.concat(
+            site, F.when(walked.startswith("/"), "").otherwise("/"), walked, F.substr(href, F.length(path) + 1)
+        )
+        unwalked = F.when(path.startswith("/"), path).otherwise(_merged(base.path, path))
+        return let(let(unwalked, _resolve_dots), rooted)
+
+    return (
+        F.when(href.startswith("?"), F.concat(page, href)).when(href.startswith("#"), F.concat(asked, href))
+        .otherwise(let(F.substring_index(F.substring_index(href, "#", 1), "?", 1), from_path))
+    )
 
 
 def url_join(base: Column, href: Column) -> Column:
@@ -220,20 +266,21 @@ def url_join(base: Column, href: Column) -> Column:
     return let(split_url(base).as_struct(), lambda b: _join(base, b, href))
 
 
-def resolve_links(base: Column, hrefs: Column) -> Column:
+def resolve_links(base: Column, hrefs: Column, parts: Column | None = None) -> Column:
     """``array<struct<href, absolute, url>>``: the references ``hrefs`` of a page made absolute and canonical.
 
     Meant for ``inline``: the page address is split once, and a filter on the
-    result is not pushed into the computation, which would repeat it.
+    result is not pushed into the computation, which would repeat it. ``parts`` is
+    ``split_url(base).as_struct()`` where a page's references come in many rows.
     """
 
     def link(href: Column, absolute: Column) -> Column:
-        return F.struct(href.alias("href"), absolute.alias("absolute"), normalize_url(absolute).alias("url"))
+        return F.struct(href.alias("href"), absolute.alias("absolute"), _normalized_once(absolute).alias("url"))
 
-    return let(
-        split_url(base).as_struct(),
-        lambda b: F.transform(hrefs, lambda h: let(_join(base, b, h), lambda a: link(h, a))),
-    )
+    def of_page(b: Column) -> Column:
+        return F.transform(hrefs, lambda h: let(_join(base, b, h), lambda a: link(h, a)))
+
+    return let(split_url(base).as_struct(), of_page) if parts is None else of_page(parts)
 
 
 def url_hash(url: Column) -> Column:

@@ -27,10 +27,10 @@ def page_hrefs(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
     return pages.select(*keep, F.explode(F.array_distinct(H.hrefs(F.col("html")))).alias("href"))
 
 
-def absolute_links(hrefs: DataFrame, base: str = "base_url") -> DataFrame:
-    """Add ``absolute`` and its canonical ``url`` to references found on the page ``base``."""
-    kept = [c for c in hrefs.columns if c != "href"]
-    return hrefs.select(*kept, F.inline(U.resolve_links(F.col(base), F.array("href"))))
+def absolute_links(hrefs: DataFrame, base: str = "base_url", parts: str | None = None) -> DataFrame:
+    """Add ``absolute`` and its canonical ``url`` to references found on the page ``base``; ``parts`` names a column with its parts."""
+    kept = [c for c in hrefs.columns if c not in ("href", parts)]
+    return hrefs.select(*kept, F.inline(U.resolve_links(F.col(base), F.array("href"), parts and F.col(parts))))
 
 
 def extract_links(pages: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:

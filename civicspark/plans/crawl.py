@@ -104,8 +104,9 @@ def crawl(
         # page that very many others link to arrives once per task.
         links = (
             L.absolute_links(
-                latest.select("part", "page_hash", F.col("url").alias("base_url"))
-                .join(of_parts(anchors, "part", parts), ["part", "page_hash"]).drop("part")
+                latest.select("part", "page_hash", F.col("url").alias("base_url"), U.split_url(F.col("url")).as_struct().alias("base_parts"))
+                .join(of_parts(anchors, "part", parts), ["part", "page_hash"]).drop("part"),
+                parts="base_parts",
             )
             .withColumn("netloc", U.netloc_of(F.col("url")))
             .join(hosts, "netloc", "left_semi")

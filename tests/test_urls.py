@@ -121,3 +121,18 @@ def test_downloadable_is_a_substring_test(spark):
     assert _one(spark, "https://a.net/x.xlsx?v=1", U.downloadable) is True
     assert _one(spark, "https://a.net/x.zipped", U.downloadable) is True
     assert _one(spark, "https://a.net/x.xls", U.downloadable) is False
+
+
+def test_references_with_the_parts_of_their_page_given(spark):
+    """Of many references of one page, the page is split once, outside of their rows."""
+    from civicspark.operators.links import absolute_links
+
+    refs = ["x", "/x", "../x", "./../x/.", "/a/../x", "?q", "#f", "?q#f", "//h.net/x", "//h.net?q", "http://h.net/y#f", "x;p", "?", "x?#", "//", " x", "mailto:m"]
+    pages = [b for b in BASES if b]
+    rows = spark.createDataFrame([(b, r) for b in pages for r in refs], "base_url string, href string")
+    rows = rows.withColumn("parts", U.split_url(F.col("base_url")).as_struct())
+    found = absolute_links(rows, parts="parts")
+    assert found.columns == ["base_url", "href", "absolute", "url"]
+    for row in found.collect():
+        assert row.absolute == urljoin(row.base_url, row.href), (row.base_url, row.href)
+        assert row.url == _normal(row.absolute)
