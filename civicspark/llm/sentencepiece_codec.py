@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Parts remembered by a Python worker (some 60 MB): the first it meets. The others are encoded anew in each batch.
-REMEMBERED = 150_000
+#: Parts remembered by a Python worker (some 180 MB): the first it meets. The others are encoded anew in each batch.
+REMEMBERED = 600_000
 #: Longer parts have a heap of their own and are not remembered.
 LONGEST = 64
 #: Kinds of pieces in a model file.
@@ -60,8 +60,8 @@ class Codec:
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
         # For arrays: piece of each character, and the piece that each pair of pieces makes.
         size = len(model.pieces)
-        self.char = np.full(0x110000, -1, dtype=np.int64)
-        self.score = np.full(size + 1, -np.inf)
+        self.char = np.full(0x110000, -1, dtype=np.int32)
+        self.score = np.full(size + 1, -np.inf, dtype=np.float32)  # as the model file has them
         pairs = {}
         for piece, k in self.ids.items():
             self.score[k] = self.scores[piece]
@@ -73,8 +73,8 @@ class Codec:
                     pairs[left * size + right] = k
         self.size = size
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int64)
-        self.digits = [str(k) for k in range(size)]
+        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int32)
+        self.digits = [str(k).encode() for k in range(size)]
         self.said = {k: p.replace(SPACE, " ").encode() for p, k in self.ids.items()}
 
     def normalised(self, text: str) -> str:
@@ -121,7 +121,7 @@ class Codec:
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Piece that each pair makes, ``size`` where it makes none."""
-        key = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -1)
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.merged[at], self.size)
 
@@ -138,7 +138,7 @@ class Codec:
             own = lengths[chosen]
             code = np.frombuffer("".join([parts[k] for k in chosen]).encode("utf-32-le"), dtype=np.uint32)
             inside = np.arange(high) < own[:, None]
-            symbols = np.full((len(chosen), high), -1, dtype=np.int64)
+            symbols = np.full((len(chosen), high), -1, dtype=np.int32)
             symbols[inside] = self.char[code]
             whole = ((symbols >= 0) == inside).all(axis=1)
             for k, row, n in self._merge(symbols[whole], own[whole], chosen[whole]):
@@ -161,18 +161,16 @@ class Codec:
                 rows = np.arange(len(symbols))
                 if not len(symbols):
                     return
-            symbols[rows, best] = made
-            moved = np.concatenate([symbols[:, 1:], np.full((len(symbols), 1), -1)], axis=1)
-            symbols = np.where(place <= best[:, None], symbols, moved)
-            moved = np.concatenate([joined[:, 1:], np.full((len(joined), 1), self.size)], axis=1)
-            joined = np.where(place[:-1] < best[:, None], joined, moved)
             lengths = lengths - 1
-            after = np.where(best + 1 < symbols.shape[1], symbols[rows, np.minimum(best + 1, symbols.shape[1] - 1)], -1)
-            inside = best < joined.shape[1]
-            joined[rows[inside], best[inside]] = self._joined(made, after)[inside]
-            inner = best > 0
-            before = symbols[rows[inner], best[inner] - 1]
-            joined[rows[inner], best[inner] - 1] = self._joined(before, made[inner])
+            width = max(int(lengths.max()), 2)  # no row has more symbols left
+            symbols[rows, best] = made
+            symbols = np.where(place[:width] <= best[:, None], symbols[:, :width], _shifted(symbols, width, -1))
+            joined = np.where(place[: width - 1] < best[:, None], joined[:, : width - 1], _shifted(joined, width - 1, self.size))
+            right, left = np.flatnonzero(best < width - 1), np.flatnonzero(best > 0)
+            after, before = symbols[right, best[right] + 1], symbols[left, best[left] - 1]
+            new = self._joined(np.concatenate([made[right], before]), np.concatenate([after, made[left]]))
+            joined[right, best[right]] = new[: len(right)]
+            joined[left, best[left] - 1] = new[len(right) :]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``: pieces on end, runs of byte ids as UTF-8, less the one space put before the text."""
@@ -195,12 +193,15 @@ class Codec:
         asked = [p[1:].replace(SPACE, " ") if p[0] == SPACE else "\n" + p for p in parts]
         skipped = len(self.library.encode("\n"))
         out = {}
+        digit, say = self.digits.__getitem__, self.said.__getitem__
         for part, own, text, theirs in zip(parts, self.encode_parts(parts), asked, self.library.encode(asked), strict=True):
             if text and own != (theirs if part[0] == SPACE else theirs[skipped:]):
                 raise ValueError(f"ids of {part!r} differ from the library's: {own} and {theirs}")
-            said = [self.said.get(k) for k in own]
-            text = self._spelled(own).encode() if None in said else b"".join(said)
-            out[part] = len(own), " ".join([self.digits[k] for k in own]).encode(), text
+            try:
+                said = b"".join(map(say, own))
+            except KeyError:  # bytes
+                said = self._spelled(own).encode()
+            out[part] = len(own), b" ".join(map(digit, own)), said
         return out
 
     def _spelled(self, ids: list[int]) -> str:
@@ -217,7 +218,7 @@ class Codec:
             if len(known) + len(found) <= REMEMBERED:
                 known.update((p, f) for p, f in found.items() if len(p) <= LONGEST)
         rest = found if new else {}
-        end = self.digits[self.end].encode()
+        end = self.digits[self.end]
         out = []
         for parts in cut:
             found = [known.get(p) or rest[p] for p in parts]
@@ -238,6 +239,12 @@ class Codec:
             raise ValueError(f"encoding of {text[:200]!r} differs from the library's")
 
 
+def _shifted(rows: np.ndarray, width: int, empty: int) -> np.ndarray:
+    """``width`` columns of ``rows`` from the second on."""
+    moved = rows[:, 1 : width + 1]
+    return moved if moved.shape[1] == width else np.concatenate([moved, np.full((len(rows), 1), empty, dtype=rows.dtype)], axis=1)
+
+
 def _utf8(held: bytes) -> str:
     """Each byte that belongs to no character becomes U+FFFD."""
     out, k = [], 0

@@ -74,3 +74,11 @@ def test_documents(spark, documents, library):
     assert len(found) == len(rows)
     assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == by_id[r.doc_id] for r in found)
     assert S.encode_documents(documents([]), MODEL).count() == 0
+
+
+def test_parts_are_remembered_beyond_150_000(monkeypatch):
+    own = S.Codec(S.tokenizer_path("piece_bpe_32k.model"))
+    texts = [" ".join(f"w{k}" for k in range(low, low + 8000)) for low in range(0, 160_000, 8000)]
+    first = [row for low in range(0, len(texts), 4) for row in own.digests(texts[low : low + 4])]
+    monkeypatch.setattr(own, "learn", lambda parts: pytest.fail(f"{len(parts)} parts encoded again"))
+    assert own.digests(texts) == first
