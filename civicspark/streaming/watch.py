@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_right
+from collections import namedtuple
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -79,15 +82,22 @@ def start_watch_stable(
 
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A stream's watermark begins at 1970; event times are moved on by this many microseconds, so that none comes before it.
-_SHIFT = 10**17
+#: A stream's watermark begins at 1970 and the times that pandas holds end in 2262; event times are moved on by this many
+#: microseconds, and those outside of ``_PLAIN`` (1900 to 2100) are brought nearer to it, to one in ``1 << _NEARER``. So every
+#: time from the year -1199 to 9999 has its place, in the same order.
+_SHIFT = 3 * 10**15
+_PLAIN = (-2_208_988_800 * 10**6, 4_102_444_800 * 10**6)
+_NEARER = 7
 _GATED = "path string, at bigint, tie bigint, sha256 string"
+_Look = namedtuple("_Look", "path, at, tie, sha256")
 #: Paths are dealt over so many groups; the state is kept by group, the same number for the life of a checkpoint.
-PATH_GROUPS = 4096
+PATH_GROUPS = 1024
 #: Looks that one value of the state holds; a span of time with more is cut into ``1 << _CUT`` parts, down to a millisecond.
-LOOKS_PER_SPAN = 512
-_CUT = 5
-_WHOLE = 50  # milliseconds of all time
+LOOKS_PER_SPAN = 8192
+_CUT = 3
+_WHOLE = 51  # milliseconds of all time, a multiple of ``_CUT``
+#: States of paths that a group keeps in one value; those of further paths are values of their own.
+STATES_PER_GROUP = 1024
 
 
 class _InOrder(StatefulProcessor):
@@ -96,7 +106,8 @@ class _InOrder(StatefulProcessor):
     Looks wait in the state until the watermark has passed them; a timer at the time of the first one takes out all that it has
     passed, in order. Those waiting in a span of time are one value, so that the state store is called for some hundred looks
     at once, however few a path has. A group with many is cut into spans, of which a task holds one at a time; so a busy path
-    needs no memory of a task. Of each path that has looks passed, a task holds the state while it handles the group.
+    needs no memory of a task. Of each path that has looks passed, a task holds the state while it handles the group; the states of
+    the first paths of a group are one value too.
     """
 
     LAST = "at bigint"
@@ -106,18 +117,21 @@ class _InOrder(StatefulProcessor):
         # ``looks``: JSON of ``[at, tie, sha256, path, is the end of a state]``; ``parts``: numbers of the spans of the next size
         # that hold the looks. A span has looks or parts.
         self.waiting = handle.getMapState("waiting", "shift int, number bigint", "looks string, parts array<bigint>")
+        # ``states``: JSON of ``[path, *state]``; ``more``: how many states are in ``last`` instead.
+        self.few = handle.getValueState("few", "states string, more bigint")
         self.last = handle.getMapState("last", "named boolean, path string", self.LAST)
 
     def _at(self, at: int) -> int:
         """The millisecond whose watermark has passed a time in microseconds."""
-        return -(-(at + _SHIFT) // 1000)
+        plain = min(max(at, _PLAIN[0]), _PLAIN[1])
+        return -(-(plain + (at - plain >> _NEARER) + _SHIFT) // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         while looks := [[row.at, row.tie, row.sha256, row.path, False] for row in islice(rows, 16 * LOOKS_PER_SPAN)]:
-            self._wait(looks)
+            self.wait(looks)
         return iter(())
 
-    def _wait(self, looks: list[list]) -> None:
+    def wait(self, looks: list[list]) -> None:
         self._put(_WHOLE, 0, looks)
         self.handle.registerTimer(self._at(min(look[0] for look in looks)) - 1)  # goes off when the watermark is later
 
@@ -145,7 +159,7 @@ class _InOrder(StatefulProcessor):
             return
         if not held[1]:
             looks = sorted(json.loads(held[0]), key=lambda look: (look[0], look[4], look[1] or 0, look[2] or ""))
-            due = sum(self._at(look[0]) <= passed for look in looks)
+            due = bisect_right(looks, passed, key=lambda look: self._at(look[0]))
             if due == len(looks):
                 self.waiting.removeKey((shift, number))
             else:
@@ -165,12 +179,18 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         passed, rest = timerValues.getCurrentWatermarkInMs(), []
+        looks = self._take(_WHOLE, 0, passed, rest)
+        if (first := next(looks, None)) is None:  # an earlier timer took them out
+            if rest:
+                self.handle.registerTimer(rest[0] - 1)
+            return
+        kept, apart = self._kept()
         before: dict[str | None, tuple | None] = {}
         now: dict[str | None, tuple | None] = {}
         over: set[str | None] = set()  # paths whose end of a state has come
-        for at, tie, sha256, path, end in self._take(_WHOLE, 0, passed, rest):
+        for at, tie, sha256, path, end in chain([first], looks):
             if path not in now:
-                held = self.last.getValue((path is not None, path or ""))
+                held = self.last.getValue((path is not None, path or "")) if apart and path not in kept else kept.get(path)
                 before[path] = now[path] = tuple(held) if held else None
             last = now[path]
             until = None if last is None else self.ends(last[0])
@@ -183,25 +203,49 @@ class _InOrder(StatefulProcessor):
                 continue
             accepted, now[path] = self.passes(last, at, sha256)
             if accepted:
-                yield Row(path=path, at=at, tie=tie, sha256=sha256)
+                yield _Look(path, at, tie, sha256)
         if rest:
             self.handle.registerTimer(rest[0] - 1)
         ends = []
-        for path, last in now.items():
+        for path, last in list(now.items()):
             until = None if last is None else self.ends(last[0])
             if until is not None and self._at(until) <= passed:
                 last = None
-            place = (path is not None, path or "")
-            if last is None and before[path] is not None:
-                self.last.removeKey(place)
-            elif last != before[path]:
-                self.last.updateValue(place, last)
+            now[path] = last
             # A path with a state that ends has one end waiting; if the state went on meanwhile, it waits anew.
             waits = before[path] is not None and path not in over
             if last is not None and until is not None and not waits:
                 ends.append([until, None, None, path, True])
+        self._keep({path: (before[path], last) for path, last in now.items() if last != before[path]}, kept, apart)
         if ends:
-            self._wait(ends)
+            self.wait(ends)
+
+    def _kept(self) -> tuple[dict, int]:
+        """The states that are one value, by path, and the number of those in ``last``."""
+        held = self.few.get()
+        return ({path: tuple(last) for path, *last in json.loads(held[0])}, held[1]) if held else ({}, 0)
+
+    def _keep(self, changed: dict, kept: dict, apart: int) -> None:
+        """Write states, given before and after, where their path has its place; a new one beside the others if there is room."""
+        few, more = dict(kept), apart
+        for path, (before, last) in changed.items():
+            place = (path is not None, path or "")
+            if path in kept or before is None and len(few) < STATES_PER_GROUP:
+                few.pop(path, None)
+                if last is not None:
+                    few[path] = last
+            elif last is None:
+                self.last.removeKey(place)
+                more -= 1
+            else:
+                self.last.updateValue(place, last)
+                more += before is None
+        if few == kept and more == apart:
+            return
+        if few or more:
+            self.few.update((json.dumps([[path, *last] for path, last in few.items()]), more))
+        else:
+            self.few.clear()
 
     def passes(self, last: tuple | None, at: int, sha256: str) -> tuple[bool, tuple]:
         """Whether a look passes, and the state after it."""
@@ -245,6 +289,32 @@ class _Stable(_InOrder):
         return at + self.step if self.step else None
 
 
+class _Frames(StatefulProcessor):
+    """A gate whose looks come and go as frames: as rows they cost many times the gate's own work.
+
+    A look comes as one text, the JSON that waits in the state; numbers that may be missing would not be whole in a frame.
+    """
+
+    def __init__(self, gate: _InOrder):
+        self.gate = gate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.gate.init(handle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            self.gate.wait(json.loads(f"[{','.join(frame['look'])}]"))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = self.gate.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        while some := list(islice(passed, LOOKS_PER_SPAN)):
+            yield pd.DataFrame(some, columns=_Look._fields, dtype=object)
+
+    def close(self) -> None:
+        self.gate.close()
+
+
 def stream_cooldown(
     observations: DataFrame, seconds: int = COOLDOWN_SECONDS, late: str = "0 seconds", tie: str | None = None
 ) -> DataFrame:
@@ -269,8 +339,16 @@ def stream_stable(observations: DataFrame, late: str = "0 seconds", tie: str | N
 def _gated(observations: DataFrame, gate: _InOrder, late: str, tie: str | None) -> DataFrame:
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the only store with timers
     ts = F.col("ts").cast("timestamp")
-    rows = observations.select(
-        "path", F.timestamp_micros(F.unix_micros(ts) + _SHIFT).alias("ts"), F.unix_micros(ts).alias("at"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"), "sha256"
-    ).filter("ts IS NOT NULL").withColumn("paths", F.pmod(F.xxhash64("path"), F.lit(PATH_GROUPS)))
-    passed = rows.withWatermark("ts", late).groupBy("paths").transformWithState(gate, _GATED, "Append", "EventTime")
+    at, texts = F.unix_micros(ts), F.to_json(F.array("sha256", "path"))
+    tied = F.coalesce((F.col(tie) if tie else F.lit(0)).cast("long").cast("string"), F.lit("null"))
+    look = F.concat(F.lit("["), at.cast("string"), F.lit(","), tied, F.lit(","), F.substr(texts, F.lit(2), F.length(texts) - 2), F.lit(",false]"))
+    group = F.pmod(F.xxhash64("path"), F.lit(PATH_GROUPS))
+    rows = observations.select(_moved(at).alias("ts"), look.alias("look"), group.alias("paths")).filter("ts IS NOT NULL")
+    passed = rows.withWatermark("ts", late).groupBy("paths").transformWithStateInPandas(_Frames(gate), _GATED, "Append", "EventTime")
     return passed.select("path", F.timestamp_micros("at").alias("ts"), *([F.col("tie").alias(tie)] if tie else []), "sha256")
+
+
+def _moved(at: Column) -> Column:
+    """The stream's time of a time in microseconds, as in ``_InOrder._at``."""
+    plain = F.least(F.greatest(at, F.lit(_PLAIN[0])), F.lit(_PLAIN[1]))  # of a missing time too; the difference is missing then
+    return F.timestamp_micros(plain + F.shiftright(at - plain, _NEARER) + _SHIFT)
