@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from civicspark.llm.tables import discard, written
+from civicspark.llm.tables import discard, in_files, written
 
 
 #: Edges that a task holds at once: 16 MB, and about ten times as much while it works.
@@ -50,18 +50,19 @@ def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link every neighbour above a node (``large``), or a node and its neighbours below, to the least of them."""
+    """Link every neighbour above a node (``large``), or a node and its neighbours below, to the least of them. ``edges`` is a written table."""
+    most = 2 * edges.count()
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     # Written, so that a node with very many neighbours can be split in the join.
-    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+    least = written(in_files(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), most), "least")
     joined = both.join(least, "a")
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select("a", F.col("b").alias("c"), "m").select(F.explode(F.array("a", "c")).alias("a"), F.col("m").alias("b"))
-    done = written(out.filter(F.col("a") != F.col("b")).distinct(), "star")
+    done = written(in_files(out.filter(F.col("a") != F.col("b")).distinct(), most), "star")
     discard(least)
     return done
 
@@ -71,16 +72,17 @@ def _sign(edges: DataFrame) -> Row:
     return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
     """``node`` and ``root``, the least node of its component, for every node that is not a root itself.
 
     Nodes are longs. Loops and repeated edges do no harm; edges with a null end are left out. Every round is written to the
-    shared folder.
+    shared folder. ``most``: as many edges as there may be, if known.
     """
-    edges = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
+    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
+    edges = written(edges if most is None else in_files(edges, most), "edges")
     while True:
-        tasks = max(1, -(-edges.count() // TASK_EDGES))  # few edges dealt over many tasks would hardly be contracted
-        forest = written(edges.coalesce(tasks).mapInPandas(_forest, "a long, b long"), "forest")
+        # Few edges dealt over many tasks would hardly be contracted.
+        forest = written(in_files(edges, edges.count(), TASK_EDGES).mapInPandas(_forest, "a long, b long"), "forest")
         large = _star(forest, True)
         stars = _star(large, False)
         settled = _sign(forest) == _sign(stars)

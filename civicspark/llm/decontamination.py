@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicspark.llm.tables import spare_name, written
+from civicspark.llm.tables import in_files, spare_name, written
 from civicspark.llm.words import Words, chunks, find_words, mixed, shingles
 
 N = 4
@@ -46,6 +46,8 @@ CHANCE = 1e-4
 #: Bloom filter of the seeds, and of the benchmark's words.
 FILTER_BYTES = 1 << 22
 ADDERS = 16
+#: Hashes for which a task makes a filter; one for each of many small partitions would be far more to carry than the hashes.
+FILTER_ROWS = 1 << 20
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -82,8 +84,11 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["bits"])
 
 
-def bloom(hashes: DataFrame, size: int) -> np.ndarray:
-    """Filter of the one column of ``hashes`` in ``size`` bytes: one of each task, united in two more steps."""
+def bloom(hashes: DataFrame, size: int, most: int | None = None) -> np.ndarray:
+    """Filter of the one column of ``hashes`` in ``size`` bytes: one of each task, united in two more steps.
+
+    ``most``: rows that the last step of ``hashes`` works on, at most; if known, they decide how many tasks there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(8 * size, dtype=bool)
@@ -93,6 +98,8 @@ def bloom(hashes: DataFrame, size: int) -> np.ndarray:
         if found.any():
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()], pa.binary())], names=["bits"])
 
+    if most is not None:
+        hashes = in_files(hashes, most, FILTER_ROWS)
     parts = hashes.mapInArrow(run, "bits binary").repartition(ADDERS).mapInArrow(_united, "bits binary")
     row = parts.coalesce(1).mapInArrow(_united, "bits binary").first()
     return np.frombuffer(row.bits, dtype=np.uint8) if row else np.zeros(size, dtype=np.uint8)
@@ -133,7 +140,8 @@ def segments(benchmark: DataFrame, item_id: str, item_text: str, n: int, least_w
 def _with_counts(documents: DataFrame, text: str, found: DataFrame) -> tuple[DataFrame, float, int]:
     """``segment``, ``words`` and ``counts`` of those words in all documents; words of a document, on average, and of all."""
     places = found.select("segment", F.posexplode("words").alias("place", "word"))
-    vocabulary = bloom(places.select("word").distinct(), FILTER_BYTES)
+    most = found.agg(F.sum(F.size("words"))).first()[0] or 0
+    vocabulary = bloom(places.select("word").distinct(), FILTER_BYTES, most)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents_n = words_n = 0
@@ -191,7 +199,8 @@ def rare_seeds(documents: DataFrame, text: str, found: DataFrame, n: int, chance
             )
 
     made = counted.mapInArrow(chosen, "seed long, segment long, place int")
-    return written(made.groupBy("seed", "segment").agg(F.min("place").alias("low"), F.max("place").alias("high")), "seeds")
+    most = found.agg(F.sum(F.size("words"))).first()[0] or 0
+    return written(in_files(made.groupBy("seed", "segment").agg(F.min("place").alias("low"), F.max("place").alias("high")), most * (n - 1)), "seeds")
 
 
 # --- passages ---
@@ -199,7 +208,7 @@ def rare_seeds(documents: DataFrame, text: str, found: DataFrame, n: int, chance
 
 def passages(documents: DataFrame, doc_id: str, text: str, seeds: DataFrame, n: int) -> DataFrame:
     """``passage``, ``doc``, ``said`` (hash of the text), ``begin`` (place of its first word), ``words``, ``at`` and ``seed`` of its n-grams."""
-    held = bloom(seeds.select("seed"), FILTER_BYTES)
+    held = bloom(seeds.select("seed"), FILTER_BYTES, seeds.count())
     around = 2 * SEGMENT
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

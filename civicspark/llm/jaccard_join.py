@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm.components import components
-from civicspark.llm.tables import discard, spare_name, written
+from civicspark.llm.tables import discard, in_files, spare_name, written
 from civicspark.llm.words import chunks, find_words, shingles
 
 #: N-grams that one task holds of a cluster; a cluster with more is split into blocks.
@@ -247,25 +247,29 @@ def _components(documents: DataFrame, n: int, percent: int, doc_id: str, text: s
     if not 40 < percent <= 100:
         raise ValueError("percent must be over 40 and at most 100")
     sets = written(_with_sets(documents, doc_id, text, n, percent), "sets")
+    size = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum(posted_size(F.col("n"), percent).cast("long")).alias("posted")).first()
+    rows, posted = size.rows, size.posted or 0
     distinct = sets.filter("n > 0").groupBy("set").agg(
         _first_document().alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("posted").alias("posted")
     )
     posts = distinct.select("set", "n", F.explode("posted").alias("token"))
-    shared = written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-grams")
+    shared = written(in_files(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), posted), "shared-grams")
     needed, held = least_shared(F.col("n"), percent), F.size("grams")
-    prefixes = written(
-        posts.join(shared, "token").groupBy("set").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("grams"))
-        .filter(held >= needed)
-        .select("set", F.explode(F.slice(F.sort_array("grams"), F.lit(1), held - needed + 1)["token"]).alias("token")),
-        "prefixes",
-    )
-    least = written(prefixes.groupBy("token").agg(F.min("set").alias("root"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "prefix-roots")
-    roots = components(prefixes.join(least, "token").select("set", "root"), "set", "root")
+    prefixes = posts.join(shared, "token").groupBy("set").agg(
+        F.first("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("grams")
+    ).filter(held >= needed).select("set", F.explode(F.slice(F.sort_array("grams"), F.lit(1), held - needed + 1)["token"]).alias("token"))
+    prefixes = written(in_files(prefixes, posted), "prefixes")
+    most = prefixes.count()
+    least = prefixes.groupBy("token").agg(F.min("set").alias("root"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    least = written(in_files(least, most), "prefix-roots")
+    roots = components(prefixes.join(least, "token").select("set", "root"), "set", "root", most)
     discard(shared, least)
     clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
-    members = written(clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).join(distinct.drop("posted"), "set"), "members")
-    sizes = written(members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), F.sum("n").alias("tokens")), "clusters")
+    members = clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).join(distinct.drop("posted"), "set")
+    members = written(in_files(members, rows), "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), F.sum("n").alias("tokens"))
+    sizes = written(in_files(sizes, rows), "clusters")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     packs = int(total // BLOCK_TOKENS) * 2 + 1
     placed = members.join(sizes.drop("tokens"), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
@@ -286,17 +290,18 @@ def _components(documents: DataFrame, n: int, percent: int, doc_id: str, text: s
     )
     found = written(compared.groupBy("pack").applyInPandas(_find_links(percent), "a long, b long, links long"), "links")
     discard(prefixes, members, sizes)
-    joined = components(found.filter("a <> b"))
+    joined = components(found.filter("a <> b"), most=found.count())
     degrees = found.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
 
-    by_set = written(
+    by_set = (
         sets.filter("n > 0").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), _first_document().alias("first"))
         .join(degrees, "set", "left").join(joined.withColumnRenamed("node", "set"), "set", "left")
-        .select("set", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root")),
-        "by-set",
+        .select("set", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root"))
     )
-    firsts = written(by_set.groupBy("root").agg(F.min("first").alias("component")), "component-first")
-    known = written(by_set.join(firsts, "root").select("set", "component", (F.col("copies") - 1 + F.col("links")).alias("links")), "components")
+    by_set = written(in_files(by_set, rows), "by-set")
+    firsts = written(in_files(by_set.groupBy("root").agg(F.min("first").alias("component")), rows), "component-first")
+    known = by_set.join(firsts, "root").select("set", "component", (F.col("copies") - 1 + F.col("links")).alias("links"))
+    known = written(in_files(known, rows), "components")
     discard(found, by_set, firsts)
     return sets, known
 
@@ -330,11 +335,11 @@ def keep_first(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     """
     sets, known = _components(documents, n, percent, doc_id, text)
     doc, said = spare_name(documents, "doc"), spare_name(documents, "said")
-    kept = written(
+    kept = (
         known.select("component.doc", "component.said").union(sets.filter("n = 0").select("doc", "said")).distinct()
-        .select(F.col("doc").alias(doc), F.col("said").alias(said)),
-        "kept",
+        .select(F.col("doc").alias(doc), F.col("said").alias(said))
     )
+    kept = written(in_files(kept, sets.count()), "kept")
     own = spare_name(documents, "own")
     return (
         documents.withColumn(own, F.xxhash64(F.col(text).cast("string")))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.llm.tables import spare_name, written
+from civicspark.llm.tables import in_files, spare_name, written
 
 MIN_WORDS = 20
 #: A word is a run of other characters than these.
@@ -85,12 +85,10 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, doc_id: str
     """``doc`` (id and hash of the text) and ``lines``: places (from 0) of the lines to delete, for documents that have any."""
     prints = written(fingerprints(worded_lines(documents, doc_id, text), min_words), "fingerprints")
     key = ["print", "at", "a", "b"]
-    firsts = written(
-        prints.groupBy(*key).agg(
-            F.min(F.struct("doc", F.col("lines")[0].alias("line"), "beside")).alias("first"), F.count(F.lit(1)).alias("n")
-        ).filter("n > 1").select(*key, "first"),
-        "first-places",
-    )
+    firsts = prints.groupBy(*key).agg(
+        F.min(F.struct("doc", F.col("lines")[0].alias("line"), "beside")).alias("first"), F.count(F.lit(1)).alias("n")
+    ).filter("n > 1").select(*key, "first")
+    firsts = written(in_files(firsts, prints.count()), "first-places")
     same = F.struct("beside.h", "beside.g") == F.struct("first.beside.h", "first.beside.g")
     return (
         prints.join(firsts, key).filter((F.col("doc") != F.col("first.doc")) | (F.col("lines")[0] != F.col("first.line")))

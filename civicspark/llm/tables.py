@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from civicspark.storage import drop, run_dir
 
 
+#: Rows of a few numbers, and whole documents, for which a table gets a file of its own.
+FILE_ROWS, FILE_DOCUMENTS = 1 << 16, 1 << 12
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -22,6 +26,15 @@ def written(frame: DataFrame, purpose: str, **options: object) -> DataFrame:
     return stored
 
 
+def in_files(frame: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``frame`` in no more partitions than ``rows`` rows need at ``each`` a partition; fewer stay as they are.
+
+    A file costs calls of the store, and on a local one two processes that its writer starts, however few rows it has. ``rows`` should
+    bound what the last step works on, not only what it returns.
+    """
+    return frame.coalesce(max(1, -(-rows // each)))
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove tables of :func:`written` that nothing reads any more."""
     for frame in frames:
