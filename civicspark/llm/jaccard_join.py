@@ -3,10 +3,12 @@
 1. Equal sets collapse. Of each set the part of least hashes is posted (``posted_size``).
 2. Two sets that link share at least ``least_shared`` posted n-grams. Posted n-grams are counted over all sets; a set
    that shares too few goes. The rest order their posted n-grams globally, rare ones first, and keep a prefix such
-   that linked sets share an n-gram of both prefixes. Shared prefix n-grams make clusters.
-3. The sets of a cluster are put into a trie in one order and each is looked up in it: n-grams that several sets begin with are
-   compared once, and a subtree is left as soon as what remains of either side cannot reach the overlap required.
-   A large cluster is dealt out in pairs of blocks of bounded size.
+   that linked sets share an n-gram of both prefixes. The home of a set is the one of its prefix n-grams that most sets
+   have, for sets of about its size. A set asks its own home and the greater homes of sets it shares a prefix n-gram with,
+   so sets that chance n-grams join in long chains do not meet all the others of the chain.
+3. The sets of a home are put into a trie in one order and each that asks is looked up in it: n-grams that several sets begin
+   with are compared once, and a subtree is left as soon as what remains of either side cannot reach the overlap required.
+   A large home is dealt out in blocks of bounded size, and so are those that ask it.
 4. Links join sets to components, by star contractions.
 
 Nothing is sampled or capped; hashes have 64 bits and stand for n-grams, for sets and, beside the id, for texts.
@@ -19,6 +21,7 @@ several texts, as id and text together name a document; other columns are not re
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -30,8 +33,10 @@ from civicspark.llm.components import components
 from civicspark.llm.tables import discard, in_files, spare_name, written
 from civicspark.llm.words import chunks, find_words, shingles
 
-#: N-grams that one task holds of a cluster; a cluster with more is split into blocks.
+#: N-grams that one task holds of a home, and of the sets that ask it; homes with more are split into blocks.
 BLOCK_TOKENS = 1 << 17
+#: N-grams of the trie that are looked at together, and marks (queries times different n-grams) of queries that are looked up together.
+STEP_LABELS, STEP_MARKS = 1 << 19, 1 << 24
 
 
 def posted_size(n: Column, percent: int) -> Column:
@@ -145,35 +150,51 @@ class Trie:
         children = np.argsort(self.parent[1:], kind="stable") + 1
         self.children = children
         self.first_child = np.searchsorted(self.parent[children], np.arange(count + 1))
-        self.mark = np.zeros(int(max((s[-1] for s in sets if len(s)), default=0)) + 1, dtype=np.int64)
-
-    def alike(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """Sets whose Jaccard similarity with ``query`` is at least ``percent`` / 100."""
-        query = query[query < len(self.mark)] if len(query) and query[-1] >= len(self.mark) else query
-        return self._alike(query, len(query), percent)
-
-    def _alike(self, query: np.ndarray, size: int, percent: int) -> np.ndarray:
-        self.mark[query] = 1
-        nodes, overlap, found = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), []
+        #: More than the greatest integer of any set or query.
+        self.names = int(max((s[-1] for s in sets if len(s)), default=0)) + 1
+
+    def alike(self, queries: list[np.ndarray], percent: int) -> list[np.ndarray]:
+        """For each of ``queries`` the sets whose Jaccard similarity with it is at least ``percent`` / 100; all go down the trie together.
+
+        A query holds integers below ``names``.
+        """
+        names = self.names
+        sizes = np.array([len(q) for q in queries])
+        # Those of query q come after those of the queries before it.
+        asked = np.concatenate([q + at * names for at, q in enumerate(queries)])
+        begin = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(queries) * names, dtype=np.uint8)
+        mark[asked] = 1
+        who, nodes, overlap = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64), np.zeros(len(queries), dtype=np.int64)
+        found_by, found = [], []
         while len(nodes):
             n = self.first_child[nodes + 1] - self.first_child[nodes]
             start = np.cumsum(n) - n
             children = self.children[np.arange(n.sum()) - np.repeat(start, n) + np.repeat(self.first_child[nodes], n)]
             if not len(children):
                 break
-            width = self.width[children]
-            into = np.cumsum(width) - width
-            place = np.arange(width.sum()) - np.repeat(into, width) + np.repeat(self.at[children], width)
-            own = np.repeat(overlap, n) + np.add.reduceat(self.mark[self.labels[place]], into)
-            rest = size - np.searchsorted(query, self.last[children], side="right")
+            who, own, width = np.repeat(who, n), np.repeat(overlap, n), self.width[children]
+            total = np.cumsum(width)
+            low = 0
+            while low < len(children):
+                done = total[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(total, done + STEP_LABELS, side="right")))
+                wide = width[low:high]
+                into = total[low:high] - wide - done
+                place = np.arange(wide.sum()) + np.repeat(self.at[children[low:high]] - into, wide)
+                own[low:high] += np.add.reduceat(mark[self.labels[place] + np.repeat(who[low:high] * names, wide)], into, dtype=np.int64)
+                low = high
+            rest = sizes[who] + begin[who] - np.searchsorted(asked, self.last[children] + who * names, side="right")
             reach = own + np.minimum(rest, self.most[children] - self.end[children])
-            keep = reach * (100 + percent) >= percent * (size + self.least[children])
-            nodes, overlap = children[keep], own[keep]
-            ends = self.leaf[nodes] >= 0
+            keep = reach * (100 + percent) >= percent * (sizes[who] + self.least[children])
+            who, nodes, overlap = who[keep], children[keep], own[keep]
+            ends = np.flatnonzero(self.leaf[nodes] >= 0)
             sets = self.leaf[nodes[ends]]
-            found.append(sets[overlap[ends] * (100 + percent) >= percent * (size + self.size[sets])])
-        self.mark[query] = 0
-        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+            alike = overlap[ends] * (100 + percent) >= percent * (sizes[who[ends]] + self.size[sets])
+            found_by.append(who[ends][alike]), found.append(sets[alike])
+        who, found = np.concatenate([np.zeros(0, dtype=np.int64), *found_by]), np.concatenate([np.zeros(0, dtype=np.int64), *found])
+        order = np.argsort(who, kind="stable")
+        return np.split(found[order], np.searchsorted(who[order], np.arange(1, len(queries))))
 
 
 def links_between(sets: list[np.ndarray], asked: np.ndarray, stored: np.ndarray, percent: int):
@@ -185,46 +206,116 @@ def links_between(sets: list[np.ndarray], asked: np.ndarray, stored: np.ndarray,
     cuts = np.cumsum([len(s) for s in sets])[:-1]
     ranked = [np.sort(s) for s in np.split(rank[local], cuts)]
     trie = Trie([ranked[k] for k in stored])
-    trie.mark = np.zeros(len(count), dtype=np.int64)
-    for k in asked:
-        found = stored[trie.alike(ranked[k], percent)]
-        yield k, found[found != k]
+    trie.names = len(count)
+    together = max(1, STEP_MARKS // max(1, len(count)))
+    for low in range(0, len(asked), together):
+        some = asked[low : low + together]
+        for k, near in zip(some, trie.alike([ranked[k] for k in some], percent), strict=True):
+            found = stored[near]
+            yield k, found[found != k]
 
 
 def _find_links(percent: int):
     def found(group: pd.DataFrame) -> pd.DataFrame:
         a, b, links = [], [], []
-        for (_, i, j), part in group.groupby(["cluster", "i", "j"], sort=False):
+        for (*_, piece), part in group.groupby(["weight", "home", "level", "block", "piece"], sort=False):
             part = part.drop_duplicates("set")
-            if len(part) < 2:
-                continue
-            ids, block, copies = part["set"].to_numpy(), part["block"].to_numpy(), part["copies"].to_numpy()
+            own = part["own"].to_numpy(dtype=bool)
+            ids, copies = part["set"].to_numpy(), part["copies"].to_numpy()
             sets = [np.asarray(t) for t in part["tokens"]]
-            first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            joined: dict[int, int] = {}  # a forest over the places: only links that join two trees are sent on
-
-            def root(x):
-                while joined.get(x, x) != x:
-                    x = joined[x]
-                return x
-
-            for asked, stored in [(first, first)] if i == j else [(first, second), (second, first)]:
-                if not len(asked) or not len(stored):
+            stored, asking = np.flatnonzero(own), np.flatnonzero(~own)
+            if not len(stored) or len(sets) < 2:
+                continue
+            tree = np.arange(len(ids))  # of each place: only links that join two trees are sent on
+            linked = np.zeros(len(ids), dtype=np.int64)
+            # The sets of a block meet each other in its first piece only.
+            for k, near in links_between(sets, np.concatenate([asking, stored]) if piece == 0 else asking, stored, percent):
+                if not len(near):
                     continue
-                for k, near in links_between(sets, asked, stored, percent):
-                    if not len(near):
-                        continue
-                    a.append(ids[k]), b.append(ids[k]), links.append(int(copies[near].sum()))
-                    for other in near:
-                        x, y = root(int(k)), root(int(other))
-                        if x != y:
-                            joined[x] = y
-                            a.append(ids[k]), b.append(ids[other]), links.append(0)
+                linked[k] += copies[near].sum()
+                if not own[k]:
+                    linked[near] += copies[k]
+                for other in near[np.unique(tree[near], return_index=True)[1]]:
+                    if tree[other] != tree[k]:
+                        tree[tree == tree[other]] = tree[k]
+                        a.append(ids[k]), b.append(ids[other]), links.append(0)
+            some = np.flatnonzero(linked)
+            a.extend(ids[some]), b.extend(ids[some]), links.extend(linked[some])
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64), "links": np.array(links, dtype=np.int64)})
 
     return found
 
 
+#: A home: how many sets have its n-gram, the n-gram, and how large its sets are.
+HOME = ["weight", "home", "level"]
+
+
+def _level(n: Column, percent: int) -> Column:
+    """Sets that link are on one level or on two next to each other, as one has at least ``percent`` of the other's size."""
+    step = max(math.log(100 / percent), 1e-3) * 1.0001  # a little more, so that rounding does no harm
+    return F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
+
+
+def _homes(prefixes: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """``set``, ``n`` and home of every set that shares an n-gram of ``prefixes``; ``set``, ``n`` and the other homes that it asks.
+
+    Of two sets that share a prefix n-gram and are on levels next to each other, one asks the home of the other or both have one home.
+    ``prefixes`` is a written table of ``most`` rows.
+    """
+    counts = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    counts = written(in_files(counts, most), "prefix-counts")
+    shared = prefixes.join(counts, "token")
+    homes = shared.groupBy("set").agg(F.first("n").alias("n"), F.max(F.struct("k", "token")).alias("top")).select(
+        "set", "n", F.col("top.k").alias("weight"), F.col("top.token").alias("home"), _level(F.col("n"), percent).alias("level")
+    )
+    homes = written(in_files(homes, most), "homes")
+    listed = written(in_files(shared.select("set", "token").join(homes, "set"), most), "listed")
+    held = listed.select("token", *HOME).distinct().select("token", F.struct(*HOME).alias("there"))
+    asks = listed.join(held, "token").filter(
+        (F.col("there") > F.struct(*HOME)) & (F.abs(F.col("there.level") - F.col("level")) <= 1)
+    ).select("set", "n", "there.*").distinct()
+    asks = written(in_files(asks, most), "asks")
+    discard(counts, listed)
+    return homes, asks
+
+
+def _places(homes: DataFrame, asks: DataFrame, most: int) -> DataFrame:
+    """Where each set goes: ``set``, its home or one that it asks, ``block`` and ``piece``, ``own`` and ``pack``.
+
+    The sets of a home lie in blocks (``own``), each once for every piece of the sets that ask; a set that asks is in one piece of every
+    block. A set of a home of several blocks asks those before its own. A pack is the work of one task: pieces of large homes, or
+    small homes together.
+    """
+    sizes = homes.select(*HOME, "n", F.lit(0).alias("asking")).unionByName(asks.select(*HOME, F.lit(0).alias("n"), F.col("n").alias("asking")))
+    blocks = F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int")
+    sizes = sizes.groupBy(*HOME).agg(
+        F.count(F.lit(1)).alias("sets"), blocks.alias("blocks"),
+        F.greatest(F.lit(1), F.ceil((F.sum("asking") + F.when(blocks > 1, F.sum("n")).otherwise(0)) / BLOCK_TOKENS)).cast("int").alias("pieces"),
+        (F.sum("n") + F.sum("asking")).alias("tokens"),
+    ).filter("sets > 1").drop("sets")
+    sizes = written(in_files(sizes, most), "home-sizes")
+    packs = int((sizes.filter("blocks = 1 and pieces = 1").agg(F.sum("tokens")).first()[0] or 0) // BLOCK_TOKENS) * 2 + 1
+    held = sizes.drop("tokens")
+
+    def dealt(column: str) -> Column:
+        return F.pmod(F.xxhash64("set"), F.col(column)).cast("int")
+
+    def up_to(column: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+    kept = ["set", *HOME, "block", "piece", "blocks", "pieces"]
+    at_home = homes.join(held, HOME).withColumn("block", dealt("blocks"))
+    own = at_home.withColumn("piece", up_to("pieces")).select(*kept, F.lit(True).alias("own"))
+    before = at_home.filter("block > 0").withColumn("block", up_to("block")).withColumn("piece", dealt("pieces")).select(*kept, F.lit(False).alias("own"))
+    others = asks.join(held, HOME).withColumn("block", up_to("blocks")).withColumn("piece", dealt("pieces")).select(*kept, F.lit(False).alias("own"))
+    alone = (F.col("blocks") > 1) | (F.col("pieces") > 1)
+    pack = F.when(alone, F.xxhash64(*HOME, "block", "piece")).otherwise(F.pmod(F.xxhash64(*HOME), F.lit(packs)))
+    places = own.unionByName(before).unionByName(others).select("set", *HOME, "block", "piece", "own", pack.alias("pack"))
+    places = written(in_files(places, most), "places")
+    discard(sizes)
+    return places
+
+
 def join_alike(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (least document reachable by links) and ``n_links`` of every row.
 
@@ -257,39 +348,24 @@ def _components(documents: DataFrame, n: int, percent: int, doc_id: str, text: s
     needed, held = least_shared(F.col("n"), percent), F.size("grams")
     prefixes = posts.join(shared, "token").groupBy("set").agg(
         F.first("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("grams")
-    ).filter(held >= needed).select("set", F.explode(F.slice(F.sort_array("grams"), F.lit(1), held - needed + 1)["token"]).alias("token"))
+    ).filter(held >= needed).select("set", "n", F.explode(F.slice(F.sort_array("grams"), F.lit(1), held - needed + 1)["token"]).alias("token"))
     prefixes = written(in_files(prefixes, posted), "prefixes")
     most = prefixes.count()
-    least = prefixes.groupBy("token").agg(F.min("set").alias("root"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    least = written(in_files(least, most), "prefix-roots")
-    roots = components(prefixes.join(least, "token").select("set", "root"), "set", "root", most)
-    discard(shared, least)
-    clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-    members = clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).join(distinct.drop("posted"), "set")
-    members = written(in_files(members, rows), "members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), F.sum("n").alias("tokens"))
-    sizes = written(in_files(sizes, rows), "clusters")
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    packs = int(total // BLOCK_TOKENS) * 2 + 1
-    placed = members.join(sizes.drop("tokens"), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    homes, asks = _homes(prefixes, percent, most)
+    discard(shared, prefixes)
+    places = _places(homes, asks, most)
+
+    members = written(in_files(distinct.drop("posted", "n").join(places.select("set").distinct(), "set"), rows), "members")
     # By id and text: rows without an id, or texts under one id, would each meet the sets of all the others.
     named = _named(documents, doc_id, text)
     chosen = named.join(
-        placed,
+        members,
         (F.col("said") == F.col("first.said")) & F.col("doc").eqNullSafe(F.col("first.doc")),
     )
-    compared = chosen.select("text", "set", "cluster", "copies", "block", "blocks").mapInArrow(
-        _full_sets(n), "set long, cluster long, copies long, block int, blocks int, tokens array<long>"
-    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "set", "cluster", "copies", "block", "tokens",
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        # Small clusters go together; pairs of blocks of a large one have a group each.
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs)))
-        .otherwise(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))).alias("pack"),
-    )
-    found = written(compared.groupBy("pack").applyInPandas(_find_links(percent), "a long, b long, links long"), "links")
-    discard(prefixes, members, sizes)
+    full = chosen.select("text", "set", "copies").mapInArrow(_full_sets(n), "set long, copies long, tokens array<long>")
+    compared = places.join(full, "set").groupBy("pack").applyInPandas(_find_links(percent), "a long, b long, links long")
+    found = written(compared, "links")
+    discard(homes, asks, places, members)
     joined = components(found.filter("a <> b"), most=found.count())
     degrees = found.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
 
@@ -310,7 +386,7 @@ def _full_sets(n: int):
     def made(batches):
         seen: set[int] = set()  # repeated rows of one document
         for batch in batches:
-            place = {name: batch.column(name).to_numpy() for name in ("set", "cluster", "copies", "block", "blocks")}
+            place = {name: batch.column(name).to_numpy() for name in ("set", "copies")}
             kept, tokens = [], []
             for k, own in enumerate(_sets(batch.column(0), n)):
                 own_id = _set_id(own)
@@ -319,9 +395,8 @@ def _full_sets(n: int):
                     kept.append(k)
                     tokens.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(place[c][kept]) for c in ("set", "cluster", "copies", "block", "blocks")],
-                 pa.array(tokens, type=pa.list_(pa.int64()))],
-                names=["set", "cluster", "copies", "block", "blocks", "tokens"],
+                [*[pa.array(place[c][kept]) for c in ("set", "copies")], pa.array(tokens, type=pa.list_(pa.int64()))],
+                names=["set", "copies", "tokens"],
             )
 
     return made

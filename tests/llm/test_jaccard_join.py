@@ -64,6 +64,30 @@ def test_shuffled_members_instead_of_broadcast(spark, documents, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found.collect()) == brute(rows, 4, 85)
 
 
+def test_a_chain_of_chance_n_grams_meets_its_neighbours_only(spark, documents, monkeypatch):
+    """Documents that share a line with the next one each are compared with few others, however long the chain is."""
+
+    def rows_compared(percent):
+        return lambda group: group.assign(a=group["set"], b=group["set"], links=1)[["a", "b", "links"]]
+
+    lines = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(301)]
+    rows = [(k, f"{lines[k]}\n{lines[k + 1]}") for k in range(300)]
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 210)
+    assert [r.n_links for r in J.join_alike(documents(rows), 4, 50).collect()] == [0] * 300
+    monkeypatch.setattr(J, "_find_links", rows_compared)
+    sent = [r.n_links for r in J.join_alike(documents(rows), 4, 50).collect()]
+    assert min(sent) > 0 and max(sent) <= 8
+
+
+def test_homes_of_many_blocks_equal_all_pairs(spark, documents, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 100)
+    monkeypatch.setattr(J, "STEP_LABELS", 7)
+    monkeypatch.setattr(J, "STEP_MARKS", 500)
+    rows = [(3 * k + j, t) for k, (_, t) in enumerate(corpus(11, groups=3, copies=14)) for j in range(1 + k % 2)]
+    found = J.join_alike(documents(rows), 4, 60)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found.collect()) == brute(rows, 4, 60)
+
+
 def test_trie_finds_what_comparison_finds():
     rng = np.random.default_rng(6)
     for percent in (50, 80, 95):
