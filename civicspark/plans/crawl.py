@@ -46,17 +46,21 @@ def crawl(
     robots rules and every hop are written, later hops read files instead of a growing plan, and a lost
     executor costs one stage. Only names of folders (4,096 at most) come to the driver. The result reads these files in
     ``work``, a new folder below the shared one by default; drop it (``storage.drop``) when done.
+
+    Hashes are kept as bytes, the references of a stored row together, and a hop's links only until the hop is met; a write's shuffle
+    files go with it.
     """
     spark = seeds.sparkSession
     home = work or storage.run_dir(spark, "reach")
 
     def written(frame: DataFrame, name: str, *by: str) -> DataFrame:
-        frame.write.partitionBy(*by).parquet(f"{home}/{name}") if by else frame.write.parquet(f"{home}/{name}")
+        with storage.brief_shuffles(spark):
+            frame.write.partitionBy(*by).parquet(f"{home}/{name}", compression="zstd")
         return spark.read.schema(frame.schema).parquet(f"{home}/{name}")
 
     hosts = written((seeds if hosts is None else hosts).select(U.netloc_of(F.col("url")).alias("netloc")).distinct(), "hosts")
     rules = written(L.robots_table(rules, agent), "rules") if rules is not None else None
-    visited = written(visited.select("url_hash").distinct(), "visited") if visited is not None else None
+    visited = written(visited.select(_packed(F.col("url_hash")).alias("url_hash")).distinct(), "visited") if visited is not None else None
 
     if digits is None:
         digits = _digits(pages.count())
@@ -64,15 +68,20 @@ def crawl(
     if "content_type" in pages.columns:
         is_html = H.mime_type(F.col("content_type")).isin(L.HTML_TYPES)
     stored = pages.select(U.url_hash(U.normalize_url(F.col("url"))).alias("page_hash"), "html", is_html.alias("html_page"))
-    stored = stored.withColumn("part", _part("page_hash", digits))
+    stored = stored.withColumns({"part": _part("page_hash", digits), "page_hash": F.unhex("page_hash")})
     known = written(_in_folders(stored.groupBy("part", "page_hash").agg(F.max("html_page").alias("html_page")), digits), "known", *_by(digits))
-    anchors = written(_in_folders(L.page_hrefs(stored.filter("html_page"), ["part", "page_hash"]), digits), "anchors", *_by(digits))
+    anchors = stored.filter("html_page").select("part", "page_hash", F.array_distinct(H.hrefs(F.col("html"))).alias("hrefs"))
+    anchors = written(_in_folders(anchors, digits), "anchors", *_by(digits))
 
     def placed(urls: DataFrame) -> DataFrame:
         page = U.url_hash(U.normalize_url(F.col("url")))
-        return L.with_hash(urls).withColumn("page_hash", page).withColumns(
+        hashed = L.with_hash(urls).withColumn("page_hash", page).withColumns(
             {"part": _part("page_hash", digits), "met_part": _part("url_hash", digits)}
         )
+        same = F.col("page_hash") == F.col("url_hash")
+        return hashed.withColumns({"url_hash": F.unhex("url_hash"), "page_hash": F.when(same, F.lit(_SAME)).otherwise(F.unhex("page_hash"))})
+
+    page_hash = F.when(F.col("page_hash") == F.lit(_SAME), F.col("url_hash")).otherwise(F.col("page_hash")).alias("page_hash")
 
     found = written(placed(L.seed_urls(seeds)), "found/hop=0")
     hop = 0
@@ -90,24 +99,25 @@ def crawl(
                 "allowed", F.coalesce("_pass", F.lit(False))
             ).drop("_pass")
         pages_near = of_parts(known, "part", parts_of(found, "part")).select("page_hash", "html_page")
-        met = met.join(pages_near, "page_hash", "left").select(
+        pages_near = pages_near.withColumnRenamed("page_hash", "known_hash")
+        met = met.join(pages_near, page_hash == F.col("known_hash"), "left").select(
             "url", "url_hash", "page_hash", "allowed",
             (F.col("allowed") & F.coalesce("html_page", F.lit(True))).alias("crawled"),
             (F.col("allowed") & F.coalesce("html_page", F.lit(False))).alias("expands"),
             "part", "met_part",
         )
-        _in_folders(met, digits, "met_part").write.mode("overwrite").partitionBy("met_part").parquet(f"{home}/met/hop={hop}")
+        with storage.brief_shuffles(spark):
+            _in_folders(met, digits, "met_part").write.mode("overwrite").partitionBy("met_part").parquet(f"{home}/met/hop={hop}", compression="zstd")
+        storage.drop(spark, f"{home}/found/hop={hop}")
         seen = spark.read.schema(_MET).parquet(f"{home}/met")
         latest = seen.filter((F.col("hop") == hop) & F.col("expands"))
         parts = parts_of(latest, "part")
         # Equal links of one hop are dropped before and after the shuffle; a
         # page that very many others link to arrives once per task.
         links = (
-            L.absolute_links(
-                latest.select("part", "page_hash", F.col("url").alias("base_url"), U.split_url(F.col("url")).as_struct().alias("base_parts"))
-                .join(of_parts(anchors, "part", parts), ["part", "page_hash"]).drop("part"),
-                parts="base_parts",
-            )
+            latest.select("part", page_hash, F.col("url").alias("base_url"), U.split_url(F.col("url")).as_struct().alias("base_parts"))
+            .join(of_parts(anchors, "part", parts), ["part", "page_hash"])
+            .select(F.inline(U.resolve_links(F.col("base_url"), F.col("hrefs"), F.col("base_parts"))))
             .withColumn("netloc", U.netloc_of(F.col("url")))
             .join(hosts, "netloc", "left_semi")
             .select("url").distinct()
@@ -116,20 +126,24 @@ def crawl(
             break
         found = written(placed(links), f"found/hop={hop + 1}")
         if found.isEmpty():
+            storage.drop(spark, f"{home}/found")
             break
         hop += 1
-    left = L.unvisited(L.with_hash(links), seen)
-    left = (left if visited is None else L.unvisited(left, visited)).select("url", "url_hash")
+    left = L.unvisited(links.select("url", F.unhex(U.url_hash(F.col("url"))).alias("url_hash")), seen)
+    left = (left if visited is None else L.unvisited(left, visited)).select("url", _unpacked("url_hash"))
     met = seen.filter(F.col("hop") <= hop)
-    reach = met.select("url", "url_hash", F.col("hop").cast("int").alias("hop"), "allowed", "crawled")
+    reach = met.select("url", _unpacked("url_hash"), F.col("hop").cast("int").alias("hop"), "allowed", "crawled")
     return reach, left if parts else left.limit(0)
 
 
 _MET = (
-    "url string, url_hash string, page_hash string, allowed boolean, crawled boolean, expands boolean, part string, "
+    "url string, url_hash binary, page_hash binary, allowed boolean, crawled boolean, expands boolean, part string, "
     "hop int, met_part string"
 )
 
+#: Stands for the hash of a page that is that of the URL.
+_SAME = bytearray()
+
 #: Pages of a folder, about; and digits of a hash that name one, at most.
 PAGES_PER_FOLDER = 50_000
 MOST_DIGITS = 3
@@ -142,6 +156,15 @@ def _digits(pages: int) -> int:
     return digits
 
 
+def _packed(url_hash: Column) -> Column:
+    """A hash as bytes; text that is no hash, which no URL has, becomes null."""
+    return F.when(url_hash.rlike("^[0-9a-f]{64}$"), F.unhex(url_hash))
+
+
+def _unpacked(column: str) -> Column:
+    return F.lower(F.hex(column)).alias(column)
+
+
 def _part(column: str, digits: int) -> Column:
     return F.concat(F.lit("x"), F.substring(column, 1, digits))
 

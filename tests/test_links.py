@@ -1,5 +1,8 @@
 import json
 import random
+import time
+from glob import glob
+from hashlib import sha256
 from urllib.parse import urlparse
 
 import pytest
@@ -267,6 +270,32 @@ def test_a_hop_reads_the_folders_of_its_frontier(spark, tmp_path):
     assert [C._digits(n) for n in (0, 50_000, 50_001, 10**9, 10**12)] == [0, 0, 1, 3, 3]
 
 
+def test_a_crawl_keeps_little_on_disk(spark, tmp_path):
+    """Hashes as bytes, the references of a page in one row, no links of a hop that was met, no shuffle files of a write that is done."""
+    names = [f"census/n{i}" for i in range(40)]
+    pages = spark.createDataFrame([_page(f"https://s.net/{n}", *[f"/{m}" for m in names]) for n in names], "url string, html string, content_type string")
+    seeds = spark.createDataFrame([(f"https://s.net/{names[0]}",)], "url string")
+    visited = spark.createDataFrame([(sha256(f"https://s.net/{names[3]}".encode()).hexdigest(),), ("no hash",), (None,)], "url_hash string")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(f.getName().startswith("shuffle_") for f in _in_java(blocks.getAllFiles()))
+    work, before = str(tmp_path / "work"), shuffled()
+    reach, left = C.crawl(seeds, pages, visited=visited, digits=1, work=work)
+    until = time.time() + 20
+    while shuffled() > before and time.time() < until:
+        time.sleep(0.5)
+    assert shuffled() <= before
+    found = {r.url: r.url_hash for r in reach.collect()}
+    assert found == {f"https://s.net/{n}": sha256(f"https://s.net/{n}".encode()).hexdigest() for n in names if n != names[3]} and left.count() == 0
+    assert dict(spark.read.parquet(f"{work}/met").dtypes)["url_hash"] == dict(spark.read.parquet(f"{work}/anchors").dtypes)["page_hash"] == "binary"
+    assert spark.read.parquet(f"{work}/anchors").count() == len(names) and not glob(f"{work}/found/*")
+
+
+def _in_java(rows):
+    each = rows.iterator()
+    while each.hasNext():
+        yield each.next()
+
+
 def test_snapshots_hold_new_rows_only(spark, tmp_path, rows_of):
     home = str(tmp_path / "state")
     hashes = lambda *h: spark.createDataFrame([(x,) for x in h], "url_hash string")
